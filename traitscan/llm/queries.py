@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from traitscan.llm.bpe import encode_documents
+from traitscan.llm.minhash import near_duplicates
 from traitscan.llm.packing import pack_documents
+from traitscan.llm.sharding import histogram_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,13 @@ def word_bpe_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    return histogram_shards(docs, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return encode_documents(table(spark, sf_dir, "documents"), word_bpe_path())
@@ -28,5 +38,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe_path(), window=4096, end_id=2)
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op7_packing": op7_packing}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: two-word shingles, similarity 0.8."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op8_minhash": op8_minhash,
+    "op6_bpe": op6_bpe, "op7_packing": op7_packing}
 ORACLES: dict[str, str] = {}
