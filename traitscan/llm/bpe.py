@@ -18,6 +18,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from traitscan.llm.common import small_batches
 
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps, twice.
+CACHE_WORDS = 350_000
 #: Characters that are encoded at once.
 WINDOW_CHARS = 1 << 20
 
@@ -76,9 +78,10 @@ class WordBpe:
                 joined[x << 8 | y] = 1
         self.joined = bytes(joined)
         self.byte = byte
-        after = {x: bytes(y for y in range(256) if not joined[x << 8 | y]) for x in range(256)}
-        self.cut = re.compile(b"|".join(re.escape(bytes([x])) + b"[" + re.escape(ys) + b"]" for x, ys in after.items() if ys), re.DOTALL)
+        after = {chr(x): "".join(chr(y) for y in range(97, 123) if not joined[x << 8 | y]) for x in range(97, 123)}
+        self.cut = re.compile("|".join(f"{x}[{ys}]" for x, ys in after.items() if ys) or "(?!)")  # for words of a to z
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the cache before it was last full
 
     def fragments(self, word: bytes) -> list[bytes]:
         """Cut at the byte pairs that no token holds."""
@@ -111,7 +114,7 @@ class WordBpe:
         cache, letter, cut = self.cache, self.letter, self.cut.search
         composite, words = [], set()
         for chunk in chunks:
-            if _SIMPLE.fullmatch(chunk):
+            if chunk.isascii() and chunk.isalpha() or _SIMPLE.fullmatch(chunk):
                 words.add(chunk)
             else:
                 pieces = self._pieces(chunk)
@@ -120,12 +123,16 @@ class WordBpe:
                 words.update(p for p in pieces if p not in cache)
         whole, whole_text, parted = [], [], []
         for word in words:
-            raw = word.encode()
-            if cut(raw):
-                parted.append((word, self.fragments(raw)))
+            if word.isascii() and word.isalpha() and not cut(word):
+                whole.append(word)
+                whole_text.append(word)
+                continue
+            parts = self.fragments(word.encode())
+            if len(parts) > 1:
+                parted.append((word, parts))
             else:
                 whole.append(word)
-                whole_text.append(word if len(raw) == len(word) and word.isprintable() else "".join([letter[x] for x in raw]))
+                whole_text.append("".join([letter[x] for x in parts[0]]))
         cache.update(zip(whole, self._fragment_ids(self.last, whole_text), strict=True))
         show = lambda b: "".join([letter[x] for x in b])
         heads = iter(self._fragment_ids(self.inner, [show(x) for _, parts in parted for x in parts[:-1]]))
@@ -167,16 +174,21 @@ class WordBpe:
 
     def _ids(self, lists: list[list[str]]) -> list[bytes]:
         """The joined ids of each list of chunks."""
-        get = self.cache.get
-        found = [list(map(get, chunks)) for chunks in lists]
-        gaps = [i for i, f in enumerate(found) if None in f]
-        if gaps:
-            need = {c for i in gaps for c, f in zip(lists[i], found[i], strict=True) if f is None}
-            if len(self.cache) + len(need) > CACHE_WORDS:
-                self.cache.clear()
-            self._learn(need)
+        need: set[str] = set()
+        gaps: list[int] = []
+        for fresh in (False, True):
+            found = [list(map(self.cache.get, chunks)) for chunks in lists]
+            gaps = [i for i, f in enumerate(found) if None in f]
+            for i in gaps:
+                need.update(compress(lists[i], map(is_, found[i], repeat(None))))
+            if fresh or len(self.cache) + len(need) <= CACHE_WORDS:
+                break
+            self.old, self.cache = self.cache, {}
+        if need:
+            self.cache.update((c, ids) for c in need if (ids := self.old.get(c)) is not None)
+            self._learn(need.difference(self.cache))
             for i in gaps:
-                found[i] = [get(c) if f is None else f for c, f in zip(lists[i], found[i], strict=True)]
+                found[i] = list(map(self.cache.get, lists[i]))
         return list(map(b"".join, found))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traitscan.llm import langid, linededup, urlfilter
 from traitscan.llm.bpe import encode_documents
+from traitscan.llm.editcounts import edited_counts, hashed_edits
+from traitscan.llm.embeddings import near_vectors
 from traitscan.llm.minhash import near_duplicates
 from traitscan.llm.packing import pack_documents
 from traitscan.llm.sharding import histogram_shards
@@ -28,6 +31,37 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(docs, 24).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", hashed_edits())
+    return edited_counts(docs, word_bpe_path())
+
+
+#: Share of a site's pages from which on a line is boilerplate, and the fewest pages.
+BOILERPLATE_RATIO, BOILERPLATE_PAGES = 0.1, 3
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the boilerplate lines of their source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return linededup.drop_boilerplate(docs, BOILERPLATE_RATIO, BOILERPLATE_PAGES)
+
+
+#: The rules of the URL filter, as (verdict, rule).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Labels of a host whose pages are listed one by one.
+AD_HOST = r"(^|\.)(ads|adserver|ads-track|track)\."
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL: the longest rule's, else whether the URL is listed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    ads = urlfilter.with_parts(pages).where(F.col("host").rlike(AD_HOST)).select("host", "path").distinct()
+    ads = ads.select(F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"), "host", "path", F.lit("exact").alias("kind"))
+    listed = urlfilter.rule_table(spark, URL_RULES).select(*ads.columns).union(ads)
+    return urlfilter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return encode_documents(table(spark, sf_dir, "documents"), word_bpe_path())
@@ -44,8 +78,51 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def held_out_third(id_col: str = "doc_id") -> F.Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out_third(), F.lit(False)))
+    prototypes = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, prototypes, keep=["doc_id", "held_out"])
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within each label, cosine 0.98 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op9_language": op9_language,
+    "op10_embeddings": op10_embeddings,
     "op2_sharding": op2_sharding,
     "op8_minhash": op8_minhash,
     "op6_bpe": op6_bpe, "op7_packing": op7_packing}
-ORACLES: dict[str, str] = {}
+OP4_SQL = f"""
+WITH l AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents WHERE text IS NOT NULL),
+c AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL HAVING count(*) >= {BOILERPLATE_PAGES}),
+t AS (SELECT source, count(*) AS pages FROM documents GROUP BY ALL),
+bad AS (SELECT c.source, list(line) AS lines FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n > pages * {BOILERPLATE_RATIO} GROUP BY ALL),
+d AS (SELECT doc_id, documents.source, string_split(text, chr(10)) AS lines, coalesce(bad.lines, []) AS gone
+      FROM documents LEFT JOIN bad ON documents.source IS NOT DISTINCT FROM bad.source),
+k AS (SELECT doc_id, source, lines, list_filter(lines, lambda x: NOT list_contains(gone, x)) AS left_ FROM d)
+SELECT doc_id, source, array_to_string(left_, chr(10)) AS text, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(left_), 0) AS n_dropped FROM k
+"""
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS pre FROM rules),
+f AS (SELECT page_id, arg_max(rule, length(h) * 10000 + length(pre)) AS rule, arg_max(verdict, length(h) * 10000 + length(pre)) AS verdict
+      FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL)
+SELECT q.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|\.)(ads|adserver|ads-track|track)\.') THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN f USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_url_filter": OP5_SQL}
