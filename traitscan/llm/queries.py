@@ -11,6 +11,7 @@ from traitscan.llm.editcounts import edited_counts, hashed_edits
 from traitscan.llm.embeddings import near_vectors
 from traitscan.llm.minhash import near_duplicates
 from traitscan.llm.packing import pack_documents
+from traitscan.llm.search import bm25_search, build_index
 from traitscan.llm.sharding import histogram_shards
 
 
@@ -24,6 +25,13 @@ def word_bpe_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every document whose id 100 divides, by its whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index, n, _ = build_index(docs)
+    return bm25_search(index, n, docs.where("doc_id % 100 = 0"), k=10, query_id="doc_id")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -95,12 +103,13 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_search": op1_search,
+    "op2_sharding": op2_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op9_language": op9_language,
     "op10_embeddings": op10_embeddings,
-    "op2_sharding": op2_sharding,
     "op8_minhash": op8_minhash,
     "op6_bpe": op6_bpe, "op7_packing": op7_packing}
 OP4_SQL = f"""
