@@ -127,8 +127,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     return raw
 
 
+def letter_share(text: str) -> float:
+    """Letters among the characters that are no white space or control character."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return float(np.count_nonzero(_TABLE[0][codes]) / max(1, np.count_nonzero(codes > 32)))
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all but the text if None), lang_pred and score.
+    """The columns `keep` of docs (all but the text if None), lang_pred, score and letter_share.
 
     score: (1 + cosine of the text's centred vector with the prototype) / 2; a
     text's centred vector is its unit vector minus the languages' mean.
@@ -138,14 +144,15 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     langs = [k for k in prototypes if k]
     matrix = np.array([prototypes[k] for k in langs]).reshape(-1, DIM)
     mean = prototypes.get("", np.zeros(DIM))
-    names = [*keep, "lang_pred", "score"]
+    names = [*keep, "lang_pred", "score", "letter_share"]
+    source = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles()
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
+            texts = b.column(source).to_pylist()
             for lo, hi in batches_of(texts):
-                found, scores = [], []
+                found, scores, shares = [], [], []
                 for text in texts[lo:hi]:
                     total = np.zeros(DIM)
                     seen = False
@@ -154,6 +161,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                         counts[codes == 0] = 0
                         seen = seen or bool(counts.any())
                         total += profiles.bundle(codes, counts)
+                    shares.append(letter_share(text) if seen else 0.0)
                     norm = np.linalg.norm(total)
                     if not seen or not norm or not langs:
                         found.append("und")
@@ -164,7 +172,19 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                     best = int(np.argmax(cosine))
                     found.append(langs[best])
                     scores.append(float(np.clip((1 + cosine[best]) / 2, 0, 1)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), pa.array(found), pa.array(scores)], names=names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=names)
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, letter_share double"])
+    more = [] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]
+    return docs.select(*keep, *more).mapInArrow(run, schema)
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+
+def keep_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5, min_letters: float = 0.5) -> DataFrame:
+    """The rows of docs whose text is language, all columns as they were.
+
+    Rejected: `und`, texts nearer to the opposite of their best prototype than to
+    it (score below 0.5), and texts with fewer letters than other signs.
+    """
+    judged = identify(docs, train(docs, text_col, lang_col), text_col, keep=docs.columns)
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score) & (F.col("letter_share") >= min_letters))
+    return kept.drop("lang_pred", "score", "letter_share")

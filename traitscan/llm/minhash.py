@@ -240,3 +240,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     single = F.col("first_nid").isNull()
     out = out.withColumn("component_id", F.when(single, F.col("id")).otherwise(F.col("component_id")))
     return out.select("nid", "id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), single).alias("kept"), (single | (F.col("nid") == F.col("first_nid"))).alias("first"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each near-duplicate component, all columns as they were.
+
+    Of rows that repeat an id, those with equal text count as one.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    ids = found.groupBy("id").agg(F.max("first").alias("stays"), F.sum(F.col("first").cast("int")).alias("firsts"), F.count(F.lit(1)).alias("n"))
+    ids = shared_table(ids.where("not stays or firsts < n"), "flags")
+    gone = ids.where("not stays").select(F.col("id").alias("_gone"))
+    out = docs.join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    again = ids.where("stays").select(F.col("id").alias("_again"))
+    if again.limit(1).count():
+        same = F.col(id_col).eqNullSafe(F.col("_again"))
+        out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return out
