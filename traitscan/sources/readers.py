@@ -32,17 +32,19 @@ def matrix_table(spark: SparkSession, path: str, header: bool = True, delimiters
     """
     lines = text_lines(spark, path).withColumn("cells", _cells(delimiters))
     names: list[str] | None = None
+    body = F.lit(True)
     if header:
         first = lines.first()
         names = first.cells if first else []
-        lines = lines.where(F.col("value") != (first.value if first else ""))
+        body = F.col("value") != (first.value if first else "")
+        lines = lines.where(body)
     blank = MISSING if encoded else [""]
     value = lambda x: F.when(F.trim(x).isin(*blank), F.lit(None)).otherwise(F.trim(x).cast("double"))
-    rows = lines.select(F.element_at("cells", 1).alias("id"), F.transform(F.slice("cells", F.lit(2), F.size("cells") - 1), value).alias("values"))
+    rows = lines.select(F.element_at("cells", 1).alias("id"), F.when(body, F.transform(F.slice("cells", F.lit(2), F.size("cells") - 1), value)).alias("values"))  # filters may move: the header is never cast
     if names is not None:
         width = len(names) - 1
         bad = F.raise_error(F.format_string("%s: %d vs %d", "id", F.size("values"), F.lit(width)))
-        rows = rows.withColumn("values", F.when(F.size("values") == width, F.col("values")).otherwise(bad.cast("array<double>")))
+        rows = rows.withColumn("values", F.when(F.col("values").isNull() | (F.size("values") == width), F.col("values")).otherwise(bad.cast("array<double>")))
     return rows
 
 
