@@ -127,7 +127,7 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
 
         hits = cand.withColumn("_ok", passes(F.transform("_keys", lambda k: F.xxhash64(k))))
         hits = hits.withColumn("_keys", F.transform(F.filter(F.arrays_zip("_keys", "_ok"), lambda x: x["_ok"]), lambda x: x["_keys"])).drop("_ok")
-        rows = hits.withColumn("key", F.explode_outer("_keys")).drop("_keys")
+        rows = hits.withColumn("_key", F.explode_outer("_keys")).drop("_keys")
     else:
         # a longer filter stays distributed: distinct candidate keys meet their block
         flat = cand.select(F.explode("_keys").alias("key")).distinct().withColumn("h", F.xxhash64("key"))
@@ -149,10 +149,10 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
         words = bloom.select("block", F.array(*(f"w{i}" for i in range(WORDS))).alias("w"))
         possible = flat.withColumn("block", block("h")).join(words, "block").where(fits("h", "w")).select("key")
         keys = keys.join(possible, "key", "left_semi")
-        rows = cand.withColumn("key", F.explode_outer("_keys")).drop("_keys")
+        rows = cand.withColumn("_key", F.explode_outer("_keys")).drop("_keys")
     small = n <= 100_000  # keys of some 100 bytes
-    exact = keys.select("key", F.struct(F.col("kind") == "prefix", "hlen", "plen", "verdict", "rule").alias("_e"))
-    joined = rows.join(F.broadcast(exact) if small else exact, "key", "left")
+    exact = keys.select(F.col("key").alias("_key"), F.struct(F.col("kind") == "prefix", "hlen", "plen", "verdict", "rule").alias("_e"))
+    joined = rows.join(F.broadcast(exact) if small else exact, "_key", "left")
     first = [F.first(c).alias(c) for c in own if c != "_row"]
     best = joined.groupBy("_row").agg(*first, F.max("_e").alias("_e"))
     return best.withColumn("rule", F.col("_e.rule")).withColumn("verdict", F.coalesce("_e.verdict", F.lit("allow"))).drop("_row", "_e")
