@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitscan.llm.bpe import batches_of
-from traitscan.llm.common import small_batches
+from traitscan.llm.common import shared_table, small_batches
 
 CLASSES = 64
 DIM = 1024
@@ -108,7 +108,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(counts[some])], names=["lang", "gram", "n"])
 
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = labelled.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").cast("double").alias("n"))
+    counts = shared_table(labelled.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").cast("double").alias("n")), "grams")
     profiles, raw = Profiles(), {}
     for lang in sorted(r.lang for r in counts.select("lang").distinct().collect()):
         table = counts.where(F.col("lang") == lang).select("gram", "n").toPandas()  # at most GRAMS rows
