@@ -4,9 +4,11 @@ One hash per shingle fills all bins of a signature; an empty bin copies the
 first filled bin in its own random order of bins. Bins are banded; documents
 that share a band bucket are candidates. A bucket gives a star: every member is
 compared with its least member only. Stars are confirmed on the full shingle
-sets and their components found; where a bucket still holds members of
-different components, those are compared across components (never inside one),
-so that a star cannot hide a link. Documents with equal sets are one node.
+sets and their components found; more rounds of stars with other centres follow.
+Where a bucket then still holds members of different components, those are
+compared across components (never inside one), so that a star cannot hide a
+link; in crowded buckets an exact bound from rare shingles rules out nearly all
+of these pairs before they are made. Documents with equal sets are one node.
 
 Cases: a null or empty text has no shingles and links with nothing; a null id is
 a node of its own, kept, with a null component unless it has linked rows with an
@@ -14,11 +16,11 @@ id; repeated rows are copies of each other; a set is hashed whole, however long
 the text; extra columns are ignored.
 """
 
-from __future__ import annotations
-
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ from traitscan.llm.bpe import batches_of
 from traitscan.llm.common import broadcast_if_small, connected_components, shared_table, small_batches
 
 BANDS, ROWS = 56, 7
+#: Rows of a bucket up to which its components are compared member by member.
+CROWD = 64
+#: Nodes up to which a shingle of a crowded bucket counts as rare.
+RARE = 16
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -156,13 +162,12 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int =
     return numbered.mapInArrow(run, f"nid long, id {id_type}, n long, f1 long, f2 long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of nodes whose full sets have 100 * common >= percent * union.
+def sets_of(ends: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(nid, s): the whole shingle sets of the given nodes.
 
-    Only documents that are part of a pair are read again and hashed; they are
-    found by id and told apart by the fingerprint of their set.
+    Only their documents are read again; they are found by id and told apart by
+    the fingerprint of their set.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     wanted = shared_table(nodes.join(broadcast_if_small(ends), "nid").select("nid", "id", "f1", "f2"), "wanted")
     rows = wanted.count()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
@@ -179,28 +184,98 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, id_
     sets = shared_table(texts.select("nid", "text", "f1", "f2").mapInArrow(hashed, "nid long, s binary"), "sets")
     if sets.count() > rows:
         sets = shared_table(sets.groupBy("nid").agg(F.first("s").alias("s")), "sets")
+    return sets
+
+
+def rare_candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(nid, h): the shingles of the given nodes, without those that a task alone finds common.
+
+    A task holds about a million and a half shingles at once; one that more than
+    RARE of its nodes have is not rare anywhere and is not passed on.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, found = [], []
+        for b in batches:
+            who += b.column(0).to_pylist()
+            found += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+        if found:
+            node, h = np.repeat(np.array(who, np.int64), [len(x) for x in found]), np.concatenate(found)
+            _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            few = n[at] <= RARE
+            yield pa.RecordBatch.from_arrays([pa.array(node[few]), pa.array(h[few])], names=["nid", "h"])
+
+    parts = max(1, math.ceil((nodes.agg(F.sum("n")).first()[0] or 0) / 1_500_000))
+    some = sets.join(broadcast_if_small(nodes.select("nid")), "nid", "left_semi").select("nid", "s").repartition(parts)
+    return some.mapInArrow(rows, "nid long, h long")
+
+
+def crowded_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ra, rb) of bucket rows (key, nid, n, r) of different roots that may still link.
+
+    Two documents share at most what is left of the smaller one without its rare
+    shingles (those that at most RARE nodes here have), plus the rare shingles
+    that both have. Pairs that share a rare one are found through it, and counted;
+    all others must pass the bound without it. So nothing is lost, and a crowd of
+    documents whose likeness comes from one common text makes few pairs.
+    """
+    nodes = crowd.select("nid", "n", "r").distinct()
+    nodes = shared_table(nodes, "nodes")
+    cells = shared_table(rare_candidates(sets, nodes), "cells")
+    few = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE).select("h")
+    rare = shared_table(cells.join(few, "h"), "rare")
+    left = nodes.join(rare.groupBy("nid").agg(F.count(F.lit(1)).alias("own")), "nid", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+    left = broadcast_if_small(shared_table(left.select("nid", "n", "r", "s"), "left"))
+    side = lambda df, e: df.select(*(F.col(c).alias(c if c in ("key", "h") else f"{c}_{e}") for c in df.columns))
+    may = lambda more: 100 * (F.least("s_x", "s_y") + more) >= percent * (F.col("n_x") + F.col("n_y") - F.least("s_x", "s_y") - more)
+    rows = crowd.select("key", "nid").join(left, "nid")
+    plain = side(rows, "x").join(side(rows, "y"), "key").where("nid_x < nid_y and r_x <> r_y").where(may(F.lit(0)))
+    known = rare.select("h", "nid").join(left, "nid")
+    both = side(known, "x").join(side(known, "y"), "h").where("nid_x < nid_y and r_x <> r_y")
+    both = both.groupBy("nid_x", "nid_y", "n_x", "n_y", "s_x", "s_y", "r_x", "r_y").agg(F.count(F.lit(1)).alias("more")).where(may(F.col("more")))
+    out = lambda df: df.select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b"), F.col("r_x").alias("ra"), F.col("r_y").alias("rb"))
+    return out(plain).union(out(both)).distinct()
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b, and their roots ra, rb) whose full sets have 100 * common >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column(0), b.column(1)
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(mask) for i in (0, 1, 4, 5)], names=["a", "b", "ra", "rb"])
 
     # the pairs of a star share a: its set is joined last, and hot keys are left to the skew join
     full = pairs.join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a")
-    return shared_table(full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+    return shared_table(full.select("a", "b", "sa", "sb", "ra", "rb").mapInArrow(check, "a long, b long, ra long, rb long"), "links")
+
 
+def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(nid, root) of all nodes that are not their own root, after links between roots."""
+    new = connected_components(links, "ra", "rb").where("node <> root")
+    fresh = new.select(F.col("node").alias("nid"), "root")
+    if label is None:
+        return shared_table(fresh, "label")
+    moved = label.join(new.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left")
+    return shared_table(moved.select("nid", F.coalesce("to", "root").alias("root")).union(fresh), "label")
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: nid, id, n_shingles, component_id (least id), kept, first.
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+    """One row per row of docs: nid, id, n_shingles, component_id (least id), kept, first, fingerprint.
 
     kept: the id is the component's least; first: exactly one row of each component
-    is the first. docs is read twice.
+    is the first. docs is read up to three times.
+
+    rounds: star rounds (at least 1) before the buckets that still hold several
+    components are compared across components. The first round's centres are the least members;
+    later rounds take another member of a component in every bucket, so that the
+    members of a large loose group meet many of its documents, at a cost that
+    grows with the bucket and not with its square.
     """
     sk = shared_table(sketch(docs, width, id_col, text_col), "sketch")
     some = sk.where("n > 0")
@@ -210,50 +285,80 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # buckets of representatives
     nodes = some.select("nid", "n", "bands").join(broadcast_if_small(copies.select("nid")), "nid", "left_anti")
-    members = nodes.select(F.explode("bands").alias("key"), "nid", "n")
     w = Window.partitionBy("key")
-    buckets = shared_table(
-        members.withColumn("center", F.min("nid").over(w)).withColumn("c", F.count(F.lit(1)).over(w)).where("c > 1").select("key", "nid", "n", "center"), "buckets"
-    )
+    members = nodes.select(F.explode("bands").alias("key"), "nid", "n").withColumn("low", F.min("nid").over(w)).withColumn("high", F.max("nid").over(w))
+    buckets = shared_table(members.where("low <> high").select("key", "nid", "n"), "buckets")
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    stars = buckets.where("nid <> center").select(F.col("center").alias("a"), F.col("nid").alias("b")).distinct()
-    stars = shared_table(stars, "stars")
-    links = confirm(stars, docs, sk, width, id_col, text_col, percent)
-    roots = shared_table(connected_components(links), "roots")
-
-    # members of one bucket in different components
-    labelled = buckets.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    labelled = labelled.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi")
-    mixed = shared_table(labelled.select("key", "nid", "n", "root"), "mixed")
-    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("nid", "n", "root"))) for s in "xy")
-    cross = x.join(y, "key").where("nid_x < nid_y and root_x <> root_y").where(near("n_x", "n_y"))
-    cross = cross.select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    cross = shared_table(cross, "cross")
-    if cross.limit(1).count():
-        links = links.union(confirm(cross, docs, sk, width, id_col, text_col, percent))
-    every = links.union(copies.select(F.col("rep").alias("a"), F.col("nid").alias("b")))
-    roots = shared_table(connected_components(every), "roots")
-    joined = sk.select("nid", "id", "n").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    least = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "nid")).alias("m")).select("root", F.col("m.id").alias("component_id"), F.col("m.nid").alias("first_nid"))
-    multi = shared_table(least.join(roots.select("root").distinct(), "root"), "least")  # components of more than one row
-    out = joined.join(multi, "root", "left")
+    # first stars: the least member of every bucket
+    first = buckets.withColumn("c", F.min(F.struct("nid", "n")).over(w)).select("nid", "n", F.col("c.nid").alias("cn"), F.col("c.n").alias("c_n"))
+    pairs = first.where("nid <> cn").where(near("n", "c_n")).select(F.col("cn").alias("a"), F.col("nid").alias("b")).distinct()
+    pairs = shared_table(pairs.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    label = merged(None, confirm(pairs, sets_of(ends, docs, sk, width, id_col, text_col), percent))
+    tried = pairs.select("a", "b")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Bucket rows with their roots, of buckets that hold more than one root."""
+        rows = rows.join(broadcast_if_small(label), "nid", "left").withColumn("r", F.coalesce("root", "nid")).drop("root")
+        return rows.withColumn("lo", F.min("r").over(w)).withColumn("hi", F.max("r").over(w)).where("lo <> hi").drop("lo", "hi")
+
+    rest = shared_table(mixed(buckets).select("key", "nid", "n"), "mixed")
+    if rest.limit(1).count():
+        sets = sets_of(rest.select("nid").distinct(), docs, sk, width, id_col, text_col)
+        for turn in range(1, rounds):
+            rows = mixed(rest)
+            pick = F.struct((F.col("r") == F.col("nid")).alias("single"), F.xxhash64("key", "nid", F.lit(turn)).alias("h"))
+            rows = rows.withColumn("c", F.min(F.struct(pick.alias("pick"), "nid", "n", "r")).over(w))
+            rows = rows.select("nid", "n", "r", F.col("c.nid").alias("cn"), F.col("c.n").alias("c_n"), F.col("c.r").alias("cr")).where("r <> cr").where(near("n", "c_n"))
+            swap = F.col("nid") < F.col("cn")
+            found = rows.select(F.least("nid", "cn").alias("a"), F.greatest("nid", "cn").alias("b"), F.when(swap, F.col("r")).otherwise(F.col("cr")).alias("ra"), F.when(swap, F.col("cr")).otherwise(F.col("r")).alias("rb"))
+            pairs = shared_table(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            label = merged(label, confirm(pairs, sets, percent))
+            tried = tried.union(pairs.select("a", "b"))
+        last = shared_table(mixed(rest).withColumn("size", F.count(F.lit(1)).over(w)), "mixed")
+        some = last.where(F.col("size") <= CROWD)
+        x, y = (some.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("nid", "n", "r"))) for e in "xy")
+        cross = x.join(y, "key").where("nid_x < nid_y and r_x <> r_y").where(near("n_x", "n_y"))
+        cross = cross.select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b"), F.col("r_x").alias("ra"), F.col("r_y").alias("rb"))
+        crowd = last.where(F.col("size") > CROWD).select("key", "nid", "n", "r")
+        if crowd.limit(1).count():
+            cross = cross.union(crowded_pairs(crowd, sets, percent))
+        label = merged(label, confirm(cross.distinct().join(tried, ["a", "b"], "left_anti"), sets, percent))
+
+    joined = sk.select("nid", "id", "n", "f1", "f2").join(broadcast_if_small(copies), "nid", "left").withColumn("node", F.coalesce("rep", "nid"))
+    joined = joined.join(broadcast_if_small(label.withColumnRenamed("nid", "node")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = joined.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "nid")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", F.col("m.id").alias("component_id"), F.col("m.nid").alias("first_nid"))
+    multi = shared_table(least, "least")  # components of more than one row
+    out = joined.join(broadcast_if_small(multi), "root", "left")
     single = F.col("first_nid").isNull()
     out = out.withColumn("component_id", F.when(single, F.col("id")).otherwise(F.col("component_id")))
-    return out.select("nid", "id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), single).alias("kept"), (single | (F.col("nid") == F.col("first_nid"))).alias("first"))
+    return out.select("nid", "id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), single).alias("kept"), (single | (F.col("nid") == F.col("first_nid"))).alias("first"), "f1", "f2")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each near-duplicate component, all columns as they were.
 
-    Of rows that repeat an id, those with equal text count as one.
+    Rows that repeat an id (or have none) are told apart by their sets.
     """
     found = near_duplicates(docs, width, percent, id_col, text_col)
+    found = shared_table(found.select("id", "first", "f1", "f2", "n_shingles"), "found")
     ids = found.groupBy("id").agg(F.max("first").alias("stays"), F.sum(F.col("first").cast("int")).alias("firsts"), F.count(F.lit(1)).alias("n"))
     ids = shared_table(ids.where("not stays or firsts < n"), "flags")
     gone = ids.where("not stays").select(F.col("id").alias("_gone"))
     out = docs.join(broadcast_if_small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
     again = ids.where("stays").select(F.col("id").alias("_again"))
-    if again.limit(1).count():
-        same = F.col(id_col).eqNullSafe(F.col("_again"))
-        out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
-    return out
+    if not again.limit(1).count():
+        return out
+
+    @F.pandas_udf("n long, f1 long, f2 long")
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        sets = shingle_sets(texts.tolist(), width)
+        return pd.DataFrame([(len(x), *fingerprint(x)) for x in sets], columns=["n", "f1", "f2"])
+
+    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    rows = out.join(again, same, "left_semi").withColumn("_m", marks(F.col(text_col).cast("string")))
+    firsts = found.where("first and n_shingles > 0").select("id", "f1", "f2").distinct()
+    some = rows.where("_m.n > 0").join(firsts.toDF("_i", "_x", "_y"), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_m.f1") == F.col("_x")) & (F.col("_m.f2") == F.col("_y")), "left_semi")
+    some = some.withColumns({"_x": F.col("_m.f1"), "_y": F.col("_m.f2")}).dropDuplicates([id_col, "_x", "_y"])
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return out.join(again, same, "left_anti").union(rows.where("_m.n = 0").select(*kept)).union(some.select(*kept))
