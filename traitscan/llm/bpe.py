@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from traitscan.llm.common import small_batches
 
-#: Words whose ids a worker keeps, twice.
-CACHE_WORDS = 350_000
+#: Words whose ids a worker keeps, twice; some 250 MB in all.
+CACHE_WORDS = 600_000
 #: Characters that are encoded at once.
 WINDOW_CHARS = 1 << 20
 
@@ -69,6 +69,7 @@ class WordBpe:
         self.tokens: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token.encode()
+        self.is_end = np.array([bool(self.suffix) and t.endswith(self.suffix.encode()) for t in self.tokens])
         self.letter = byte_letters()
         byte = {c: b for b, c in enumerate(self.letter)}
         joined = bytearray(1 << 16)
@@ -104,10 +105,15 @@ class WordBpe:
         out: list[bytes] = []
         for at in range(0, len(fragments), 4096):
             some = fragments[at : at + 4096]
-            found = tok.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(word, np.arange(1, len(some) + 1)) * 4
-            out += [ids[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            if tok is self.last and self.suffix:  # each fragment's last token carries the suffix
+                found = np.array(tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ends = (np.flatnonzero(self.is_end[found]) + 1) * 4
+            else:
+                slow = tok.encode(" ".join(some), add_special_tokens=False)
+                found = np.array(slow.ids, "<u4")
+                ends = np.searchsorted(np.array(slow.word_ids, np.int64), np.arange(1, len(some) + 1)) * 4
+            ids, ends = found.tobytes(), ends.tolist()
+            out += [ids[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
     def _learn(self, chunks: set[str]) -> None:
