@@ -257,6 +257,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """(nid, root) of all nodes that are not their own root, after links between roots."""
+    if not links.limit(1).count():
+        return links.select(F.col("a").alias("nid"), F.col("ra").alias("root")) if label is None else label
     new = connected_components(links, "ra", "rb").where("node <> root")
     fresh = new.select(F.col("node").alias("nid"), "root")
     if label is None:
