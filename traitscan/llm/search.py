@@ -169,7 +169,7 @@ def bm25_search(index: DataFrame, n: int, queries: DataFrame, k: int = 10, query
             for names, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(names, "<i8")), pa.array(np.diff(np.frombuffer(first, "<i4")).astype(np.int64))], names=["t", "df"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(spark, 1)  # a row is a whole shard
     wanted = terms.select("t").distinct()
     df = index.select("names", "first").mapInArrow(names, "t long, df long").join(wanted, "t", "left_semi").groupBy("t").agg(F.sum("df").alias("df"))
     weighted = terms.join(df, "t").withColumn("w", F.col("c") * F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -193,6 +193,7 @@ def bm25_search(index: DataFrame, n: int, queries: DataFrame, k: int = 10, query
 
         part = shared_table(index.mapInArrow(search, "query_id long, doc_id long, score double"), "hits")
         found = part if found is None else found.union(part)
+    small_batches(spark)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
