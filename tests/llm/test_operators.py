@@ -304,6 +304,9 @@ def near_texts(n=150, seed=3):
 @pytest.mark.parametrize(("width", "crowd"), [(2, 64), (5, 64), (2, 3)])
 def test_minhash_against_all_pairs(spark, monkeypatch, width, crowd):
     monkeypatch.setattr(minhash, "CROWD", crowd)
+    if crowd == 3:
+        monkeypatch.setattr(minhash, "RARE", 2)
+        monkeypatch.setattr(minhash, "TASK_SHINGLES", 800)
     texts = [*near_texts(), "", None, "one", "one", "ONE ", "É", "é", " \n", LONG, LONG + "x"]
     docs = docs_of(spark, texts).withColumn("nid", F.lit("clash"))
     want, sizes = slow_components(texts, width, 80)

@@ -31,8 +31,10 @@ from traitscan.llm.common import broadcast_if_small, connected_components, share
 BANDS, ROWS = 56, 7
 #: Rows of a bucket up to which its components are compared member by member.
 CROWD = 64
-#: Nodes up to which a shingle of a crowded bucket counts as rare.
-RARE = 16
+#: Nodes up to which a shingle counts as rare in a crowd: this many, or the crowd's size over RARE_PART.
+RARE, RARE_PART = 16, 24
+#: Shingles that a task holds at once to find the rare ones.
+TASK_SHINGLES = 1_500_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -187,11 +189,12 @@ def sets_of(ends: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, id_c
     return sets
 
 
-def rare_candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+def rare_candidates(sets: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     """(nid, h): the shingles of the given nodes, without those that a task alone finds common.
 
-    A task holds about a million and a half shingles at once; one that more than
-    RARE of its nodes have is not rare anywhere and is not passed on.
+    A task holds about TASK_SHINGLES at once; one that more than
+    `limit` of its nodes have is not rare anywhere: it is passed on once, as
+    node -1, so that no other task's nodes count it as rare.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,28 +205,31 @@ def rare_candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         if found:
             node, h = np.repeat(np.array(who, np.int64), [len(x) for x in found]), np.concatenate(found)
             _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-            few = n[at] <= RARE
-            yield pa.RecordBatch.from_arrays([pa.array(node[few]), pa.array(h[few])], names=["nid", "h"])
+            few = n[at] <= limit
+            common = np.unique(h[~few])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[few], np.full(len(common), -1)])), pa.array(np.concatenate([h[few], common]))], names=["nid", "h"])
 
-    parts = max(1, math.ceil((nodes.agg(F.sum("n")).first()[0] or 0) / 1_500_000))
+    parts = max(1, math.ceil((nodes.agg(F.sum("n")).first()[0] or 0) / TASK_SHINGLES))
     some = sets.join(broadcast_if_small(nodes.select("nid")), "nid", "left_semi").select("nid", "s").repartition(parts)
     return some.mapInArrow(rows, "nid long, h long")
 
 
 def crowded_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ra, rb) of bucket rows (key, nid, n, r) of different roots that may still link.
+    """(a, b, ra, rb) of bucket rows (key, nid, n, r, size) of different roots that may still link.
 
     Two documents share at most what is left of the smaller one without its rare
-    shingles (those that at most RARE nodes here have), plus the rare shingles
+    shingles (those that few nodes of the crowd have), plus the rare shingles
     that both have. Pairs that share a rare one are found through it, and counted;
     all others must pass the bound without it. So nothing is lost, and a crowd of
     documents whose likeness comes from one common text makes few pairs.
     """
-    nodes = crowd.select("nid", "n", "r").distinct()
-    nodes = shared_table(nodes, "nodes")
-    cells = shared_table(rare_candidates(sets, nodes), "cells")
-    few = cells.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE).select("h")
-    rare = shared_table(cells.join(few, "h"), "rare")
+    nodes = shared_table(crowd.groupBy("nid", "n", "r").agg(F.max("size").alias("crowd")), "nodes")
+    limit = max(RARE, (nodes.agg(F.max("crowd")).first()[0] or 0) // RARE_PART)
+    cells = shared_table(rare_candidates(sets, nodes, limit), "cells")
+    sized = cells.join(broadcast_if_small(nodes.select("nid", "crowd")), "nid", "left")
+    few = sized.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("crowd").alias("crowd"), F.min("nid").alias("low"))
+    few = few.where("low >= 0").where((F.col("c") <= RARE) | (F.col("c") * RARE_PART <= F.col("crowd"))).select("h")
+    rare = shared_table(cells.select("nid", "h").join(few, "h"), "rare")
     left = nodes.join(rare.groupBy("nid").agg(F.count(F.lit(1)).alias("own")), "nid", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
     left = broadcast_if_small(shared_table(left.select("nid", "n", "r", "s"), "left"))
     side = lambda df, e: df.select(*(F.col(c).alias(c if c in ("key", "h") else f"{c}_{e}") for c in df.columns))
@@ -322,7 +328,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         x, y = (some.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("nid", "n", "r"))) for e in "xy")
         cross = x.join(y, "key").where("nid_x < nid_y and r_x <> r_y").where(near("n_x", "n_y"))
         cross = cross.select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b"), F.col("r_x").alias("ra"), F.col("r_y").alias("rb"))
-        crowd = last.where(F.col("size") > CROWD).select("key", "nid", "n", "r")
+        crowd = last.where(F.col("size") > CROWD).select("key", "nid", "n", "r", "size")
         if crowd.limit(1).count():
             cross = cross.union(crowded_pairs(crowd, sets, percent))
         label = merged(label, confirm(cross.distinct().join(tried, ["a", "b"], "left_anti"), sets, percent))
