@@ -1,8 +1,8 @@
 """Operator 1: exact top-k BM25 search with a sharded inverted index and block-max pruning.
 
 Documents are dealt to shards of bounded size; a task inverts one shard and
-stores it as one row: sorted term hashes, postings, and for each term and block
-of 64 documents the largest term-frequency part of BM25. Document frequencies,
+stores it as one row: sorted term hashes and postings. A search derives from it,
+for each term and block of 64 documents, the largest term-frequency part of BM25. Document frequencies,
 the document count and the mean length are global, so scores of different shards
 compare exactly.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitscan.llm.common import shared_table, small_batches
+from traitscan.llm.common import drop_shared, shared_table, small_batches
 from traitscan.llm.minhash import word_hashes
 
 K1, B = 1.2, 0.75
@@ -80,21 +80,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = np.argsort(term, kind="stable")
         term, doc, tf = term[order], doc[order], tf[order]
         names, first = np.unique(term, return_index=True)
-        part = tf_part(tf.astype(np.float64), lengths[doc], mean)
-        slot = np.searchsorted(names, term) * (1 << 20) + doc // BLOCK
-        b_first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
-        top = np.maximum.reduceat(part, b_first) if len(slot) else np.zeros(0)
         pack = lambda a, kind: pa.array([np.asarray(a).astype(kind).tobytes()], pa.binary())
         return pa.table({
-            "n": pa.array([len(terms)], pa.int64()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "names": pack(names, "<i8"),
-            "first": pack(np.concatenate([first, [len(term)]]), "<i4"), "doc": pack(doc, "<i4"), "part": pack(part, "<f8"),
-            "b_first": pack(np.searchsorted(slot[b_first], np.arange(len(names) + 1) * (1 << 20)) if len(slot) else np.zeros(1), "<i4"),
-            "b_id": pack(slot[b_first] % (1 << 20), "<i4"), "b_top": pack(top, "<f8"),
+            "mean": pa.array([mean], pa.float64()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "lengths": pack(lengths, "<i8"), "names": pack(names, "<i8"),
+            "first": pack(np.concatenate([first, [len(term)]]), "<i4"), "doc": pack(doc, "<u2"), "tf": pack(tf, "<u2"),
         })
 
     dealt = counted.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    schema = "n long, ids array<long>, names binary, first binary, doc binary, part binary, b_first binary, b_id binary, b_top binary"
-    return shared_table(dealt.groupBy("shard").applyInArrow(invert, schema), "index"), n, mean
+    schema = "mean double, ids array<long>, lengths binary, names binary, first binary, doc binary, tf binary"
+    index = shared_table(dealt.groupBy("shard").applyInArrow(invert, schema), "index")
+    drop_shared(counted)
+    return index, n, mean
 
 
 def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +103,19 @@ def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Shard:
     def __init__(self, row: dict):
         get = lambda k, kind: np.frombuffer(row[k], kind)
-        self.n, self.ids = row["n"], np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
-        self.names, self.first, self.doc, self.part = get("names", "<i8"), get("first", "<i4"), get("doc", "<i4"), get("part", "<f8")
-        self.b_first, self.b_id, self.b_top = get("b_first", "<i4"), get("b_id", "<i4"), get("b_top", "<f8")
+        self.ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
+        self.n, self.names, self.first = len(self.ids), get("names", "<i8"), get("first", "<i4")
+        self.doc = get("doc", "<u2").astype(np.int32)
+        self.part = tf_part(get("tf", "<u2").astype(np.float64), get("lengths", "<i8")[self.doc], row["mean"])
         self.blocks = -(-self.n // BLOCK)
+        # the largest part of each term in each block of documents
+        block = self.doc // BLOCK
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.first[:-1]] = True
+        begin = np.flatnonzero(new)
+        self.b_id, self.b_top = block[begin], np.maximum.reduceat(self.part, begin) if len(begin) else np.zeros(0)
+        self.b_first = np.searchsorted(begin, self.first)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the k best documents, ties to the smaller id."""
