@@ -355,6 +355,21 @@ def test_language(spark):
     assert sorted(r.doc_id for r in langid.keep_language(odd.drop("score").union(docs.limit(30).withColumn("doc_id", F.col("doc_id") + 100))).where("doc_id < 100").collect()) == [3, 4]
 
 
+def test_junk_is_no_language(spark):
+    rng = np.random.default_rng(3)
+    words = {"en": "the of and that with from have this their which there would about other into could these".split(), "de": "der die und nicht werden eine auch sich nach wird einer durch zwischen schon wieder".split()}
+    text = lambda lang: " ".join(rng.choice(words[lang], 150))
+    clean = [(i, text("de" if i % 3 else "en"), "de" if i % 3 else "en") for i in range(450)]
+    clean += [(500 + i, " ".join(rng.choice(words["en"], 2)), "en") for i in range(20)]  # short ones stay
+    junk = ["".join(rng.choice(list("qxzjkvwy "), 900)), "the " * 300, " ".join(w + "$$$%%" for w in text("de").split())]
+    odd = [(900 + i, x, "en") for i, x in enumerate(junk)] + [(950, "123 456 !!", "en")]
+    df = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string")
+    kept = langid.keep_language(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in clean] and kept.columns == df.columns
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_language(bare).count() == len(clean + odd)
+
+
 def test_bundles_are_sums_of_bound_vectors():
     p = langid.Profiles()
     codes, counts = np.unique(langid.grams("abc abd"), return_counts=True)

@@ -4,6 +4,8 @@ Each letter has a random vector of +1 and -1. The vector of a letter trigram
 binds (multiplies) the vectors of its letters, permuted by place; a text bundles
 (adds) the vectors of its trigrams, a language those of its labelled texts. A
 text gets the language whose prototype has the greatest cosine with it.
+Whether a text is language at all is decided by its likeness before centring,
+against that of labelled texts (keep_language).
 Prototypes are centred on their common mean, so that what all languages share
 does not decide.
 
@@ -30,6 +32,8 @@ from traitscan.llm.common import shared_table, small_batches
 
 CLASSES = 64
 DIM = 1024
+#: A text is no language if its likeness is below both this part of the median of labelled texts of its language and length, and that median less so many median deviations; labelled texts that a bound needs.
+LIKE_PART, LIKE_SPREADS, LIKE_TEXTS = 0.7, 6.0, 100
 GRAMS = CLASSES**3
 
 
@@ -134,17 +138,23 @@ def letter_share(text: str) -> float:
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all but the text if None), lang_pred, score and letter_share.
+    """The columns `keep` of docs (all but the text if None), lang_pred, score, likeness and n_grams.
 
     score: (1 + cosine of the text's centred vector with the prototype) / 2; a
-    text's centred vector is its unit vector minus the languages' mean.
+    text's centred vector is its unit vector minus the languages' mean. It says
+    which language, not whether: with two languages or more it is never below
+    0.5. likeness: the cosine of the text's vector with the prototype, both not
+    centred, times the text's share of letters. n_grams: the text's trigrams.
     """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     langs = [k for k in prototypes if k]
     matrix = np.array([prototypes[k] for k in langs]).reshape(-1, DIM)
     mean = prototypes.get("", np.zeros(DIM))
-    names = [*keep, "lang_pred", "score", "letter_share"]
+    along = matrix @ mean
+    # a prototype before centring: mean + a * centred, of length 1
+    whole = mean + (np.sqrt(np.maximum(along**2 + 1 - mean @ mean, 0)) - along)[:, None] * matrix
+    names = [*keep, "lang_pred", "score", "likeness", "n_grams"]
     source = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,39 +162,59 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         for b in batches:
             texts = b.column(source).to_pylist()
             for lo, hi in batches_of(texts):
-                found, scores, shares = [], [], []
+                found, scores, likes, sizes = [], [], [], []
                 for text in texts[lo:hi]:
                     total = np.zeros(DIM)
-                    seen = False
+                    seen = 0
                     for at in range(0, len(text or ""), 1 << 20):
                         codes, counts = np.unique(grams(text[at : at + (1 << 20)]), return_counts=True)
                         counts[codes == 0] = 0
-                        seen = seen or bool(counts.any())
+                        seen += int(counts.sum())
                         total += profiles.bundle(codes, counts)
-                    shares.append(letter_share(text) if seen else 0.0)
+                    sizes.append(seen)
                     norm = np.linalg.norm(total)
                     if not seen or not norm or not langs:
                         found.append("und")
                         scores.append(0.0)
+                        likes.append(0.0)
                         continue
                     v = total / norm - mean
                     cosine = matrix @ v / (np.linalg.norm(v) or 1)
                     best = int(np.argmax(cosine))
                     found.append(langs[best])
                     scores.append(float(np.clip((1 + cosine[best]) / 2, 0, 1)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=names)
+                    likes.append(float(whole[best] @ total / norm) * letter_share(text))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(likes, pa.float64()), pa.array(sizes, pa.int64())], names=names)
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, letter_share double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, likeness double, n_grams long"])
     more = [] if text_col in keep else [F.col(text_col).cast("string").alias("_text")]
     return docs.select(*keep, *more).mapInArrow(run, schema)
 
 
-def keep_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5, min_letters: float = 0.5) -> DataFrame:
+def likeness_bounds(judged: DataFrame, lang_col: str = "lang") -> dict[tuple[str, int], float]:
+    """The least likeness of each (language, power of 2 of the trigrams), from labelled texts."""
+    size = F.floor(F.log2("n_grams")).cast("int")
+    held = judged.where((F.col("lang_pred") != "und") & (F.col(lang_col).cast("string") == F.col("lang_pred"))).select("lang_pred", size.alias("size"), "likeness")
+    medians = held.groupBy("lang_pred", "size").agg(F.percentile_approx("likeness", 0.5, 1000).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LIKE_TEXTS)
+    spreads = held.join(F.broadcast(medians), ["lang_pred", "size"]).groupBy("lang_pred", "size").agg(F.first("m").alias("m"), F.percentile_approx(F.abs(F.col("likeness") - F.col("m")), 0.5, 1000).alias("d"))
+    return {(r.lang_pred, r["size"]): min(LIKE_PART * r.m, r.m - LIKE_SPREADS * r.d) for r in spreads.collect()}  # languages times powers of 2
+
+
+def keep_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose text is language, all columns as they were.
 
-    Rejected: `und`, texts nearer to the opposite of their best prototype than to
-    it (score below 0.5), and texts with fewer letters than other signs.
+    Rejected: `und`, and texts less like their language than nearly all labelled
+    texts of that length are: runs of few words, random letters, words among
+    signs. Likeness grows with a text's length, so a text of a length that too
+    few labelled texts have is held to the next shorter length, or stays. Without
+    any labelled text nothing is known of language and all rows stay.
     """
-    judged = identify(docs, train(docs, text_col, lang_col), text_col, keep=docs.columns)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score) & (F.col("letter_share") >= min_letters))
-    return kept.drop("lang_pred", "score", "letter_share")
+    prototypes = train(docs, text_col, lang_col)
+    if not any(prototypes):
+        return docs
+    judged = shared_table(identify(docs, prototypes, text_col, keep=docs.columns), "judged")
+    bounds = likeness_bounds(judged, lang_col)
+    least = F.lit(-1.0)
+    for (lang, size), bound in sorted(bounds.items()):  # a longer text's bound comes later and wins
+        least = F.when((F.col("lang_pred") == lang) & (F.col("n_grams") >= 1 << size), bound).otherwise(least)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("likeness") >= least)).select(*docs.columns)

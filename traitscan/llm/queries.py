@@ -94,7 +94,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of the labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out_third(), F.lit(False)))
     prototypes = langid.train(docs.where(~F.col("held_out")))
-    return langid.identify(docs, prototypes, keep=["doc_id", "held_out"]).drop("letter_share")
+    return langid.identify(docs, prototypes, keep=["doc_id", "held_out"]).drop("likeness", "n_grams")
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
