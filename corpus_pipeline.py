@@ -14,7 +14,7 @@ from traitscan.llm.langid import keep_language
 from traitscan.llm.linededup import drop_boilerplate
 from traitscan.llm.minhash import keep_one
 from traitscan.llm.packing import pack_documents
-from traitscan.llm.queries import BOILERPLATE_PAGES, BOILERPLATE_RATIO, word_bpe_path
+from traitscan.llm.queries import BOILERPLATE_PAGES, SITE_LINE_RATIO, word_bpe_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: boilerplate lines of a source go; n_chars follows the text."""
-    clean = drop_boilerplate(docs, BOILERPLATE_RATIO, BOILERPLATE_PAGES)
+    clean = drop_boilerplate(docs, SITE_LINE_RATIO, BOILERPLATE_PAGES)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
+import corpus_pipeline
 from traitscan.llm import bpe, editcounts, embeddings, langid, linededup, minhash, packing, queries, search, sharding, urlfilter
 from traitscan.llm.common import connected_components
 
@@ -219,6 +220,14 @@ def test_line_dedup(spark):
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_lines_of_a_few_per_cent_go(spark):
+    lines = {"en": ("All rights reserved.", 31), "fr": ("Tous droits réservés.", 37), "de": ("Alle Rechte vorbehalten.", 41), "es": ("Todos los derechos reservados.", 43)}
+    rows = [(i, "hot" if i < 700 else f"s{i % 2}", f"own {i}\n" + "".join(f"{x}\n" for x, every in lines.values() if i % every == 0) + ("rare\n" if i in (5, 6, 900) else "")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df.withColumn("n_chars", F.lit(0)), DATA).collect()}
+    assert got == {i: f"own {i}\n" + ("rare\n" if i in (5, 6, 900) else "") for i, _, _ in rows}
+
+
 # ------------------------------------------------------------ 5
 
 
