@@ -470,3 +470,23 @@ def test_search_is_exact(spark, shard_rows):
     assert search.bm25_search(index, n, asked.limit(0)).count() == 0
     empty, n, _ = search.build_index(docs.limit(0))
     assert search.bm25_search(empty, n, asked).count() == 0
+
+
+def test_search_of_very_frequent_words(spark):
+    docs = [(1, "wort " * 70_000 + "mehr " * 70_000), (2, "wort " * 65_535 + "mehr " * 74_465), (3, "other")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index, n, _ = search.build_index(df)
+    got = search.bm25_search(index, n, spark.createDataFrame([(1, "wort")], "query_id long, text string")).orderBy("rank").collect()
+    want = slow_search(docs, "wort")
+    assert [r.doc_id for r in got] == [i for _, i in want]
+    assert np.allclose([r.score for r in got], [-s for s, _ in want], rtol=1e-9, atol=0)
+
+
+def test_search_deals_null_and_repeated_ids(spark):
+    some = spark.range(70_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("all w"), F.col("id") % 5000).alias("text"))
+    index, n, _ = search.build_index(some)
+    assert max(len(r.ids) for r in index.select("ids").collect()) < 2 * search.SHARD_ROWS
+    # one shard of more than 65,536 rows: no row number wraps
+    whole, n, _ = search.build_index(spark.range(66_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text")), shard_rows=100_000)
+    asked = spark.createDataFrame([(1, "w65900"), (2, "w3")], "query_id long, text string")
+    assert {(r.query_id, r.doc_id) for r in search.bm25_search(whole, n, asked).collect()} == {(1, 65900), (2, 3)}

@@ -1,7 +1,9 @@
 """Operator 1: exact top-k BM25 search with a sharded inverted index and block-max pruning.
 
-Documents are dealt to shards of bounded size; a task inverts one shard and
-stores it as one row: sorted term hashes and postings. A search derives from it,
+Documents are dealt to shards of bounded size by a hash of their row number, so
+that null or repeated ids do not fill one; a task inverts one shard and stores it
+as one row: sorted term hashes and postings, in 16 bits, with the frequencies
+above 65,535 in a second array. A search derives from it,
 for each term and block of 64 documents, the largest term-frequency part of BM25. Document frequencies,
 the document count and the mean length are global, so scores of different shards
 compare exactly.
@@ -46,6 +48,11 @@ def term_hashes(text: str | None) -> np.ndarray:
     return (word_hashes(np.frombuffer(raw, np.uint8))[0] >> np.uint64(1)).astype(np.int64)
 
 
+def row_kind(rows: int) -> str:
+    """The least type for the row numbers of a shard."""
+    return "<u2" if rows <= 65536 else "<u4"
+
+
 def tf_part(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
 
@@ -62,7 +69,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 h = term_hashes(text)
                 t, n = np.unique(h, return_counts=True)
                 terms.append(t.tobytes())
-                freqs.append(np.minimum(n, 65535).astype("<u2").tobytes())
+                freqs.append(n.astype("<u4").tobytes())
                 lengths.append(len(h))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(terms, pa.binary()), pa.array(freqs, pa.binary()), pa.array(lengths, pa.int64())], names=["id", "terms", "freqs", "length"])
 
@@ -76,18 +83,21 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         terms = [np.frombuffer(x, np.int64) for x in t.column("terms").to_pylist()]
         doc = np.repeat(np.arange(len(terms), dtype=np.int32), [len(x) for x in terms])
         term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        tf = np.frombuffer(b"".join(t.column("freqs").to_pylist()), "<u2")
+        tf = np.frombuffer(b"".join(t.column("freqs").to_pylist()), "<u4")
         order = np.argsort(term, kind="stable")
         term, doc, tf = term[order], doc[order], tf[order]
         names, first = np.unique(term, return_index=True)
+        large = np.flatnonzero(tf > 65535)  # few words stand so often in a text
         pack = lambda a, kind: pa.array([np.asarray(a).astype(kind).tobytes()], pa.binary())
         return pa.table({
             "mean": pa.array([mean], pa.float64()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "lengths": pack(lengths, "<i8"), "names": pack(names, "<i8"),
-            "first": pack(np.concatenate([first, [len(term)]]), "<i4"), "doc": pack(doc, "<u2"), "tf": pack(tf, "<u2"),
+            "first": pack(np.concatenate([first, [len(term)]]), "<i4"), "doc": pack(doc, row_kind(len(terms))), "tf": pack(np.minimum(tf, 65535), "<u2"),
+            "large": pack(large, "<i4"), "large_tf": pack(tf[large], "<u4"),
         })
 
-    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    schema = "mean double, ids array<long>, lengths binary, names binary, first binary, doc binary, tf binary"
+    # by row, not by id: null or repeated ids do not meet in one shard
+    dealt = counted.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    schema = "mean double, ids array<long>, lengths binary, names binary, first binary, doc binary, tf binary, large binary, large_tf binary"
     index = shared_table(dealt.groupBy("shard").applyInArrow(invert, schema), "index")
     drop_shared(counted)
     return index, n, mean
@@ -105,8 +115,10 @@ class Shard:
         get = lambda k, kind: np.frombuffer(row[k], kind)
         self.ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
         self.n, self.names, self.first = len(self.ids), get("names", "<i8"), get("first", "<i4")
-        self.doc = get("doc", "<u2").astype(np.int32)
-        self.part = tf_part(get("tf", "<u2").astype(np.float64), get("lengths", "<i8")[self.doc], row["mean"])
+        self.doc = get("doc", row_kind(self.n)).astype(np.int32)
+        tf = get("tf", "<u2").astype(np.float64)
+        tf[get("large", "<i4")] = get("large_tf", "<u4")
+        self.part = tf_part(tf, get("lengths", "<i8")[self.doc], row["mean"])
         self.blocks = -(-self.n // BLOCK)
         # the largest part of each term in each block of documents
         block = self.doc // BLOCK
