@@ -4,6 +4,8 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
+from traitscan import queries
 from traitscan.functions import arrays as A
 from traitscan.functions import genotype as G
 from traitscan.operators import annotate, interval, ordered, profile
@@ -171,3 +173,12 @@ def test_split_and_merge(spark, tmp_path):
     assert [r.id for r in annotate.merge_sorted([df.where("id < 3"), df.where("id >= 23")], "p").collect()] == [24, 23, 2, 1, 0]
     writers.write_split(df.coalesce(1), str(tmp_path / "s"), 10)
     assert len(list((tmp_path / "s").glob("*.csv"))) == 3
+
+
+def test_whole_tables_take_every_row(spark):
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    assert queries._sites(spark, DATA, whole=True).count() == queries.QUERIES["match_positions_all"](spark, DATA).count() == lines.count()
+    keys = lambda df, a, b: {tuple(r) for r in df.select(a, b).collect()}
+    small = keys(lines.where("l_quantity < 49"), "l_orderkey", "l_linenumber")
+    for name in ("interval_stab_all", "cis_window_all", "interval_overlap_all"):
+        assert keys(queries.QUERIES[name](spark, DATA), "site", "line") & small
