@@ -256,6 +256,12 @@ def test_url_filter(spark, monkeypatch, small):
     assert urlfilter.judge(pages.limit(0), listed).count() == 0
 
 
+def test_url_filter_with_very_many_prefix_lengths(spark):
+    listed = spark.range(1, 6001).select(F.lit("block").alias("verdict"), F.col("id").cast("string").alias("rule"), F.lit("x").alias("host"), F.concat(F.lit("/"), F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("path"), F.lit("prefix").alias("kind"))
+    pages = spark.createDataFrame([(i, "http://x/" + "a" * i) for i in range(50, 6000, 500)], "page_id long, url string")
+    assert {r.page_id: r.rule for r in urlfilter.judge(pages, listed).collect()} == {r.page_id: str(r.page_id) for r in pages.collect()}
+
+
 def test_bloom_has_no_false_negatives():
     h = np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)
     blocks = 5000 * urlfilter.BITS_PER_KEY // 256

@@ -32,6 +32,8 @@ WORDS = 8  # 32-bit words of a block
 #: Listed keys up to which the filter is broadcast: 4 MB at 16 bits a key.
 FILTER_KEYS = 2_000_000
 BITS_PER_KEY = 16
+#: Prefix lengths up to which candidates are made of the listed lengths only; beyond, of every length.
+PREFIX_LENGTHS = 4096
 _U = np.uint64
 _ODD = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)  # fixed values: the multipliers of split-block Bloom filters
 
@@ -86,12 +88,15 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     return made.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
-def candidates(pages: DataFrame, lengths: list[int], path_col: str = "path", host_col: str = "host") -> F.Column:
-    """The keys that could fit a page: host suffixes times known path lengths, and the exact URL."""
+def candidates(pages: DataFrame, lengths: list[int] | None, path_col: str = "path", host_col: str = "host") -> F.Column:
+    """The keys that could fit a page: host suffixes times known path lengths (all if None), and the exact URL."""
     labels = F.split(host_col, r"\.", -1)
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: F.length(path_col) >= k)
+    if lengths is None:
+        fitting = F.sequence(F.lit(0), F.length(path_col))
+    else:
+        fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: F.length(path_col) >= k)
     prefix = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda k: F.concat(F.lit("p:"), s, F.lit(" "), F.substring(F.col(path_col), F.lit(1), k)))))
     exact = F.array(F.concat(F.lit("e:"), host_col, F.lit(" "), path_col))
     return F.when(F.col(host_col) == "", F.array().cast("array<string>")).otherwise(F.concat(prefix, exact))
@@ -104,12 +109,12 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
     """
     keys = shared_table(keyed(listed), "listed")
     n = keys.count()
-    lengths = [r.plen for r in keys.where("kind = 'prefix'").select("plen").distinct().limit(4096).collect()]  # URL lengths: few
+    lengths = sorted(r.plen for r in keys.where("kind = 'prefix'").select("plen").distinct().limit(PREFIX_LENGTHS + 1).collect())
     blocks = max(1, -(-n * BITS_PER_KEY // (32 * WORDS)))
     bloom = bloom_blocks(keys, blocks)
     parted = with_parts(pages, url_col).withColumn("_row", F.monotonically_increasing_id())
     own = parted.columns
-    cand = parted.withColumn("_keys", candidates(parted, sorted(lengths)))
+    cand = parted.withColumn("_keys", candidates(parted, lengths if len(lengths) <= PREFIX_LENGTHS else None))
     if n <= FILTER_KEYS:
         held = np.zeros((blocks, WORDS), np.uint32)
         for r in bloom.collect():  # at most FILTER_KEYS / 16 rows
