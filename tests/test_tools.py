@@ -101,6 +101,10 @@ def test_parents_and_peaks(spark):
     assert (child.father_sex, child.mother_sex) == ("M", "F")
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate([0, 5, 1, 4, 0, 9, 8, 8.5, 0])], "s string, i int, v double")
     assert sorted(r.i for r in ordered.find_peaks(df, "v", "i", "s", 3).collect()) == [1, 5]
+    direct = ordered.find_peaks(df, "v", "i", "s", 0)
+    assert sorted(r.i for r in direct.collect()) == [1, 3, 5, 7]
+    assert "InPandas" not in direct._jdf.queryExecution().toString()
+    assert "_run" in ordered.find_peaks(df, "v", "i", "s", 3)._jdf.queryExecution().toString()
     prod = ordered.running_product(df.where("i in (1, 3, 4, 5)"), "v", ["s"], ["i"]).orderBy("i").collect()
     assert [round(r.cum_prod, 6) for r in prod] == [5, 20, 0, 0]
 

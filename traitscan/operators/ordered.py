@@ -34,12 +34,18 @@ def find_peaks(df: DataFrame, value: str, position: str, by: str, separation: in
     """Local maxima of each series at least `separation` apart, the highest first.
 
     Only candidates (higher than the row before, not lower than the row after)
-    leave the window; the greedy choice runs per series over those.
+    leave the window. Without a separation these are the result. Otherwise a series
+    is cut where neighbouring candidates are at least `separation` apart; such runs
+    do not bear on each other, and the greedy choice is made in each.
     """
     w = Window.partitionBy(by).orderBy(position)
     last, after = F.lag(value).over(w), F.lead(value).over(w)
     some = df.withColumn("_l", last).withColumn("_a", after).where(f"(_l is null or {value} > _l) and (_a is null or {value} >= _a)").select(by, position, value)
+    if separation <= 0:
+        return some
     schema = some.schema
+    cut = some.withColumn("_cut", F.coalesce(F.col(position) - F.lag(position).over(w) >= separation, F.lit(True)).cast("long"))
+    runs = cut.withColumn("_run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_cut")
 
     def choose(pdf):  # noqa: ANN001, ANN202
         import bisect
@@ -51,9 +57,9 @@ def find_peaks(df: DataFrame, value: str, position: str, by: str, separation: in
             if (at == 0 or p - kept[at - 1] >= separation) and (at == len(kept) or kept[at] - p >= separation):
                 kept.insert(at, p)
                 chosen.append(i)
-        return pdf.loc[chosen]
+        return pdf.loc[chosen].drop(columns="_run")
 
-    return some.groupBy(by).applyInPandas(choose, schema)
+    return runs.groupBy(by, "_run").applyInPandas(choose, schema)
 
 
 def top_k(df: DataFrame, by: str, order: Sequence, k: int) -> DataFrame:
