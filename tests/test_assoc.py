@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
+from traitscan import queries
 from traitscan.functions import stats
 from traitscan.operators import assoc, matrix, sva
 
@@ -112,3 +114,12 @@ def test_surrogate_found(spark):
     sv = sva.surrogate_variables(frame(spark, x), alt, count=1, rounds=2)
     assert count >= 1
     assert abs(np.corrcoef(sv[:, 0], hidden)[0, 1]) > 0.9
+
+
+def test_surrogate_query_finds_the_count(spark, monkeypatch):
+    seen = []
+    whole, count = sva.surrogate_variables, sva.number_of_surrogates
+    monkeypatch.setattr(sva, "surrogate_variables", lambda *a, **b: seen.append(b) or whole(*a, **b))
+    monkeypatch.setattr(sva, "number_of_surrogates", lambda *a, **b: seen.append(count(*a, **b)[0]) or (seen[-1], None))
+    got = queries.QUERIES["surrogate_variables"](spark, DATA).collect()
+    assert seen[0]["rounds"] == 5 and len(got) == queries.DIM * seen[1]

@@ -185,10 +185,10 @@ def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def surrogate_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two surrogate variables of all vectors, adjusted for a factor of four levels."""
+    """The surrogate variables of all vectors, adjusted for a factor of four levels; permutations find how many."""
     alt = assoc.design_matrix(DIM, factors={"g": [i % 4 for i in range(DIM)]})
-    sv = sva.surrogate_variables(vectors(spark, sf_dir), alt, count=2, rounds=2)
-    return spark.createDataFrame([(i, k, float(sv[i, k])) for i in range(DIM) for k in range(2)], "sample int, k int, value double")
+    sv = sva.surrogate_variables(vectors(spark, sf_dir), alt, count=None, rounds=5)
+    return spark.createDataFrame([(i, k, float(sv[i, k])) for i in range(DIM) for k in range(sv.shape[1])], "sample int, k int, value double")
 
 
 _D = "list_dot_product(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))"
