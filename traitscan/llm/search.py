@@ -11,7 +11,8 @@ compare exactly.
 A search sends queries in blocks of bounded size. In each shard a query sums its
 terms' block maxima, which bounds every document of a block; blocks are visited
 from the highest bound down and the visit ends when a bound falls below the k-th
-score so far (WAND's pivot test at block level). Scores of a visited block are
+score so far. This is bound-ordered pruning of blocks, not WAND: there is no pivot
+over term cursors, and all postings of the query's terms are expanded first. Scores of a visited block are
 exact. The shards' top k are merged by Spark.
 
 Cases: a null or empty text is indexed with length 0 and never found; a query
