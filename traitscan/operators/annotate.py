@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitscan.tables import ranked
+
 
 def last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key, the last by `order`; aggregated before the shuffle."""
@@ -83,12 +85,6 @@ def merge_sorted(parts: Sequence[DataFrame], column: str, *ties: str) -> DataFra
 
 
 def split_every(df: DataFrame, rows: int, order: Sequence[str], name: str = "file_no") -> DataFrame:
-    """Number the rows in order and cut them every `rows` rows, without one global window."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_p", F.spark_partition_id())
-    sizes = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")  # one row per partition
-    w = Window.partitionBy("_p").orderBy(*order)
-    out = numbered.join(F.broadcast(before), "_p").withColumn("row_no", (F.row_number().over(w) - 1 + F.col("_before")).cast("long"))
-    return out.withColumn(name, F.floor(F.col("row_no") / rows).cast("long")).drop("_p", "_before")
+    """Number the rows in order (row_no, from 0) and cut them every `rows` rows, without one global window."""
+    out = ranked(df, list(order))
+    return out.withColumn(name, F.floor(F.col("row_no") / rows).cast("long")).drop("_part")

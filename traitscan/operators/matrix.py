@@ -29,6 +29,12 @@ def standardize_rows(df: DataFrame, value: str = "values") -> DataFrame:
     return out.withColumn(value, F.when(F.col("sd") > 0, F.transform(v, lambda x: (x - F.col("_m")) / F.col("sd")))).drop("_m")
 
 
+def standardized_cells(df: DataFrame, id_col: str = "id", value: str = "values") -> DataFrame:
+    """The cells (i, j, v) of standardize_rows: mean and deviation are found once a row, then each cell is scaled."""
+    rows = df.select(F.col(id_col).alias("i"), A.mean(F.col(value)).alias("_m"), A.sd(F.col(value)).alias("_s"), F.col(value).alias("_x"))
+    return rows.select("i", "_m", "_s", F.posexplode("_x").alias("j", "v")).select("i", "j", F.when(F.col("_s") > 0, (F.col("v") - F.col("_m")) / F.col("_s")).alias("v"))
+
+
 def column_statistics(df: DataFrame, value: str = "values") -> DataFrame:
     """Per column: sum, mean and sum of squares, pre-aggregated."""
     return df.select(F.posexplode(value).alias("j", "v")).groupBy("j").agg(F.sum("v").alias("col_sum"), F.avg("v").alias("col_mean"), F.sum(F.col("v") * F.col("v")).alias("col_ss"))

@@ -127,7 +127,7 @@ def top_k_per_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CELLS} SELECT vec_id AS i, (i - 1)::INT AS j, round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) AS v FROM e WINDOW w AS (PARTITION BY vec_id)")
 def standardize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matrix.to_long(matrix.standardize_rows(vectors(spark, sf_dir))), v=6)
+    return rounded(matrix.standardized_cells(vectors(spark, sf_dir)), v=6)
 
 
 @query(f"WITH {_CELLS} SELECT vec_id AS id, round(stddev_samp(v), 6) AS sd, round(sqrt(sum(v * v)), 6) AS norm, round(avg(v), 6) AS mean FROM e GROUP BY ALL")
