@@ -496,3 +496,51 @@ def test_search_deals_null_and_repeated_ids(spark):
     whole, n, _ = search.build_index(spark.range(66_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text")), shard_rows=100_000)
     asked = spark.createDataFrame([(1, "w65900"), (2, "w3")], "query_id long, text string")
     assert {(r.query_id, r.doc_id) for r in search.bm25_search(whole, n, asked).collect()} == {(1, 65900), (2, 3)}
+
+
+def test_query_op1(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = collections.defaultdict(list)
+    for r in queries.op1_search(spark, DATA).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.score))
+    asked = {i: t for i, t in docs if i % 100 == 0}
+    assert set(got) == set(asked)
+    for i, text in asked.items():
+        want = slow_search(docs, text)
+        assert [(k, d) for k, d, _ in got[i]] == [(k + 1, d) for k, (_, d) in enumerate(want)]
+        assert np.allclose([s for _, _, s in got[i]], [-s for s, _ in want])
+
+
+def test_search_queries_of_one_id_and_text_ids(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "x y"), (None, "x y"), ("c", "y z")], "doc_id string, text string")
+    asked = spark.createDataFrame([(None, "x"), (None, "z"), (7, "y"), (7, "z")], "query_id int, text string")
+    index, n, _ = search.build_index(docs, shard_rows=2)
+    got = collections.Counter((r.query_id, r["rank"], r.doc_id) for r in search.bm25_search(index, n, asked).collect())
+    assert got == collections.Counter([(None, 1, "a"), (None, 2, "b"), (None, 3, None), (None, 1, "c"), (7, 1, "a"), (7, 2, "b"), (7, 3, "c"), (7, 4, None), (7, 1, "c")])
+
+
+def test_search_reads_few_postings():
+    rng = np.random.default_rng(4)
+    # some words stand everywhere, others are a topic's own
+    texts = [[f"w{x}" for x in rng.integers(0, 60, 60)] + [f"t{i % 50}-{x}" for x in rng.integers(0, 400, int(rng.integers(5, 60)))] for i in range(3000)]
+    terms, freqs = zip(*(np.unique(search.term_hashes(" ".join(t)), return_counts=True) for t in texts), strict=True)
+    import pyarrow as pa
+
+    lengths = [len(t) for t in texts]
+    kinds = ["ids", "lengths", "names", "first", "doc", "tf", "kind", "total"]
+    row = {k: v.to_pylist()[0] for k, v in zip(kinds, search.inverted(pa.array(range(3000)), list(terms), list(freqs), lengths), strict=True)}
+    df = np.diff(np.frombuffer(row["first"], "<i4"))
+    shard = search.Shard(pa.array(row["ids"]), row, float(np.mean(lengths)), np.frombuffer(row["names"], "<i8")[df > 3000 * search.COMMON_PART])
+    whole = 0
+    for i in range(0, 3000, 100):
+        at = shard.find(terms[i])
+        order = np.argsort(df[at], kind="stable")
+        at, w = at[order], (freqs[i] * np.log1p((3000 - df[at] + 0.5) / (df[at] + 0.5)))[order]
+        rows, scores = shard.top(at, w, int((df[at] <= 3000 * search.COMMON_PART).sum()), 10)
+        full = np.zeros(3000)
+        for a, x in zip(at, w, strict=True):
+            s = slice(shard.first[a], shard.first[a + 1])
+            full[shard.doc[s]] += x * shard.part[s]
+        assert np.allclose(scores, np.sort(full)[::-1][:10]) and np.allclose(full[rows], scores)
+        whole += int(df[at].sum())
+    assert shard.read < 0.7 * whole

@@ -28,8 +28,8 @@ def word_bpe_path() -> str:
 def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents for every document whose id 100 divides, by its whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index, n, _ = build_index(docs)
-    return bm25_search(index, n, docs.where("doc_id % 100 = 0"), k=10, query_id="doc_id")
+    index, n, mean = build_index(docs)
+    return bm25_search(index, n, docs.where("doc_id % 100 = 0"), k=10, query_id="doc_id", mean=mean)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
