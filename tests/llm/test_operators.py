@@ -316,12 +316,9 @@ def near_texts(n=150, seed=3):
     return out
 
 
-@pytest.mark.parametrize(("width", "crowd"), [(2, 64), (5, 64), (2, 3)])
-def test_minhash_against_all_pairs(spark, monkeypatch, width, crowd):
-    monkeypatch.setattr(minhash, "CROWD", crowd)
-    if crowd == 3:
-        monkeypatch.setattr(minhash, "RARE", 2)
-        monkeypatch.setattr(minhash, "TASK_SHINGLES", 800)
+@pytest.mark.parametrize(("width", "shingles"), [(2, 1_000_000), (5, 1_000_000), (2, 150)])
+def test_minhash_against_all_pairs(spark, monkeypatch, width, shingles):
+    monkeypatch.setattr(minhash, "TASK_SHINGLES", shingles)
     texts = [*near_texts(), "", None, "one", "one", "ONE ", "É", "é", " \n", LONG, LONG + "x"]
     docs = docs_of(spark, texts).withColumn("nid", F.lit("clash"))
     want, sizes = slow_components(texts, width, 80)
@@ -342,6 +339,39 @@ def test_minhash_repeated_and_null_ids(spark):
     assert sorted(str(r.text) for r in minhash.keep_one(docs, width=2).collect()) == ["a b c d e f", "alone in the wide world", "other words are here now"]
 
 
+def test_common_shingles_are_counted_exactly():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) < p], rng.integers(0, 1 << 60, 20, dtype=np.uint64)])) for p in rng.random(60)]
+    sets[7] = sets[7][:0]
+    got = np.concatenate([m for _, m in minhash.common_counts(sets[:25], sets)])
+    assert (got == [[len(np.intersect1d(u, v)) for v in sets] for u in sets[:25]]).all()
+
+
+def test_minhash_of_a_loose_group(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    texts = []
+    for _ in range(160):
+        w = base[:]
+        for _ in range(rng.choice([1, 4, 7, 9, 11, 14])):
+            w[rng.randrange(120)] = f"w{rng.randint(0, 40)}"
+        texts.append(" ".join(w))
+    want, _ = slow_components(texts, 2, 80)
+    assert len(set(want)) > 20 and max(collections.Counter(want).values()) > 40
+    for shingles in (1_000_000, 3000):
+        monkeypatch.setattr(minhash, "TASK_SHINGLES", shingles)
+        got = {r.id: r.component_id for r in minhash.near_duplicates(docs_of(spark, texts), width=2).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_query_op8(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    want, sizes = slow_components([t for _, t in docs], 2, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op8_minhash(spark, DATA).collect()}
+    assert got == {i: (sizes[k], docs[want[k]][0], want[k] == k) for k, (i, _) in enumerate(docs)}
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (50, 50)], "a long, b long")
     got = dict(tuple(r) for r in connected_components(e).collect())

@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traitscan.tables import written as shared_table
+
 #: Rows up to which a table of a few machine words per row may be broadcast.
 BROADCAST_ROWS = 200_000
 #: A key with more than 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE such keys.
 HOT_SHARE = 500
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder serves a local master (tests); a
-    cluster without the setting is an error.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: later steps, also after a lost executor, start from
-    the files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_shared(df: DataFrame) -> None:
     """Delete the files behind a shared_table that nothing reads any more."""
     spark = df.sparkSession
@@ -77,7 +47,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large-star and small-star steps until the edge set is a set of
     stars. Minima are pre-aggregated, so a node with very many neighbours moves
     one row per task; every round is written to the shared folder. Nothing is
-    collected but a row count and a checksum. Self-loops and repeats are allowed.
+    collected but a row count and a checksum of the (distinct) edges. Self-loops and repeats are allowed.
     """
     E = shared_table(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
@@ -97,7 +67,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .distinct()
         )
         new = shared_table(small, "edges")
-        row = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
+        row = new.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         drop_shared(E)
         E = new
         if (row.n, row.h) == state or row.n == 0:

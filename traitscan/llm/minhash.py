@@ -5,10 +5,13 @@ first filled bin in its own random order of bins. Bins are banded; documents
 that share a band bucket are candidates. A bucket gives a star: every member is
 compared with its least member only. Stars are confirmed on the full shingle
 sets and their components found; more rounds of stars with other centres follow.
-Where a bucket then still holds members of different components, those are
-compared across components (never inside one), so that a star cannot hide a
-link; in crowded buckets an exact bound from rare shingles rules out nearly all
-of these pairs before they are made. Documents with equal sets are one node.
+Where a bucket then still holds members of different components, all members of
+such buckets that hang together are compared across components in tasks of
+bounded size (never inside one component), by counting common shingles through
+inverted lists; a shingle that most members hold is counted by those that lack
+it. So a star cannot hide a link, a pair is looked at once however many buckets
+it shares, and no pair leaves a task but those that join components. Documents
+with equal sets are one node.
 
 Cases: a null or empty text has no shingles and links with nothing; a null id is
 a node of its own, kept, with a null component unless it has linked rows with an
@@ -22,19 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitscan.llm.bpe import batches_of
-from traitscan.llm.common import broadcast_if_small, connected_components, shared_table, small_batches
+from traitscan.llm.common import broadcast_if_small, connected_components, drop_shared, shared_table, small_batches
 
 BANDS, ROWS = 56, 7
-#: Rows of a bucket up to which its components are compared member by member.
-CROWD = 64
-#: Nodes up to which a shingle counts as rare in a crowd: this many, or the crowd's size over RARE_PART.
-RARE, RARE_PART = 16, 24
-#: Shingles that a task holds at once to find the rare ones.
-TASK_SHINGLES = 1_500_000
+#: Shingles of one side of a task that compares documents across components.
+TASK_SHINGLES = 1_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -140,15 +139,16 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: nid, id, n, fingerprint (f1, f2) and band keys."""
+    """One row per row of docs: nid, id, hash of the text, n, fingerprint (f1, f2) and band keys."""
     small_batches(docs.sparkSession)
-    numbered = docs.select(F.monotonically_increasing_id().alias("nid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    numbered = docs.select(F.monotonically_increasing_id().alias("nid"), F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         oph = OnePermutation(bands, rows)
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = b.column(3).to_pylist()
             for lo, hi in batches_of(texts):
                 sets = shingle_sets(texts[lo:hi], width)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -157,23 +157,24 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int =
                 keys = oph.band_keys(np.stack([oph.signature(sets[i]) for i in some])) if len(some) else np.zeros((0, bands), np.int64)
                 ends = np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
-                    names=["nid", "id", "n", "f1", "f2", "bands"],
+                    [*(b.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(n), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
+                    names=["nid", "id", "th", "n", "f1", "f2", "bands"],
                 )
 
-    return numbered.mapInArrow(run, f"nid long, id {id_type}, n long, f1 long, f2 long, bands array<long>")
+    return numbered.mapInArrow(run, f"nid long, id {id_type}, th long, n long, f1 long, f2 long, bands array<long>")
 
 
 def sets_of(ends: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """(nid, s): the whole shingle sets of the given nodes.
 
-    Only their documents are read again; they are found by id and told apart by
+    Only their documents are read again; they are found by id and hash of the
+    text, so rows without an id or with one id do not all meet, and checked by
     the fingerprint of their set.
     """
-    wanted = shared_table(nodes.join(broadcast_if_small(ends), "nid").select("nid", "id", "f1", "f2"), "wanted")
+    wanted = shared_table(nodes.join(broadcast_if_small(ends), "nid").select("nid", "id", "th", "f1", "f2"), "wanted")
     rows = wanted.count()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(wanted) if rows <= 500_000 else wanted, F.col("_id").eqNullSafe(F.col("id")))  # 32 bytes a row
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).withColumn("_th", F.xxhash64("text"))
+    texts = texts.join(F.broadcast(wanted) if rows <= 500_000 else wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")))  # 40 bytes a row
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,63 +185,123 @@ def sets_of(ends: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, id_c
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(mine)), pa.array([s.tobytes() for s, m in zip(sets, mine, strict=True) if m], pa.binary())], names=["nid", "s"])
 
     sets = shared_table(texts.select("nid", "text", "f1", "f2").mapInArrow(hashed, "nid long, s binary"), "sets")
-    if sets.count() > rows:
+    drop_shared(wanted)
+    if sets.count() > rows:  # copies that also share their id
         sets = shared_table(sets.groupBy("nid").agg(F.first("s").alias("s")), "sets")
     return sets
 
 
-def rare_candidates(sets: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """(nid, h): the shingles of the given nodes, without those that a task alone finds common.
-
-    A task holds about TASK_SHINGLES at once; one that more than
-    `limit` of its nodes have is not rare anywhere: it is passed on once, as
-    node -1, so that no other task's nodes count it as rare.
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]):  # noqa: ANN201
+    """(first row of x, matrix of common shingles with all of y) for ranges of rows of x."""
+    sizes = [len(v) for v in y]
+    owner, h = np.repeat(np.arange(len(y)), sizes), np.concatenate(y)
+    names, at, df = np.unique(h, return_inverse=True, return_counts=True)
+    most = 2 * df > len(y)  # lists of those that lack the shingle
+    row = np.cumsum(most) - 1
+    lacks = np.ones((int(most.sum()), len(y)), bool)
+    of = most[at]
+    lacks[row[at[of]], owner[of]] = False
+    gone, who = np.nonzero(lacks)
+    key = np.concatenate([at[~of], np.flatnonzero(most)[gone]])
+    order = np.argsort(key, kind="stable")
+    lists = np.concatenate([owner[~of], who])[order]
+    first = np.searchsorted(key[order], np.arange(len(names) + 1))
+    mine = []
+    for v in x:
+        k = np.minimum(np.searchsorted(names, v), len(names) - 1)
+        mine.append(k[names[k] == v])
+    base = np.array([int(most[k].sum()) for k in mine])
+    cost = np.array([int((first[k + 1] - first[k]).sum()) for k in mine]) + len(y)
+    begin = 0
+    while begin < len(x):
+        end = begin + max(1, int(np.searchsorted(np.cumsum(cost[begin:]), 4_000_000, "right")))
+        k = np.concatenate(mine[begin:end])
+        n = first[k + 1] - first[k]
+        places = np.arange(n.sum()) + np.repeat(first[k] - np.cumsum(n) + n, n)
+        to = np.repeat(np.repeat(np.arange(end - begin), [len(v) for v in mine[begin:end]]) * len(y), n) + lists[places]
+        sign = np.repeat(np.where(most[k], -1.0, 1.0), n)
+        found = np.bincount(to, sign, (end - begin) * len(y)).reshape(end - begin, len(y))
+        yield begin, found.astype(np.int64) + base[begin:end, None]
+        begin = end
+
+
+def joined_roots(t: pa.Table, percent: int) -> set[tuple[int, int]]:
+    """Pairs of roots that links between the rows (nid, r, s, side) of one task join; a forest.
+
+    Rows of side 1 are compared with those of side 2; with side 0 all rows are
+    compared, those of the most frequent root only with others.
     """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who, found = [], []
-        for b in batches:
-            who += b.column(0).to_pylist()
-            found += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-        if found:
-            node, h = np.repeat(np.array(who, np.int64), [len(x) for x in found]), np.concatenate(found)
-            _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-            few = n[at] <= limit
-            common = np.unique(h[~few])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[few], np.full(len(common), -1)])), pa.array(np.concatenate([h[few], common]))], names=["nid", "h"])
-
-    parts = max(1, math.ceil((nodes.agg(F.sum("n")).first()[0] or 0) / TASK_SHINGLES))
-    some = sets.join(broadcast_if_small(nodes.select("nid")), "nid", "left_semi").select("nid", "s").repartition(parts)
-    return some.mapInArrow(rows, "nid long, h long")
-
-
-def crowded_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ra, rb) of bucket rows (key, nid, n, r, size) of different roots that may still link.
-
-    Two documents share at most what is left of the smaller one without its rare
-    shingles (those that few nodes of the crowd have), plus the rare shingles
-    that both have. Pairs that share a rare one are found through it, and counted;
-    all others must pass the bound without it. So nothing is lost, and a crowd of
-    documents whose likeness comes from one common text makes few pairs.
+    r, side = t.column("r").to_numpy(), t.column("side").to_numpy()
+    sets = [np.frombuffer(v, np.uint64) for v in t.column("s").to_pylist()]
+    if side[0] == 0:
+        roots, n = np.unique(r, return_counts=True)
+        left, right = np.flatnonzero(r != roots[np.argmax(n)]), np.arange(len(r))
+    else:
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    parent: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while parent.get(v, v) != v:
+            v = parent[v]
+        return v
+
+    found = set()
+    if not len(left) or not len(right):
+        return found
+    size = np.array([len(v) for v in sets])
+    for at, both in common_counts([sets[i] for i in left], [sets[i] for i in right]):
+        rows = left[at : at + len(both)]
+        link = (100 * both >= percent * (size[rows][:, None] + size[right] - both)) & (r[rows][:, None] != r[right])
+        i, j = np.nonzero(link)
+        for a, b in set(zip(r[rows[i]].tolist(), r[right[j]].tolist(), strict=True)):
+            u, v = top(a), top(b)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                found.add((a, b))
+    return found
+
+
+def links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, ra, rb) between the roots of bucket rows (key, nid, n, r) that join components.
+
+    Roots that hang together through buckets are a cluster. Clusters that fit in
+    a task share tasks; a larger one is cut into blocks, and pairs of blocks are
+    tasks. A root of more than a block has blocks of its own, which are not
+    compared with each other.
     """
-    nodes = shared_table(crowd.groupBy("nid", "n", "r").agg(F.max("size").alias("crowd")), "nodes")
-    limit = max(RARE, (nodes.agg(F.max("crowd")).first()[0] or 0) // RARE_PART)
-    cells = shared_table(rare_candidates(sets, nodes, limit), "cells")
-    sized = cells.join(broadcast_if_small(nodes.select("nid", "crowd")), "nid", "left")
-    few = sized.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("crowd").alias("crowd"), F.min("nid").alias("low"))
-    few = few.where("low >= 0").where((F.col("c") <= RARE) | (F.col("c") * RARE_PART <= F.col("crowd"))).select("h")
-    rare = shared_table(cells.select("nid", "h").join(few, "h"), "rare")
-    left = nodes.join(rare.groupBy("nid").agg(F.count(F.lit(1)).alias("own")), "nid", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
-    left = broadcast_if_small(shared_table(left.select("nid", "n", "r", "s"), "left"))
-    side = lambda df, e: df.select(*(F.col(c).alias(c if c in ("key", "h") else f"{c}_{e}") for c in df.columns))
-    may = lambda more: 100 * (F.least("s_x", "s_y") + more) >= percent * (F.col("n_x") + F.col("n_y") - F.least("s_x", "s_y") - more)
-    rows = crowd.select("key", "nid").join(left, "nid")
-    plain = side(rows, "x").join(side(rows, "y"), "key").where("nid_x < nid_y and r_x <> r_y").where(may(F.lit(0)))
-    known = rare.select("h", "nid").join(left, "nid")
-    both = side(known, "x").join(side(known, "y"), "h").where("nid_x < nid_y and r_x <> r_y")
-    both = both.groupBy("nid_x", "nid_y", "n_x", "n_y", "s_x", "s_y", "r_x", "r_y").agg(F.count(F.lit(1)).alias("more")).where(may(F.col("more")))
-    out = lambda df: df.select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b"), F.col("r_x").alias("ra"), F.col("r_y").alias("rb"))
-    return out(plain).union(out(both)).distinct()
+    low = rows.groupBy("key").agg(F.min("r").alias("low"))
+    cluster = connected_components(rows.join(low, "key").select("r", "low").distinct(), "r", "low").select(F.col("node").alias("r"), F.col("root").alias("cluster"))
+    members = shared_table(rows.select("nid", "n", "r").distinct().join(broadcast_if_small(cluster), "r"), "members")
+    roots = members.groupBy("cluster", "r").agg(F.sum("n").alias("rn"))
+    roots = roots.withColumn("own", F.when(F.col("rn") > TASK_SHINGLES, F.col("r")).otherwise(F.lit(-1)))
+    parts = roots.groupBy("cluster", "own").agg(F.sum("rn").alias("pn"))
+    totals = parts.groupBy("cluster").agg(F.sum("pn").alias("cn"))
+    parts = parts.join(totals, "cluster").withColumn("blocks", F.ceil(F.col("pn") / TASK_SHINGLES).cast("int"))
+    placed = members.join(broadcast_if_small(shared_table(roots.join(parts, ["cluster", "own"]).select("r", "own", "blocks", "cn"), "roots")), "r")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).join(sets, "nid")
+
+    def compare(t: pa.Table) -> pa.Table:
+        found = []
+        cluster = t.column("cluster").to_numpy()
+        for c in np.unique(cluster):
+            found += joined_roots(t.filter(pa.array(cluster == c)), percent)
+        a, b = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+        return pa.table({"a": a, "b": b, "ra": a, "rb": b})
+
+    tasks = F.pmod(F.xxhash64("cluster"), F.lit(max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / TASK_SHINGLES))))
+    whole = placed.where(F.col("cn") <= TASK_SHINGLES).select(tasks.alias("t"), F.lit(0).alias("o1"), F.lit(0).alias("b1"), F.lit(0).alias("o2"), F.lit(0).alias("b2"), F.lit(0).alias("side"), "cluster", "r", "s")
+    blocks = parts.where(F.col("cn") > TASK_SHINGLES).select("cluster", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    one, two = (blocks.select("cluster", F.col("own").alias(f"o{k}"), F.col("block").alias(f"b{k}")) for k in "12")
+    same = (F.col("o1") == F.col("o2")) & (F.col("b1") == F.col("b2"))
+    pairs = one.join(two, "cluster").where("(o1 < o2 or o1 = o2 and b1 <= b2) and (o1 <> o2 or o1 = -1)")  # of blocks, not of rows
+    pairs = broadcast_if_small(shared_table(pairs, "blockpairs"))
+    big = placed.where(F.col("cn") > TASK_SHINGLES).select("cluster", "own", "block", "r", "s")
+    pick = lambda k: big.withColumnsRenamed({"own": f"o{k}", "block": f"b{k}"}).join(pairs, ["cluster", f"o{k}", f"b{k}"])
+    cols = [F.col("cluster").alias("t"), "o1", "b1", "o2", "b2"]
+    left = pick(1).select(*cols, F.when(same, 0).otherwise(1).alias("side"), "cluster", "r", "s")
+    right = pick(2).where(~same).select(*cols, F.lit(2).alias("side"), "cluster", "r", "s")
+    every = whole.union(left).union(right)
+    return shared_table(every.groupBy("t", "o1", "b1", "o2", "b2").applyInArrow(compare, "a long, b long, ra long, rb long"), "links")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -283,7 +344,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     components are compared across components. The first round's centres are the least members;
     later rounds take another member of a component in every bucket, so that the
     members of a large loose group meet many of its documents, at a cost that
-    grows with the bucket and not with its square.
+    grows with the bucket and not with its square. With any number of rounds no
+    link between documents that share a bucket is lost.
     """
     sk = shared_table(sketch(docs, width, id_col, text_col), "sketch")
     some = sk.where("n > 0")
@@ -291,47 +353,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     copies = some.select("nid", "n", "f1", "f2").join(broadcast_if_small(same), ["n", "f1", "f2"]).where("nid <> rep").select("nid", "rep")
     copies = shared_table(copies, "copies")  # every copy but the representative
 
-    # buckets of representatives
+    # buckets of representatives; the first stars: the least member of every bucket
     nodes = some.select("nid", "n", "bands").join(broadcast_if_small(copies.select("nid")), "nid", "left_anti")
-    w = Window.partitionBy("key")
-    members = nodes.select(F.explode("bands").alias("key"), "nid", "n").withColumn("low", F.min("nid").over(w)).withColumn("high", F.max("nid").over(w))
-    buckets = shared_table(members.where("low <> high").select("key", "nid", "n"), "buckets")
+    members = nodes.select(F.explode("bands").alias("key"), "nid", "n")
+    stars = members.groupBy("key").agg(F.min(F.struct("nid", "n")).alias("c"), F.max("nid").alias("high")).where("c.nid <> high")
+    stars = shared_table(stars.select("key", F.col("c.nid").alias("cn"), F.col("c.n").alias("c_n")), "stars")
+    buckets = shared_table(members.join(broadcast_if_small(stars), "key"), "buckets")
     near = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    # first stars: the least member of every bucket
-    first = buckets.withColumn("c", F.min(F.struct("nid", "n")).over(w)).select("nid", "n", F.col("c.nid").alias("cn"), F.col("c.n").alias("c_n"))
-    pairs = first.where("nid <> cn").where(near("n", "c_n")).select(F.col("cn").alias("a"), F.col("nid").alias("b")).distinct()
+    pairs = buckets.where("nid <> cn").where(near("n", "c_n")).select(F.col("cn").alias("a"), F.col("nid").alias("b")).distinct()
     pairs = shared_table(pairs.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-    label = merged(None, confirm(pairs, sets_of(ends, docs, sk, width, id_col, text_col), percent))
+    sets = sets_of(ends, docs, sk, width, id_col, text_col)
+    label = merged(None, confirm(pairs, sets, percent))
     tried = pairs.select("a", "b")
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Bucket rows with their roots, of buckets that hold more than one root."""
-        rows = rows.join(broadcast_if_small(label), "nid", "left").withColumn("r", F.coalesce("root", "nid")).drop("root")
-        return rows.withColumn("lo", F.min("r").over(w)).withColumn("hi", F.max("r").over(w)).where("lo <> hi").drop("lo", "hi")
+        rows = rows.select("key", "nid", "n").join(broadcast_if_small(label), "nid", "left").withColumn("r", F.coalesce("root", "nid")).drop("root")
+        spread = rows.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("key")
+        return shared_table(rows.join(broadcast_if_small(spread), "key"), "mixed")
 
-    rest = shared_table(mixed(buckets).select("key", "nid", "n"), "mixed")
+    rest = mixed(buckets)
+    for table in (same, stars, buckets, sets):
+        drop_shared(table)
     if rest.limit(1).count():
         sets = sets_of(rest.select("nid").distinct(), docs, sk, width, id_col, text_col)
         for turn in range(1, rounds):
-            rows = mixed(rest)
             pick = F.struct((F.col("r") == F.col("nid")).alias("single"), F.xxhash64("key", "nid", F.lit(turn)).alias("h"))
-            rows = rows.withColumn("c", F.min(F.struct(pick.alias("pick"), "nid", "n", "r")).over(w))
-            rows = rows.select("nid", "n", "r", F.col("c.nid").alias("cn"), F.col("c.n").alias("c_n"), F.col("c.r").alias("cr")).where("r <> cr").where(near("n", "c_n"))
+            centres = rest.groupBy("key").agg(F.min(F.struct(pick.alias("pick"), "nid", "n", "r")).alias("c"))
+            rows = rest.join(centres, "key").select("nid", "n", "r", F.col("c.nid").alias("cn"), F.col("c.n").alias("c_n"), F.col("c.r").alias("cr")).where("r <> cr").where(near("n", "c_n"))
             swap = F.col("nid") < F.col("cn")
             found = rows.select(F.least("nid", "cn").alias("a"), F.greatest("nid", "cn").alias("b"), F.when(swap, F.col("r")).otherwise(F.col("cr")).alias("ra"), F.when(swap, F.col("cr")).otherwise(F.col("r")).alias("rb"))
             pairs = shared_table(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
             label = merged(label, confirm(pairs, sets, percent))
             tried = tried.union(pairs.select("a", "b"))
-        last = shared_table(mixed(rest).withColumn("size", F.count(F.lit(1)).over(w)), "mixed")
-        some = last.where(F.col("size") <= CROWD)
-        x, y = (some.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("nid", "n", "r"))) for e in "xy")
-        cross = x.join(y, "key").where("nid_x < nid_y and r_x <> r_y").where(near("n_x", "n_y"))
-        cross = cross.select(F.col("nid_x").alias("a"), F.col("nid_y").alias("b"), F.col("r_x").alias("ra"), F.col("r_y").alias("rb"))
-        crowd = last.where(F.col("size") > CROWD).select("key", "nid", "n", "r", "size")
-        if crowd.limit(1).count():
-            cross = cross.union(crowded_pairs(crowd, sets, percent))
-        label = merged(label, confirm(cross.distinct().join(tried, ["a", "b"], "left_anti"), sets, percent))
+            rest = mixed(rest)
+        if rest.limit(1).count():
+            label = merged(label, links_across(rest, sets, percent))
+        drop_shared(sets)
 
     joined = sk.select("nid", "id", "n", "f1", "f2").join(broadcast_if_small(copies), "nid", "left").withColumn("node", F.coalesce("rep", "nid"))
     joined = joined.join(broadcast_if_small(label.withColumnRenamed("nid", "node")), "node", "left").withColumn("root", F.coalesce("root", "node"))
