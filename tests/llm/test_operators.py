@@ -140,7 +140,7 @@ def test_edits_equal_fresh_counts(spark, tok):
     texts = [t for t in AWKWARD if t != LONG]
     edits = [[(3, 2, "été"), (0, 0, "x y "), (10**9, 5, " end"), (1, 10**9, None)], None, [], [(0, 0, "long insert " * 200), (700, 5, "'")]]
     rows = [(i, t, edits[i % 4]) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<pos:long,n_del:long,ins:string>>")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<pos:long,n_del:long,ins:string>>").withColumn("n_edits", F.lit("clash"))
     got = {r.doc_id: r for r in editcounts.edited_counts(docs, queries.word_bpe_path()).collect()}
     for i, t, es in rows:
         t = t or ""
@@ -158,6 +158,24 @@ def test_edits_touch_little(spark):
     tree = editcounts.TokenTree(b, "some words here " * 20_000)
     tree.edit(150_000, 3, "new")
     assert tree.encoded < 2000
+    signs = editcounts.TokenTree(b, "a-b;c1d=2," * 30_000)  # no white space
+    signs.edit(150_000, 3, "new")
+    assert signs.encoded < 2000 and len(signs.leaves) > 500
+
+
+def test_edits_without_white_space(tok):
+    b = bpe.WordBpe(queries.word_bpe_path())
+    rng = random.Random(7)
+    parts = ["a", "bc", "don't", "'s", "1", "23", "x1y", ".", ",", "--", "'", "É", "é", "́", "Σ", "日本", "<|endoftext|>", "<|end", "|>", " ", "\n", "_", "=", "²"]
+    for _ in range(80):
+        text = "".join(rng.choice(parts) for _ in range(rng.choice([5, 200, 900])))
+        tree = editcounts.TokenTree(b, text)
+        for _ in range(4):
+            pos, gone, ins = rng.randrange(len(text) + 3), rng.choice([0, 1, 3, 300]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 4, 400])))
+            tree.edit(pos, gone, ins)
+            pos = min(pos, len(text))
+            text = text[:pos] + ins + text[pos + gone :]
+            assert tree.total == len(tok.encode(text, add_special_tokens=False).ids), text
 
 
 def test_query_op3(spark, tok):
@@ -178,7 +196,7 @@ def test_query_op3(spark, tok):
 
 def test_sharding(spark):
     texts = [None, "", *["copy " * 50] * 200, *(f"doc {i} " * (i % 40) for i in range(400)), LONG[:20_000]]
-    docs = docs_of(spark, texts).withColumn("bin", F.lit("clash"))
+    docs = docs_of(spark, texts).withColumn("bin", F.lit("clash")).withColumns({"size": F.lit("old"), "shard": F.lit("old")})
     rows = sharding.histogram_shards(docs, 6).collect()
     size = collections.Counter()
     slots = collections.defaultdict(list)
@@ -203,6 +221,12 @@ def test_query_op2(spark):
         assert r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.law == "bytes" and 0 <= r.shard < 24 and r.grown_shard is None
         shards[r.shard].add(r.slot)
     assert len(rows) == len(text) and all(s == set(range(len(s))) for s in shards.values())
+    held = collections.Counter()
+    for r in rows:
+        assert r.size == len(text[r.doc_id].encode()) + 8
+        held[r.shard] += r.size
+    goal = sum(held.values()) / 24
+    assert all(abs(held[s] - goal) <= 0.02 * goal + max(r.size for r in rows) for s in range(24))
 
 
 # ------------------------------------------------------------ 4
@@ -218,6 +242,17 @@ def test_line_dedup(spark):
     assert (got[21].text, got[21].n_lines) == ("", 1)
     assert got[22].text == got[23].text == "menu" and got[24].text == "" and got[25].text == LONG and got[25].host == "x"
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
+    odd = df.withColumn("n_lines", F.lit("old"))
+    assert odd.count() == linededup.drop_boilerplate(odd, 0.5, 3).where("n_lines >= 0").count()
+    assert {r.n_lines for r in linededup.drop_boilerplate(odd, 0.5, 3, counts=False).collect()} == {"old"}
+
+
+def test_copies_do_not_vote_their_lines_out(spark):
+    rows = [(i, "one line of its own", "s") for i in range(5)] + [(10 + i, f"own {i}\nfooter", "s") for i in range(20)] + [(40, "footer", "s"), (41, "\n", "s"), (42, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n_chars": F.lit(0).cast("long"), "lang": F.lit("en"), "n_lines": F.lit("own")})
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, df, DATA).collect()}
+    assert got == {**{i: "one line of its own" for i in range(5)}, **{10 + i: f"own {i}" for i in range(20)}, 41: "\n", 42: None}
+    assert corpus_pipeline.lines(spark, df, DATA).columns == df.columns and corpus_pipeline.lines(spark, df.limit(0), DATA).count() == 0
 
 
 def test_lines_of_a_few_per_cent_go(spark):
@@ -254,6 +289,10 @@ def test_url_filter(spark, monkeypatch, small):
         assert (r.host, r.path, r.rule, r.verdict) == slow_verdict(u, queries.URL_RULES, {("ads.net", "/p")}), u
         assert r.key == "clash"
     assert urlfilter.judge(pages.limit(0), listed).count() == 0
+    odd = spark.createDataFrame([(1, "http://a.bad.net/x\ny?z", "c"), (2, "http://bad.net.org/", "c"), (3, "http://sub.ok.net/q", "c"), (4, "http://bad.net/ok/1", "c")], "page_id long, url string, host string").withColumns({"rule": F.lit(7), "verdict": F.lit(8)})
+    rules = urlfilter.rule_table(spark, [("block", "ok.net"), ("allow", "bad.net/ok/")]).select(*extra.columns).union(urlfilter.site_table(spark, ["bad.net"]).select(*extra.columns))
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(odd, rules).collect())
+    assert got == [(1, "a.bad.net", "/x\ny", None, "block"), (2, "bad.net.org", "/", None, "allow"), (3, "sub.ok.net", "/q", "ok.net", "block"), (4, "bad.net", "/ok/1", "bad.net/ok/", "allow")]
 
 
 def test_url_filter_with_very_many_prefix_lengths(spark):
@@ -391,13 +430,62 @@ def test_language(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
     held = [r for r in rows if r.held_out]
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.95
-    odd = docs_of(spark, ["", None, "123 !!", "Ñ", LONG]).withColumn("score", F.lit("clash"))
+    odd = docs_of(spark, ["", None, "123 !!", "Ñ", LONG]).withColumns({"score": F.lit("clash"), "n_grams": F.lit("clash"), "lang_pred": F.lit("clash")})
     protos = langid.train(docs)
-    got = {r.doc_id: r for r in langid.identify(odd.drop("score"), protos).collect()}
+    got = {r.doc_id: r for r in langid.identify(odd, protos).collect()}
+    assert 0 <= got[3].score <= 1 and got[3].source == "s"
     assert [got[i].lang_pred == "und" for i in range(5)] == [True, True, True, False, False]
-    assert {r.lang_pred for r in langid.identify(odd.drop("score"), langid.train(docs.limit(0))).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.identify(odd, langid.train(docs.limit(0))).collect()} == {"und"}
     assert langid.identify(docs.limit(0), protos).count() == 0
-    assert sorted(r.doc_id for r in langid.keep_language(odd.drop("score").union(docs.limit(30).withColumn("doc_id", F.col("doc_id") + 100))).where("doc_id < 100").collect()) == [3, 4]
+    more = docs.limit(30).withColumns({"doc_id": F.col("doc_id") + 100, "score": F.lit("own"), "n_grams": F.lit("own"), "lang_pred": F.lit("own")})
+    kept = langid.keep_language(odd.unionByName(more))
+    assert kept.columns == odd.columns and sorted((r.doc_id, r.score, r.lang_pred) for r in kept.where("doc_id < 100").collect()) == [(3, "clash", "clash"), (4, "clash", "clash")]
+
+
+def test_query_op9_by_plain_sums(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    seen: dict[int, np.ndarray] = {}
+
+    def letter(c):
+        if c not in seen:
+            rng = np.random.Generator(np.random.PCG64([5, c]))
+            seen[c] = rng.integers(0, 2, langid.DIM, dtype=np.int8) * np.int8(2) - np.int8(1)
+        return seen[c].astype(int)
+
+    def bundle(text):
+        low = re.sub(r"[\W\d_]+", " ", text)
+        codes = [0, *(ord(ch.lower()[0]) if ch != " " else 0 for ch in low), 0]
+        grams = collections.Counter(zip(codes, codes[1:], codes[2:], strict=False))
+        return sum((n * np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c) for (a, b, c), n in grams.items()), np.zeros(langid.DIM))
+
+    some = [r for r in docs if re.fullmatch(r"[\w\s.,;:!?'-]*", r.text) and not re.search("ª|º", r.text)][:40]
+    sums = collections.defaultdict(lambda: np.zeros(langid.DIM))
+    for r in some:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            sums[r.lang] += bundle(r.text)
+    langs = sorted(sums)
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in langs])
+    mean = unit.mean(axis=0)
+    unit = unit - mean
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    df = spark.createDataFrame(some)
+    got = {r.doc_id: r for r in langid.identify(df, langid.train(df.where(~queries.held_out_third()))).collect()}
+    for r in some:
+        v = bundle(r.text)
+        v = v / np.linalg.norm(v) - mean
+        cosine = unit @ v / np.linalg.norm(v)
+        assert got[r.doc_id].lang_pred == langs[int(cosine.argmax())]
+        assert got[r.doc_id].score == pytest.approx((1 + cosine.max()) / 2, abs=1e-5)
+
+
+def test_languages_of_other_alphabets_and_the_empty_name(spark):
+    rng = random.Random(1)
+    alphabets = {"": "abcdefgh", "el": "αβγδεζηθ", "ru": "абвгдежз", "zh": "日本語中文字典", "he": "אבגדהוזח"}
+    text = lambda a: " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(30))
+    rows = [(i, text(a), lang) for i, (lang, a) in enumerate(sorted(alphabets.items()) * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, langid.train(df.where("doc_id % 2 = 0"))).collect()
+    assert all(r.lang_pred == r.lang for r in got)
 
 
 def test_junk_is_no_language(spark):

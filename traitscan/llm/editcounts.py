@@ -1,18 +1,21 @@
 """Operator 3: token counts that follow edits.
 
-A text is cut into leaves of whole pre-tokens (runs of white space stay with the
-pre-token before them); a segment tree holds characters and tokens of each leaf.
-An edit descends to the leaves it touches, re-encodes only those and one
-pre-token of context on either side, and adds the differences up to the root.
-White space separates tokens in every way, so the count always equals that of
-encoding the edited text afresh.
+A text is cut into leaves of whole pre-tokens; a segment tree holds characters and
+tokens of each leaf. An edit descends to the leaves it touches, re-encodes only
+those, with the neighbours that are not surely parted from what changed, and adds
+the differences up to the root. Leaves end where a pre-token surely ends whatever
+stands around: after white space, between an ASCII letter or digit and a sign, and
+after an ASCII digit. So the count always equals that of encoding the edited text
+afresh. A pre-token itself is never cut: a run of letters without any such place is
+one leaf, however long.
 
 Edits are an array column of (pos, n_del, ins), applied in order: at character
 pos of the text as it then is, n_del characters go and ins comes. Cases: null
 text counts as empty; pos beyond the end appends; n_del beyond the end deletes
 to the end; null edits or null parts of an edit leave the text as it is or count
-as 0 and empty; very long texts only cost their own leaves; repeated rows and
-extra columns are independent.
+as 0 and empty; very long texts only cost their own leaves; repeated rows are
+independent; extra columns travel along, those named like a result (n_tokens_before,
+n_tokens_after, n_edits, n_chars_encoded) are replaced by it.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from traitscan.llm.common import small_batches
 
 LEAF_CHARS = 256
 _WHITE = "\t\n\x0b\x0c\r "
-_LEAF = re.compile(f"[^{_WHITE}]*[{_WHITE}]*")
+_SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+RESULTS = ["n_tokens_before", "n_tokens_after", "n_edits", "n_chars_encoded"]
 
 
 class TokenTree:
@@ -38,24 +42,35 @@ class TokenTree:
     def __init__(self, bpe: WordBpe, text: str):
         self.bpe = bpe
         self.encoded = 0  # characters encoded by edits
+        special = set("".join(bpe.special))  # special tokens must not be cut
+        signs = "".join(re.escape(c) for c in _SIGNS if c not in special)
+        digits = "" if special & set("0123456789") else "|(?<=[0-9])(?=[A-Za-z0-9])"
+        self.end = re.compile(f"[{_WHITE}]+|(?<=[A-Za-z0-9])(?=[{signs}]){digits}")
         self.leaves = self._cut(text)
         self._build([len(x) for x in self.leaves], self._count(self.leaves))
 
     def _count(self, leaves: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.bpe.encode(leaves)]
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Leaves of about LEAF_CHARS that end after white space."""
+    def _cut(self, text: str) -> list[str]:
+        """Leaves of about LEAF_CHARS that end where a pre-token ends."""
         out, at = [], 0
         while len(text) - at > LEAF_CHARS:
-            end = _LEAF.match(text, at + LEAF_CHARS).end()
+            found = self.end.search(text, at + LEAF_CHARS)
+            end = found.end() if found else len(text)
             out.append(text[at:end])
             at = end
         if at < len(text) or not out:
             out.append(text[at:])
         return out
 
+    def _parted(self, left: str, right: str) -> bool:
+        """Whether no token can reach from left into right."""
+        if not left or left[-1] in _WHITE:
+            return bool(left)
+        found = self.end.match(left[-1] + right[:1], 1)
+        return bool(right) and found is not None
+
     def _build(self, chars: list[int], tokens: list[int]) -> None:
         self.n = 1 << max(0, (len(chars) - 1).bit_length())
         pad = [0] * (self.n - len(chars))
@@ -94,11 +109,11 @@ class TokenTree:
         hi, hi_before = self.find(end)
         text = "".join(self.leaves[lo:hi]) + self.leaves[hi]
         text = text[: pos - before] + ins + text[end - before :]
-        # a neighbour joins in if no white space parts it from what changed
-        while lo and not (self.leaves[lo - 1] == "" or self.leaves[lo - 1][-1] in _WHITE) or lo and self.leaves[lo - 1] == "":
+        # a neighbour joins in if it is not surely parted from what changed
+        while lo and not self._parted(self.leaves[lo - 1], text):
             lo -= 1
             text = self.leaves[lo] + text
-        while hi + 1 < len(self.leaves) and not (text and text[-1] in _WHITE):
+        while hi + 1 < len(self.leaves) and not self._parted(text, self.leaves[hi + 1]):
             hi += 1
             text += self.leaves[hi]
         self.encoded += len(text)
@@ -122,8 +137,9 @@ def edited_counts(docs: DataFrame, path: str, edits_col: str = "edits", text_col
     """The columns `keep` with n_tokens_before, n_tokens_after, n_edits and n_chars_encoded (by edits)."""
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text_col, edits_col)] if keep is None else keep
+    keep = [c for c in keep if c not in RESULTS]
     k = len(keep)
-    names = [*keep, "n_tokens_before", "n_tokens_after", "n_edits", "n_chars_encoded"]
+    names = [*keep, *RESULTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)

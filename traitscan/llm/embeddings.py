@@ -12,8 +12,8 @@ precision. A task returns one row per vector with its links there, and edges of
 a spanning forest instead of all pairs. Equal vectors are one node with a count.
 
 Cases: null, zero or non-finite vectors and null labels link with nothing and
-are kept; vectors of different length never link; repeated ids are rows of their
-own; an empty table gives no rows; extra columns are ignored.
+are kept; vectors of different length never link; repeated and null ids are rows of
+their own (a component of null ids alone is null, and its rows are kept); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traitscan.llm.common import broadcast_if_small, connected_components, shared_table
@@ -69,7 +69,8 @@ def cover_tree(vectors: np.ndarray) -> Node:
 def dual_traversal(x: np.ndarray, y: np.ndarray, reach: float):  # noqa: ANN201
     """Pairs of row sets (leaves) of x and y that may hold pairs within `reach`."""
     slack = reach + 1e-6  # distances near 0 carry rounding
-    stack = [(cover_tree(x), cover_tree(y))]
+    top = cover_tree(x)
+    stack = [(top, top if y is x else cover_tree(y))]
     while stack:
         a, b = stack.pop()
         left, right = a.children or [a], b.children or [b]
@@ -126,10 +127,15 @@ def near_vectors(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vect
     wanted = {(r.label, r.dim): max(1, min(-(-r.n // block_rows), r.n * MAX_PIVOTS // max(total, 1))) for r in counts}
     many = {k: n for k, n in wanted.items() if n > 1}
     tops: dict[tuple, list[np.ndarray]] = {}
-    for (label, dim), n in many.items():
-        rows = reps.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64("rep"), "rep").limit(n).select("v").collect()
-        p = np.array([r.v for r in rows], np.float64)
-        tops[label, dim] = p / np.linalg.norm(p / np.abs(p).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(p).max(axis=1, keepdims=True)
+    hashed = Window.partitionBy("label", "dim").orderBy(F.xxhash64("rep"), "rep")
+    of = F.coalesce(*(F.when(F.col("label").eqNullSafe(F.lit(lab)) & (F.col("dim") == d), n) for (lab, d), n in many.items()), F.lit(0)) if many else F.lit(0)
+    # one pass for all labels; MAX_PIVOTS rows and one for each label that needs any
+    picked: dict[tuple, list] = {}
+    for r in reps.withColumn("_n", of).where("_n > 0").withColumn("_r", F.row_number().over(hashed)).where("_r <= _n").select("label", "dim", "v").collect() if many else []:
+        picked.setdefault((r.label, r.dim), []).append(r.v)
+    for key, rows in picked.items():
+        p = np.array(rows, np.float64)
+        tops[key] = p / np.linalg.norm(p / np.abs(p).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(p).max(axis=1, keepdims=True)
 
     def unit(v: np.ndarray) -> np.ndarray:
         v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -174,7 +180,7 @@ def near_vectors(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vect
     one, two = (cells.select("label", "dim", F.col("cell").alias(f"c{s}"), F.col("radius").alias(f"r{s}"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"s{s}")) for s in "12")
     pairs = one.join(two, ["label", "dim"]).where("c1 < c2 or c1 = c2 and s1 <= s2").where(~apart(F.col("label").cast("string"), "dim", "c1", "c2", F.col("r1") + F.col("r2") + reach))
     pairs = shared_table(pairs.select("label", "dim", "c1", "s1", "c2", "s2"), "blockpairs")  # of blocks, not of rows
-    placed = dealt.join(F.broadcast(cells.select("label", "dim", "cell", "blocks")), ["label", "dim", "cell"])  # at most MAX_PIVOTS and a cell for each label
+    placed = dealt.join(broadcast_if_small(cells.select("label", "dim", "cell", "blocks")), ["label", "dim", "cell"])
     placed = placed.withColumn("s", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("label", "dim", "cell", "s", "rep", "c", "u")
     key = ["label", "dim", "c1", "s1", "c2", "s2"]
     small = broadcast_if_small(pairs)

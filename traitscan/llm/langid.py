@@ -1,6 +1,7 @@
 """Operator 9: language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. The vector of a letter trigram
+Each letter of any alphabet has a random vector of +1 and -1, drawn from a seed and
+its code point. The vector of a letter trigram
 binds (multiplies) the vectors of its letters, permuted by place; a text bundles
 (adds) the vectors of its trigrams, a language those of its labelled texts. A
 text gets the language whose prototype has the greatest cosine with it.
@@ -10,17 +11,21 @@ Prototypes are centred on their common mean, so that what all languages share
 does not decide.
 
 Training passes over all labelled rows: each task adds up trigram counts for
-each language, Spark sums them; what is left is one count table per language,
-bounded by the alphabet of 64 letter classes, whatever the corpus.
+each language and bundles them, Spark sums the bundles, so one vector per language
+is left, whatever the corpus.
 
 Cases: a null text, or one without a letter, is `und` with score 0; without any
-labelled text everything is `und`; ties go to the first language in alphabetical
-order; very long texts are bundled window by window; extra columns are ignored.
+labelled text everything is `und`; any lang value can be learned, the empty string
+too; ties go to the first language in alphabetical order; very long texts are
+bundled window by window; repeated rows are judged alike; extra columns travel
+along, those named like a result (lang_pred, score, likeness, n_grams) are replaced
+by it in identify and left as they are in keep_language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +35,22 @@ from pyspark.sql import functions as F
 from traitscan.llm.bpe import batches_of
 from traitscan.llm.common import shared_table, small_batches
 
-CLASSES = 64
 DIM = 1024
 #: A text is no language if its likeness is below both this part of the median of labelled texts of its language and length, and that median less so many median deviations; labelled texts that a bound needs.
 LIKE_PART, LIKE_SPREADS, LIKE_TEXTS = 0.7, 6.0, 100
-GRAMS = CLASSES**3
+#: The columns that identify adds.
+RESULTS = ["lang_pred", "score", "likeness", "n_grams"]
+#: Trigrams whose vectors, or whose counts, a worker holds: 40 MB.
+HELD = 40_000
+_BITS = 21  # of a code point
 
 
-def letter_class_table() -> np.ndarray:
-    """Class of each code point: 0 no letter, 1 to 26 a to z, 27 to 63 all other letters by code."""
-    out = np.zeros(0x110000, np.uint8)
+def letter_table() -> np.ndarray:
+    """The lower-case code point of each letter; 0 of all other characters."""
+    out = np.zeros(0x110000, np.uint32)
     for c in range(0x110000):
         if chr(c).isalpha():
-            low = ord(chr(c).lower()[0])
-            out[c] = low - 96 if 97 <= low <= 122 else 27 + low % 37
+            out[c] = ord(chr(c).lower()[0])
     return out
 
 
@@ -51,93 +58,128 @@ _TABLE: list[np.ndarray] = []
 
 
 def letters(text: str) -> np.ndarray:
-    """Letter classes of a text, with runs of other characters as one 0."""
+    """The letters of a text, with runs of other characters as one 0."""
     if not _TABLE:
-        _TABLE.append(letter_class_table())
+        _TABLE.append(letter_table())
     a = _TABLE[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = np.ones(len(a), bool)
     keep[1:] = (a[1:] != 0) | (a[:-1] != 0)
-    return a[keep].astype(np.int32)
+    return a[keep].astype(np.int64)
 
 
 def grams(text: str) -> np.ndarray:
     """Trigram codes of a text; blanks stand at both ends."""
     a = np.concatenate([[0], letters(text), [0]])
-    return (a[:-2] * CLASSES + a[1:-1]) * CLASSES + a[2:]
+    return (a[:-2] << 2 * _BITS) | (a[1:-1] << _BITS) | a[2:]
+
+
+def counted(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Trigram codes and counts of a text, window by window; runs of no letter do not count."""
+    for at in range(0, len(text), 1 << 20):
+        codes, counts = np.unique(grams(text[at : at + (1 << 20)]), return_counts=True)
+        counts[codes == 0] = 0
+        yield codes, counts
 
 
 class Profiles:
-    """The random vectors, and those of trigrams as they come up."""
+    """The random vectors of letters, and those of trigrams as they come up."""
 
     def __init__(self, dim: int = DIM, seed: int = 5):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        letter = rng.integers(0, 2, (CLASSES, dim), dtype=np.int8) * np.int8(2) - np.int8(1)
-        self.parts = [np.roll(letter, shift, axis=1) for shift in (2, 1, 0)]
-        self.row = np.full(GRAMS, -1, np.int32)
-        self.known = np.zeros((0, dim), np.int8)
-        self.dim = dim
+        self.dim, self.seed = dim, seed
+        self.letter: dict[int, np.ndarray] = {}
+        self.row: dict[int, int] = {}
+        self.known = np.zeros((HELD, dim), np.int8)
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        some, at = np.unique(codes, return_inverse=True)
+        for c in some.tolist():
+            if c not in self.letter:
+                rng = np.random.Generator(np.random.PCG64([self.seed, c]))
+                self.letter[c] = rng.integers(0, 2, self.dim, dtype=np.int8) * np.int8(2) - np.int8(1)
+        return np.stack([self.letter[c] for c in some.tolist()])[at]
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        a, b, c = self.parts
-        return a[codes // CLASSES**2] * b[codes // CLASSES % CLASSES] * c[codes % CLASSES]
+        low = (1 << _BITS) - 1
+        a, b, c = (self._letters(codes >> shift & low) for shift in (2 * _BITS, _BITS, 0))
+        return np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the trigrams' vectors, times their counts."""
-        new = codes[self.row[codes] < 0]
-        if len(new):
-            if len(self.known) + len(new) > 40_000:  # 40 MB
-                self.row[:] = -1
-                self.known = self.known[:0]
-                new = codes
-            if len(new) > 40_000:
-                return sum(counts[i : i + 4096].astype(np.float32) @ self.vectors(codes[i : i + 4096]).astype(np.float32) for i in range(0, len(codes), 4096))
-            self.row[new] = np.arange(len(self.known), len(self.known) + len(new), dtype=np.int32)
-            self.known = np.concatenate([self.known, self.vectors(new)])
-        return counts.astype(np.float32) @ self.known[self.row[codes]].astype(np.float32)
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+        if len(codes) > HELD // 4:
+            return sum(counts[i : i + 4096].astype(np.float64) @ self.vectors(codes[i : i + 4096]) for i in range(0, len(codes), 4096))
+        wanted = codes.tolist()
+        new = [c for c in wanted if c not in self.row]
+        if new:
+            if len(self.row) + len(new) > HELD:
+                self.row, new = {}, wanted
+            at = len(self.row)
+            self.known[at : at + len(new)] = self.vectors(np.array(new))
+            self.row.update(zip(new, range(at, at + len(new)), strict=True))
+        return counts.astype(np.float32) @ self.known[list(map(self.row.__getitem__, wanted))].astype(np.float32)
+
+
+@dataclass
+class Prototypes:
+    """The languages in order, their prototypes of unit length less the mean, and that mean."""
+
+    langs: list[str]
+    matrix: np.ndarray
+    mean: np.ndarray
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Prototypes:
     """The prototype of each language, of unit length, centred on their mean."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        profiles = Profiles()
+        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def fold(lang: str) -> None:
+            codes, at = np.unique(np.concatenate([c for c, _ in held[lang]]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([n for _, n in held[lang]]), len(codes)).astype(np.int64)
+            if len(codes) > HELD:
+                sums[lang] = sums.get(lang, np.zeros(DIM)) + profiles.bundle(codes, total)
+                held[lang] = []
+            else:
+                held[lang] = [(codes, total)]
+
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for at in range(0, len(text), 1 << 20):
-                    codes, counts = np.unique(grams(text[at : at + (1 << 20)]), return_counts=True)
-                    held.setdefault(lang, np.zeros(GRAMS, np.int64))[codes] += counts
-        for lang, counts in held.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(counts[some])], names=["lang", "gram", "n"])
+                parts = held.setdefault(lang, [])
+                for codes, counts in counted(text):
+                    parts.append((codes, counts))
+                    if sum(len(c) for c, _ in parts[-64:]) > HELD or len(parts) > 256:
+                        fold(lang)
+                        parts = held[lang]
+        for lang, parts in held.items():
+            if parts:
+                fold(lang)
+            for codes, total in held[lang]:
+                sums[lang] = sums.get(lang, np.zeros(DIM)) + profiles.bundle(codes, total)
+        for lang, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(total.astype(np.int64))], names=["lang", "i", "n"])
 
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = shared_table(labelled.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").cast("double").alias("n")), "grams")
-    profiles, raw = Profiles(), {}
-    for lang in sorted(r.lang for r in counts.select("lang").distinct().collect()):
-        table = counts.where(F.col("lang") == lang).select("gram", "n").toPandas()  # at most GRAMS rows
-        total = np.zeros(DIM)
-        for i in range(0, len(table), 4096):
-            part = table[i : i + 4096]
-            total += part.n.to_numpy() @ profiles.vectors(part.gram.to_numpy()).astype(np.float64)
-        if np.any(total):
-            raw[lang] = total / np.linalg.norm(total)
-    if len(raw) > 1:
-        mean = np.mean(list(raw.values()), axis=0)
-        raw = {k: v - mean for k, v in raw.items()}
-        raw = {k: v / (np.linalg.norm(v) or 1) for k, v in raw.items()} | {"": mean}
-    else:
-        raw |= {"": np.zeros(DIM)}
-    return raw
+    sums: dict[str, np.ndarray] = {}
+    for r in labelled.mapInArrow(run, "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).collect():  # DIM numbers for each language
+        sums.setdefault(r.lang, np.zeros(DIM))[r.i] = r.n
+    langs = sorted(k for k, v in sums.items() if np.any(v))
+    matrix = np.array([sums[k] / np.linalg.norm(sums[k]) for k in langs]).reshape(-1, DIM)
+    mean = matrix.mean(axis=0) if len(langs) > 1 else np.zeros(DIM)
+    matrix = matrix - mean
+    return Prototypes(langs, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300), mean)
 
 
 def letter_share(text: str) -> float:
     """Letters among the characters that are no white space or control character."""
+    letters("")  # fills the table
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return float(np.count_nonzero(_TABLE[0][codes]) / max(1, np.count_nonzero(codes > 32)))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, prototypes: Prototypes, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all but the text if None), lang_pred, score, likeness and n_grams.
 
     score: (1 + cosine of the text's centred vector with the prototype) / 2; a
@@ -147,14 +189,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     centred, times the text's share of letters. n_grams: the text's trigrams.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    langs = [k for k in prototypes if k]
-    matrix = np.array([prototypes[k] for k in langs]).reshape(-1, DIM)
-    mean = prototypes.get("", np.zeros(DIM))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS and (keep is not None or c != text_col)]
+    langs, matrix, mean = prototypes.langs, prototypes.matrix, prototypes.mean
     along = matrix @ mean
     # a prototype before centring: mean + a * centred, of length 1
     whole = mean + (np.sqrt(np.maximum(along**2 + 1 - mean @ mean, 0)) - along)[:, None] * matrix
-    names = [*keep, "lang_pred", "score", "likeness", "n_grams"]
+    names = [*keep, *RESULTS]
     source = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +206,16 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 for text in texts[lo:hi]:
                     total = np.zeros(DIM)
                     seen = 0
-                    for at in range(0, len(text or ""), 1 << 20):
-                        codes, counts = np.unique(grams(text[at : at + (1 << 20)]), return_counts=True)
-                        counts[codes == 0] = 0
+                    for codes, counts in counted(text or ""):
                         seen += int(counts.sum())
                         total += profiles.bundle(codes, counts)
                     sizes.append(seen)
-                    norm = np.linalg.norm(total)
-                    if not seen or not norm or not langs:
+                    if not seen or not langs:
                         found.append("und")
                         scores.append(0.0)
                         likes.append(0.0)
                         continue
+                    norm = np.linalg.norm(total) or 1.0
                     v = total / norm - mean
                     cosine = matrix @ v / (np.linalg.norm(v) or 1)
                     best = int(np.argmax(cosine))
@@ -210,11 +248,13 @@ def keep_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     any labelled text nothing is known of language and all rows stay.
     """
     prototypes = train(docs, text_col, lang_col)
-    if not any(prototypes):
+    if not prototypes.langs:
         return docs
-    judged = shared_table(identify(docs, prototypes, text_col, keep=docs.columns), "judged")
+    own = {c: f"_own_{c}" for c in RESULTS if c in docs.columns}
+    named = docs.withColumnsRenamed(own)
+    judged = shared_table(identify(named, prototypes, text_col, keep=named.columns), "judged")
     bounds = likeness_bounds(judged, lang_col)
     least = F.lit(-1.0)
     for (lang, size), bound in sorted(bounds.items()):  # a longer text's bound comes later and wins
         least = F.when((F.col("lang_pred") == lang) & (F.col("n_grams") >= 1 << size), bound).otherwise(least)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("likeness") >= least)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("likeness") >= least)).select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))

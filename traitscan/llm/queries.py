@@ -29,7 +29,8 @@ def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents for every document whose id 100 divides, by its whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index, n, mean = build_index(docs)
-    return bm25_search(index, n, docs.where("doc_id % 100 = 0"), k=10, query_id="doc_id", mean=mean)
+    found = bm25_search(index, n, docs.where("doc_id % 100 = 0"), k=10, query_id="doc_id", mean=mean)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +66,15 @@ def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The rules of the URL filter, as (verdict, rule).
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Labels of a host whose pages are listed one by one.
-AD_HOST = r"(^|\.)(ads|adserver|ads-track|track)\."
+#: The list of blocked sites, as such lists are published: advertising, spam, gambling, pills and adult sites.
+BLOCKED_SITES = ["ads-track.example.com", "adult-x.example.net", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.com"]
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict on every page's URL: the longest rule's, else whether the URL is listed."""
+    """A verdict on every page's URL: the longest rule's, else whether its site is listed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    ads = urlfilter.with_parts(pages).where(F.col("host").rlike(AD_HOST)).select("host", "path").distinct()
-    ads = ads.select(F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"), "host", "path", F.lit("exact").alias("kind"))
-    listed = urlfilter.rule_table(spark, URL_RULES).select(*ads.columns).union(ads)
+    sites = urlfilter.site_table(spark, BLOCKED_SITES)
+    listed = urlfilter.rule_table(spark, URL_RULES).select(*sites.columns).union(sites)
     return urlfilter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -141,8 +141,42 @@ rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'),
 r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS pre FROM rules),
 f AS (SELECT page_id, arg_max(rule, length(h) * 10000 + length(pre)) AS rule, arg_max(verdict, length(h) * 10000 + length(pre)) AS verdict
       FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL)
-SELECT q.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|\.)(ads|adserver|ads-track|track)\.') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT q.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|\.)(ads-track\.example\.com|adult-x\.example\.net|casino-win\.example\.com|cheap-pills\.example\.com|free-bets\.example\.com|spam-farm\.example\.com)$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN f USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op4_site_lines": OP4_SITE_SQL, "op5_url_filter": OP5_SQL}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+')"
+
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM w GROUP BY ALL),
+len AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS len FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean FROM len),
+idf AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY t, n),
+s AS (SELECT q.doc_id AS query_id, tf.doc_id AS doc_id, sum(q.tf * idf * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score
+      FROM tf q JOIN tf USING (t) JOIN idf USING (t) JOIN len ON len.doc_id = tf.doc_id, n WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM s)
+SELECT query_id, k AS rank, doc_id, round(score, 6) AS score FROM r WHERE k <= 10
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM w, (SELECT unnest(range(1, (SELECT max(len(w)) + 1 FROM w))) AS i) WHERE i < len(w) OR (len(w) = 1 AND i = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(root) AS component_id FROM r GROUP BY ALL)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m ON id = doc_id
+"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(root) AS component_id FROM r GROUP BY ALL), k AS (SELECT a, count(*) AS n FROM l GROUP BY ALL)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON id = vec_id LEFT JOIN k ON a = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op1_search": OP1_SQL, "op4_line_dedup": OP4_SQL, "op4_site_lines": OP4_SITE_SQL, "op5_url_filter": OP5_SQL, "op8_minhash": OP8_SQL, "op10_embeddings": OP10_SQL}

@@ -10,7 +10,8 @@ When the splitters stand, rows are exchanged once.
 
 Cases: a null text has no bytes; a null id hashes as its own value; ties (equal
 keys) stay together and are numbered by id; rows that repeat an id and a text
-stay together; an empty table gives no rows; other columns travel along.
+stay together; an empty table gives no rows; other columns travel along, those
+named size, shard or slot are replaced by the result's.
 """
 
 from __future__ import annotations

@@ -2,19 +2,22 @@
 
 A listed entry is a canonical URL, host and path joined, with a kind: `prefix`
 entries fit their host and all its subdomains where the path starts with the
-entry's path, `exact` entries fit one host and path. Every page yields its
-candidate keys (host suffixes times the path lengths that the list knows, and
-the exact URL). A blocked Bloom filter of the listed keys passes possible hits;
+entry's path, `exact` entries fit one host and path, `site` entries fit their host
+and all its subdomains at any path. Every page yields its candidate keys (host
+suffixes times the path lengths that the list knows, the exact URL, and host
+suffixes alone). A blocked Bloom filter of the listed keys passes possible hits;
 an exact hash join with the list removes the false ones. The longest prefix wins,
 first by host, then by path; a page that no prefix fits takes the verdict of its
-exact entry.
+exact entry, else of the longest site entry.
 
 The filter is built by Spark (one row per 256-bit block) and broadcast while the
 list is below a checked size; a longer list is joined by block instead.
 
 Cases: a null URL or one without :// has an empty host and path and no rule; a
 page that no entry fits is allowed; of entries that repeat a key, block wins;
-repeated pages are judged one by one; other columns travel along.
+repeated pages are judged one by one; a rule without a slash fits every path of
+its host; other columns travel along, those named host, path, rule or verdict are
+replaced by the result's.
 """
 
 from __future__ import annotations
@@ -51,11 +54,17 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """Prefix entries from (verdict, rule): a rule is host, a slash and the rest of its path."""
-    rows = [(verdict, rule, *rule.split("/", 1)) for verdict, rule in rules]
+    rows = [(verdict, rule, *(rule if "/" in rule else rule + "/").split("/", 1)) for verdict, rule in rules]
     made = spark.createDataFrame([(v, r, h.lower(), "/" + p) for v, r, h, p in rows], "verdict string, rule string, host string, path string")
     return made.withColumn("kind", F.lit("prefix"))
 
 
+def site_table(spark: SparkSession, hosts: list[str]) -> DataFrame:
+    """Blocked sites: entries of kind `site`, without a rule."""
+    made = spark.createDataFrame([(h.lower(),) for h in hosts], "host string")
+    return made.select(F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"), "host", F.lit("").alias("path"), F.lit("site").alias("kind"))
+
+
 def keyed(listed: DataFrame) -> DataFrame:
     """One row per key: the key, its hash, the winning verdict and the rule."""
     key = F.concat(F.substring("kind", 1, 1), F.lit(":"), "host", F.lit(" "), "path")
@@ -89,7 +98,7 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
 
 
 def candidates(pages: DataFrame, lengths: list[int] | None, path_col: str = "path", host_col: str = "host") -> F.Column:
-    """The keys that could fit a page: host suffixes times known path lengths (all if None), and the exact URL."""
+    """The keys that could fit a page: host suffixes times known path lengths (all if None), the exact URL, host suffixes."""
     labels = F.split(host_col, r"\.", -1)
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
@@ -99,13 +108,14 @@ def candidates(pages: DataFrame, lengths: list[int] | None, path_col: str = "pat
         fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: F.length(path_col) >= k)
     prefix = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda k: F.concat(F.lit("p:"), s, F.lit(" "), F.substring(F.col(path_col), F.lit(1), k)))))
     exact = F.array(F.concat(F.lit("e:"), host_col, F.lit(" "), path_col))
-    return F.when(F.col(host_col) == "", F.array().cast("array<string>")).otherwise(F.concat(prefix, exact))
+    site = F.transform(suffixes, lambda s: F.concat(F.lit("s:"), s, F.lit(" ")))
+    return F.when(F.col(host_col) == "", F.array().cast("array<string>")).otherwise(F.concat(prefix, exact, site))
 
 
 def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
     """All columns of pages with host, path, rule and verdict.
 
-    listed: (verdict allow or block, rule, host, path, kind prefix or exact).
+    listed: (verdict allow or block, rule, host, path, kind prefix, exact or site).
     """
     keys = shared_table(keyed(listed), "listed")
     n = keys.count()
@@ -156,7 +166,7 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
         keys = keys.join(possible, "key", "left_semi")
         rows = cand.withColumn("_key", F.explode_outer("_keys")).drop("_keys")
     small = n <= 100_000  # keys of some 100 bytes
-    exact = keys.select(F.col("key").alias("_key"), F.struct(F.col("kind") == "prefix", "hlen", "plen", "verdict", "rule").alias("_e"))
+    exact = keys.select(F.col("key").alias("_key"), F.struct(F.array_position(F.array(*map(F.lit, ("site", "exact", "prefix"))), F.col("kind")), "hlen", "plen", "verdict", "rule").alias("_e"))
     joined = rows.join(F.broadcast(exact) if small else exact, "_key", "left")
     first = [F.first(c).alias(c) for c in own if c != "_row"]
     best = joined.groupBy("_row").agg(*first, F.max("_e").alias("_e"))
