@@ -23,8 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: boilerplate lines of a source go; n_chars follows the text."""
-    clean = drop_boilerplate(docs, SITE_LINE_RATIO, BOILERPLATE_PAGES)
+    """Operator 4: boilerplate lines of a source go, and documents of nothing else; n_chars follows the text."""
+    named = docs.withColumn("_had", F.col("text").rlike(r"\S"))
+    clean = drop_boilerplate(named, SITE_LINE_RATIO, BOILERPLATE_PAGES, copies_once=True, counts=False)
+    clean = clean.where(F.coalesce(~F.col("_had") | F.col("text").rlike(r"\S"), F.lit(True)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
