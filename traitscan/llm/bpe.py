@@ -6,9 +6,10 @@ and the ids are concatenated; the result equals encoding the whole word.
 
 Cases: a null or empty text has no ids and decodes to the empty string; the
 strings of the special tokens are recognised in the raw text, as the library
-does; very long texts are encoded window by window (cut at white space, where no
-token can reach across), so memory stays bounded; repeated rows and extra
-columns are independent of each other.
+does; very long texts are encoded window by window, cut at blanks, where no token
+can reach across (a text without any blank is one window, so memory grows with its
+longest run of that kind); repeated rows and extra columns are independent of each
+other.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 
 from traitscan.llm.common import small_batches
 
-#: Words whose ids a worker keeps, twice; some 250 MB in all.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, twice; some 170 MB in all.
+CACHE_WORDS = 400_000
 #: Characters that are encoded at once.
 WINDOW_CHARS = 1 << 20
 
@@ -180,22 +179,16 @@ class WordBpe:
 
     def _ids(self, lists: list[list[str]]) -> list[bytes]:
         """The joined ids of each list of chunks."""
-        need: set[str] = set()
-        gaps: list[int] = []
-        for fresh in (False, True):
-            found = [list(map(self.cache.get, chunks)) for chunks in lists]
-            gaps = [i for i, f in enumerate(found) if None in f]
-            for i in gaps:
-                need.update(compress(lists[i], map(is_, found[i], repeat(None))))
-            if fresh or len(self.cache) + len(need) <= CACHE_WORDS:
-                break
+        unknown = lambda: set().union(*(set(chunks).difference(self.cache) for chunks in lists))
+        need = unknown()
+        if len(self.cache) + len(need) > CACHE_WORDS:
             self.old, self.cache = self.cache, {}
+            need = unknown()
         if need:
             self.cache.update((c, ids) for c in need if (ids := self.old.get(c)) is not None)
             self._learn(need.difference(self.cache))
-            for i in gaps:
-                found[i] = list(map(self.cache.get, lists[i]))
-        return list(map(b"".join, found))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in lists]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
