@@ -14,6 +14,9 @@ other.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import json
 import os
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from traitscan.llm.common import small_batches
 
-#: Words whose ids a worker keeps, twice; some 170 MB in all.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps, twice; some 130 MB in all.
+CACHE_WORDS = 300_000
 #: Characters that are encoded at once.
 WINDOW_CHARS = 1 << 20
 
@@ -223,7 +226,17 @@ def word_bpe(path: str) -> WordBpe:
     return _MADE[path]
 
 
-def batches_of(texts: list[str | None], chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def forget() -> None:
+    """Free the encoders that this worker process keeps, for operators that do not encode."""
+    if _MADE:
+        _MADE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def batches_of(texts: list[str | None], chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about `chars` characters each."""
     at, held = 0, 0
     for i, t in enumerate(texts):

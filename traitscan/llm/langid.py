@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscan.llm.bpe import batches_of
+from traitscan.llm.bpe import batches_of, forget
 from traitscan.llm.common import shared_table, small_batches
 
 DIM = 1024
@@ -132,6 +132,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         profiles = Profiles()
         sums: dict[str, np.ndarray] = {}
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -198,6 +199,7 @@ def identify(docs: DataFrame, prototypes: Prototypes, text_col: str = "text", ke
     source = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         profiles = Profiles()
         for b in batches:
             texts = b.column(source).to_pylist()

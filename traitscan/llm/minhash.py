@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscan.llm.bpe import batches_of
+from traitscan.llm.bpe import batches_of, forget
 from traitscan.llm.common import broadcast_if_small, connected_components, drop_shared, shared_table, small_batches
 
 BANDS, ROWS = 56, 7
@@ -146,6 +146,7 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str, bands: int =
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         oph = OnePermutation(bands, rows)
         for b in batches:
             texts = b.column(3).to_pylist()
