@@ -1,4 +1,5 @@
 import io
+import math
 import tarfile
 
 import pytest
@@ -8,7 +9,7 @@ from tests.conftest import DATA
 from traitscan import queries
 from traitscan.functions import arrays as A
 from traitscan.functions import genotype as G
-from traitscan.operators import annotate, interval, ordered, profile
+from traitscan.operators import annotate, interval, matrix, ordered, profile
 from traitscan.operators.fdr import log10_fdr
 from traitscan.plans.analysis import AnalysisConfig, ConfigError, run_analysis
 from traitscan.sources import readers, writers
@@ -19,18 +20,15 @@ def one(spark, *cols):
     return spark.range(1).select(*cols).first()
 
 
-def test_known_arrays(spark):
+def test_arrays(spark):
     lit = lambda xs: F.array(*map(F.lit, xs))
-    r = one(
-        spark,
-        A.match(lit([2, 9, 3, 7, 8, 10, 6, 4, 5, 1, 20, 21, 22]), lit([6, 2, 1, 5, 7, 4, 9, 8, 3, 10])).alias("m"),
-        A.run_index(lit([1, 2, 2, 2, 3, 3, 4, 5, 6, 6])).alias("d"),
-        A.kronecker(lit([1.0, 2.0]), lit([3.0, 4.0])).alias("k"),
-        A.shifted(lit([1, 2, 3]), 1).alias("s"),
-    )
-    assert r.m == [1, 6, 8, 4, 7, 9, 0, 5, 3, 2, -1, -1, -1]
-    assert r.d == [0, 1, 1, 1, 2, 2, 3, 4, 5, 5]
+    x, y, runs = [17, 40, 3, 3, 99, 12], [12, 3, 50, 17], [4, 4, 7, 9, 9, 9, 15]
+    r = one(spark, A.match(lit(x), lit(y)).alias("m"), A.run_index(lit(runs)).alias("d"), A.kronecker(lit([1.0, 2.0]), lit([3.0, 4.0])).alias("k"), A.shifted(lit([1, 2, 3]), 1).alias("s"))
+    assert r.m == [y.index(v) if v in y else -1 for v in x]
+    assert r.d == [sorted(set(runs)).index(v) for v in runs]
     assert r.k == [3, 4, 6, 8] and r.s == [3, 1, 2]
+    keys = one(spark, A.natural_key(F.lit("a10"), ignore_case=True).alias("a"), A.natural_key(F.lit("A9"), ignore_case=True).alias("b"))
+    assert keys.b < keys.a
 
 
 def test_text_functions(spark):
@@ -44,16 +42,69 @@ def test_text_functions(spark):
 
 
 def test_intervals(spark):
-    spans = spark.createDataFrame([("1", n, s, e) for n, s, e in [("A", 1, 4), ("B", 3, 8), ("C", 5, 12), ("D", 6, 10), ("E", 11, 15), ("F", 13, 18), ("whole", 0, 10**9), ("bad", 9, 2)]], "chr string, id string, start long, end long")
-    points = spark.createDataFrame([("1", 6), ("2", 6), ("1", None), (None, 6)], "chr string, pos long")
-    got = interval.stab_join(points, spans, 5).collect()
-    assert sorted(r.id for r in got) == ["B", "C", "D", "whole"]
+    spans = [("1", chr(97 + k), 7 * k % 23, 7 * k % 23 + k) for k in range(14)] + [("1", "whole", 0, 10**9), ("1", "bad", 9, 2)]
+    frame = spark.createDataFrame(spans, "chr string, id string, start long, end long")
+    points = spark.createDataFrame([("1", p) for p in range(0, 30, 4)] + [("2", 6), ("1", None), (None, 6)], "chr string, pos long")
+    got = sorted((r.pos, r.id) for r in interval.stab_join(points, frame, 5).collect())
+    assert got == sorted((p, n) for p in range(0, 30, 4) for _, n, s, e in spans if s <= p <= e)
+    sets = {r.pos: r.id for r in interval.stab_payloads(points, frame, 5, "id").collect()}
+    assert sets == {p: sorted(n for q, n in got if q == p) for p, _ in got}
 
 
 def test_long_cis_keeps_repeated_points(spark):
     points = spark.createDataFrame([("1", 100), ("1", 100), ("9", 1), ("1", None)], "chr string, pos long")
     sites = spark.createDataFrame([("1", 100), ("1", 5000), ("1", 5000)], "chr string, site_pos long")
     assert sorted((str(r.pos), r.n_long_cis) for r in interval.long_cis_counts(points, sites, 50).collect()) == [("1", 0), ("100", 2), ("100", 2), ("None", 0)]
+    many = [(str(k % 2), k * k % 211) for k in range(90)]
+    far = interval.long_cis_counts(spark.createDataFrame(many, "chr string, pos long"), spark.createDataFrame(many[::3], "chr string, site_pos long"), 20)
+    want = sorted((c, p, sum(d == c and abs(q - p) > 20 for d, q in many[::3])) for c, p in many)
+    assert sorted((r.chr, r.pos, r.n_long_cis) for r in far.collect()) == want
+
+
+def test_analysis_of_an_archive_with_alleles(spark, tmp_path):
+    body = {"a.tped": "X rs1 0 100 A A A C C C A A A C\nMT rs2 0 200 T T T T G G T G G G\n", "a.tfam": "".join(f"f s{i} 0 0 1 -9\n" for i in range(5))}
+    with tarfile.open(tmp_path / "g.tar.bz2", "w:bz2") as tar:
+        for name, text in body.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    (tmp_path / "y.csv").write_text("gene,s1,s2,s3,s4,s5\ng1,0.1,1.2,2.1,0.2,0.9\n")
+    (tmp_path / "d.tped").write_text("1 rs1 0 100 0 1 2 0 1\n1 rs2 0 200 0 0 2 1 2\n")
+    run = lambda g, more="": {(r.x_id, r.y_id): (round(r.rsq, 9), round(r.fx, 9)) for r in run_analysis(spark, AnalysisConfig.from_ini(f"genotype_file={g}\nexpression_file=y.csv\nthreshold=none\n{more}", str(tmp_path))).collect()}
+    got = run("g.tar.bz2", "family_file=g.tar.bz2")
+    assert got.keys() == {("rs1", "g1"), ("rs2", "g1")} and got[("rs1", "g1")] == run("d.tped")[("rs1", "g1")]
+    tped, fam = readers.read_plink(spark, [str(tmp_path / "g.tar.bz2")])
+    assert sorted(r.chrom for r in tped.collect()) == ["MT", "X"] and fam.count() == 5
+    for key in ("pedigree_file=p", "covariate_random=age"):
+        with pytest.raises(ConfigError, match="not supported"):
+            run("d.tped", key)
+
+
+def test_bound_matrices(spark):
+    a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, values array<double>")
+    assert [r["values"] for r in matrix.bind_columns(a, a).orderBy("id").collect()] == [[1, 1], [2, 2]]
+    assert matrix.bind_rows(a, a).count() == 4
+    with pytest.raises(Exception, match="row of 2 values"):
+        matrix.bind_rows(a, matrix.bind_columns(a, a)).collect()
+
+
+def test_rows_are_numbered_with_any_columns(spark, monkeypatch):
+    from traitscan import tables
+
+    monkeypatch.setattr(tables, "RANGE_ROWS", 300)
+    rows = spark.range(2000).select((F.col("id") * 7919 % 40).alias("k"), F.col("id").alias("a"), F.lit("x").alias("b"))
+    got = annotate.split_every(rows, 100, ["k"]).select("row_no", "file_no", "k", "a", "b").orderBy("row_no").collect()
+    assert [r.row_no for r in got] == list(range(2000)) and [r.k for r in got] == sorted(r.k for r in got) and len({r.a for r in got}) == 2000
+
+
+def test_fdr_of_equal_values(spark, monkeypatch):
+    import traitscan.operators.fdr as f
+
+    monkeypatch.setattr(f, "RANGE_ROWS", 50)
+    got = log10_fdr(spark.range(400).select("id", F.lit(-2.0).alias("log10p"))).orderBy("rank").collect()
+    c = [0.0 if k == 0 else min(0.0, -2 + 2.6020599913279625 - math.log10(k)) for k in range(400)]
+    assert [r.id for r in got] == list(range(400))
+    assert [r.log10fdr for r in got] == pytest.approx([min(c[k:]) for k in range(400)])
 
 
 def test_fdr_over_ranges(spark, monkeypatch):
@@ -65,8 +116,6 @@ def test_fdr_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(f, "RANGE_ROWS", 40)
     parts = {r.id: (r["rank"], r.log10fdr) for r in log10_fdr(df).collect()}
     assert whole == parts and len(whole) == 300
-    import math
-
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     c = [0.0 if k == 0 else min(0.0, p + math.log10(300) - math.log10(k)) for k, (_, p) in enumerate(order)]
     for k in range(298, -1, -1):

@@ -129,7 +129,7 @@ def equal_precedence(first: Column, *rest: tuple[str, Column]) -> Column:
     return first
 
 
-def natural_key(c: Column | str, width: int = 20) -> Column:
-    """A sort key that orders the numbers inside a text by value."""
-    parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+def natural_key(c: Column | str, width: int = 20, ignore_case: bool = False) -> Column:
+    """A sort key that orders the numbers inside a text by value; letters by lower case if ignore_case."""
+    parts = F.regexp_extract_all(F.lower(c) if ignore_case else c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p)), "")

@@ -7,7 +7,7 @@ in one bin, so no pair appears twice. Very long intervals are kept apart by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 1_000_000
@@ -41,16 +41,31 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_width: int, chrom: str = "chr")
     return joined.where(F.col("_bin") == F.floor(F.greatest("a_start", "b_start") / bin_width)).drop("_bin")
 
 
+def stab_payloads(points: DataFrame, intervals: DataFrame, bin_width: int, payload: str, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
+    """For every point inside an interval the union of the payloads of all intervals that hold it, sorted."""
+    hits = stab_join(points, intervals.select(chrom, start, end, payload), bin_width, chrom, pos, start, end)
+    return hits.groupBy(*points.columns).agg(F.sort_array(F.collect_set(payload)).alias(payload))
+
+
 def long_cis_counts(points: DataFrame, sites: DataFrame, window: int = WINDOW, chrom: str = "chr", pos: str = "pos", site: str = "site_pos") -> DataFrame:
-    """For every point the number of sites on its chromosome farther away than `window`.
+    """For every point the number of sites on its chromosome farther away than `window`; positions are whole numbers.
 
-    far = all on the chromosome - those within the window, so nothing explodes.
+    far = all on the chromosome - those within the window, and those are the sites
+    up to pos + window less those below pos - window. Counts up to a position are
+    the totals of the bins before it and a running sum inside its bin, so no pair
+    of a point and a site is made.
     """
-    totals = sites.where(F.col(site).isNotNull()).groupBy(chrom).agg(F.count(F.lit(1)).alias("_all"))
-    keyed = points.withColumn("_id", F.monotonically_increasing_id())
-    per_site = sites.where(F.col(site).isNotNull()).groupBy(chrom, site).agg(F.count(F.lit(1)).alias("_n"))
-    spots = points.select(chrom, pos).distinct()
-    near = cis_window(spots, per_site, window, chrom, pos, site).groupBy(chrom, pos).agg(F.sum("_n").alias("_near"))
-    out = keyed.join(totals, chrom, "left").join(near, [chrom, pos], "left")
+    known = sites.where(F.col(site).isNotNull())
+    counts = known.groupBy(chrom, F.col(site).cast("bigint").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    spots = points.where(F.col(pos).isNotNull()).select(chrom, pos).distinct()
+    ends = F.array(F.struct((F.col(pos) + window).cast("bigint").alias("_x"), F.lit(1).alias("_s")), F.struct((F.col(pos) - window - 1).cast("bigint").alias("_x"), F.lit(-1).alias("_s")))
+    asked = spots.withColumn("_e", F.explode(ends)).select(chrom, pos, "_e._x", "_e._s", F.lit(0).cast("bigint").alias("_n"))
+    marks = asked.unionByName(counts, allowMissingColumns=True).withColumn("_bin", F.floor(F.col("_x") / max(1, window)))
+    bins = marks.groupBy(chrom, "_bin").agg(F.sum("_n").alias("_total"))
+    before = bins.withColumn("_before", F.sum("_total").over(Window.partitionBy(chrom).orderBy("_bin")) - F.col("_total")).drop("_total")
+    upto = marks.withColumn("_upto", F.sum("_n").over(Window.partitionBy(chrom, "_bin").orderBy("_x"))).where("_s is not null").join(before, [chrom, "_bin"])
+    near = upto.groupBy(chrom, pos).agg(F.sum(F.col("_s") * (F.col("_upto") + F.col("_before"))).alias("_near"))
+    totals = known.groupBy(chrom).agg(F.count(F.lit(1)).alias("_all"))
+    out = points.join(totals, chrom, "left").join(near, [chrom, pos], "left")
     far = F.coalesce("_all", F.lit(0)) - F.coalesce("_near", F.lit(0))
-    return out.withColumn("n_long_cis", F.when(F.col(pos).isNull(), F.lit(0)).otherwise(far).cast("long")).drop("_all", "_near", "_id")
+    return out.withColumn("n_long_cis", F.when(F.col(pos).isNull(), F.lit(0)).otherwise(far).cast("long")).drop("_all", "_near")

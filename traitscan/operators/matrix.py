@@ -99,6 +99,20 @@ def sse(a: DataFrame, b: DataFrame) -> DataFrame:
     return add(a, b, -1.0).agg(F.sum(F.col("v") * F.col("v")).alias("sse"))
 
 
+def bind_columns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows (id, values) of both matrices side by side, matched by id; ids of one side alone go."""
+    right = b.select("id", F.col("values").alias("_right"))
+    return a.join(right, "id").select("id", F.concat("values", "_right").alias("values"))
+
+
+def bind_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows (id, values) of both matrices one below the other; other widths than a's first row are an error."""
+    first = a.select(F.size("values").alias("n")).first()
+    rows = a.select("id", "values").unionByName(b.select("id", "values"))
+    bad = F.raise_error(F.format_string("row of %d values, not %d", F.size("values"), F.lit(first.n if first else -1))).cast("array<double>")
+    return rows.withColumn("values", F.when(F.lit(first is None) | (F.size("values") == F.lit(first.n if first else -1)), F.col("values")).otherwise(bad))
+
+
 def complete_samples(cells: DataFrame) -> DataFrame:
     """Cells of the columns that have no missing value in any row (listwise deletion)."""
     bad = cells.where(F.col("v").isNull() | F.isnan("v")).select("j").distinct()

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitscan.operators import assoc
+from traitscan.operators.profile import recode_additive
 from traitscan.sources import readers
 from traitscan.sources.writers import write_pairs
+from traitscan.tables import written
 
 
 class ConfigError(ValueError):
@@ -79,6 +81,15 @@ def covariate_design(cov: DataFrame, fixed: tuple[str, ...], factors: tuple[str,
     return assoc.design_matrix(len(rows), {c: rows[c].tolist() for c in number}, {c: rows[c].tolist() for c in factor}, crossed)
 
 
+def tped_values(tped: DataFrame, samples: int | None) -> DataFrame:
+    """(id, values): dosages as they are; two allele letters a sample as 0, 1, 2 minor alleles."""
+    letters = F.size("tokens") == 2 * F.lit(samples or 0)
+    dosages = readers.tped_dosages(tped.where(~letters)).select("id", "values")
+    coded = recode_additive(readers.tped_symbols(tped.where(letters))).select("id", F.col("codes").cast("array<double>").alias("values"))
+    # written, as filters on codes would otherwise repeat the whole recoding inside each other
+    return dosages.unionByName(written(coded, "codes"))
+
+
 def run_analysis(spark: SparkSession, cfg: AnalysisConfig) -> DataFrame:
     """The pair table in the layout asked for; written to output_file if there is one."""
     if cfg.genotype_model != "additive":
@@ -86,11 +97,19 @@ def run_analysis(spark: SparkSession, cfg: AnalysisConfig) -> DataFrame:
     for name in ("genotype_file", "expression_file"):
         if not getattr(cfg, name):
             raise ConfigError(f"{name} is missing")
+    for name in ("pedigree_file", "covariate_random"):
+        if getattr(cfg, name):
+            raise ConfigError(f"{name} is not supported")
+    y = readers.matrix_table(spark, cfg.expression_file)
+    samples = y.agg(F.max(F.size("values"))).first()[0]
     if cfg.genotype_format == "tped":
-        x = readers.tped_dosages(readers.read_tped(spark, cfg.genotype_file)).select("id", "values")
+        x = tped_values(readers.read_tped(spark, cfg.genotype_file), samples)
     else:
         x = readers.matrix_table(spark, cfg.genotype_file, cfg.genotype_file_header)
-    y = readers.matrix_table(spark, cfg.expression_file)
+    if cfg.family_file:
+        subjects = readers.read_fam(spark, cfg.family_file).count()
+        if subjects != samples:
+            raise ConfigError(f"{subjects} subjects in {cfg.family_file} for {samples} samples")
     sizes = [df.agg(F.min(F.size("values")), F.max(F.size("values"))).first() for df in (x, y)]
     if len({v for s in sizes for v in s}) != 1 or sizes[0][0] is None:
         raise ConfigError(f"samples differ: genotypes {tuple(sizes[0])}, expressions {tuple(sizes[1])}")

@@ -183,6 +183,27 @@ def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "k int, value double")
 
 
+@query(f"WITH {_CELLS} SELECT round(sum(v * v), 4) AS energy FROM e")
+def singular_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the squared singular values, which is that of all cells."""
+    return rounded(singular_values(spark, sf_dir).agg(F.sum(F.col("value") * F.col("value")).alias("energy")), energy=4)
+
+
+@query("SELECT vec_id AS id, 128 AS n, round(embedding[64]::DOUBLE, 6) AS v63, round(embedding[64]::DOUBLE, 6) AS v64, round(2 * list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def bind_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector side by side with its reverse."""
+    v = vectors(spark, sf_dir)
+    out = matrix.bind_columns(v, v.select("id", F.reverse("values").alias("values"))).select("id", F.size("values").alias("n"), F.col("values")[63].alias("v63"), F.col("values")[64].alias("v64"), A.fsum("values").alias("total"))
+    return rounded(out, v63=6, v64=6, total=6)
+
+
+@query("SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def bind_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even and odd vectors one below the other."""
+    out = matrix.bind_rows(vectors(spark, sf_dir, 0), vectors(spark, sf_dir, 1))
+    return rounded(out.select("id", A.fsum("values").alias("total")), total=6)
+
+
 @query()
 def surrogate_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surrogate variables of all vectors, adjusted for a factor of four levels; permutations find how many."""
@@ -248,6 +269,28 @@ def filter_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.filter_rows(table(spark, sf_dir, "part"), "pow(p_size, 2) + sqrt(p_retailprice) > 500 and floor(ln(p_retailprice)) = 6").select("p_partkey")
 
 
+@query("SELECT p_partkey FROM part WHERE (p_size & 6) = 4 AND (p_size | 1) > 20 AND xor(p_size, 3) <> 7 AND NOT (p_size = 30)")
+def filter_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.filter_rows(table(spark, sf_dir, "part"), "(p_size & 6) = 4 and (p_size | 1) > 20 and (p_size ^ 3) <> 7 and not (p_size = 30)").select("p_partkey")
+
+
+_MATH = ["sin", "cos", "tan", "atan", "sinh", "tanh", "exp", "log10", "cbrt", "sign", "ceil", "radians", "degrees"]
+
+
+@query("SELECT p_partkey, " + ", ".join(f"round({f}(p_size / 10.0::DOUBLE)::DOUBLE, 6) AS {f}_" for f in _MATH) + ", round(atan2(p_size::DOUBLE, 7), 6) AS atan2_, round(sqrt(p_size * p_size + 9.0::DOUBLE), 6) AS hypot_ FROM part")
+def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mathematical functions of the filter language."""
+    x = F.col("p_size") / F.lit(10.0)
+    more = [F.round(F.atan2(F.col("p_size").cast("double"), F.lit(7.0)), 6).alias("atan2_"), F.round(F.hypot(F.col("p_size").cast("double"), F.lit(3.0)), 6).alias("hypot_")]
+    return table(spark, sf_dir, "part").select("p_partkey", *(F.round(getattr(F, {"sign": "signum"}.get(f, f))(x).cast("double"), 6).alias(f"{f}_") for f in _MATH), *more)
+
+
+@query("SELECT p_partkey, trim('  ' || p_name || ' ') AS trimmed, replace(p_type, 'E', '_') AS replaced, lower(p_brand) AS low, ends_with(p_type, 'L') AS ends FROM part")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part")
+    return t.select("p_partkey", A.trim_all(F.concat(F.lit("  "), "p_name", F.lit(" "))).alias("trimmed"), F.replace("p_type", F.lit("E"), F.lit("_")).alias("replaced"), F.lower("p_brand").alias("low"), F.col("p_type").endswith("L").alias("ends"))
+
+
 @query("""SELECT c_custkey, upper(substr(c_name, 1, 4)) AS head, instr(c_name, '#') - 1 AS at, length(c_name) - instr(reverse(c_name), '0') AS last_zero, regexp_replace(c_name, '0+', '_') AS first_run
 FROM customer WHERE c_mktsegment LIKE '%U%' AND starts_with(c_name, 'Customer')""")
 def filter_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,19 +333,19 @@ def filter_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.filter_rows(table(spark, sf_dir, "orders"), A.equal_precedence(a, ("or", b), ("and", c))).select("o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, list_position([2, 9, 3, 7, 8, 1], l_linenumber) - 1 AS m0, coalesce(list_position([2, 9, 3, 7, 8, 1], (l_quantity % 10)::INT), 0) - 1 AS m1 FROM (SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem) WHERE l_linenumber IN (1, 2, 3, 7)")
+@query("SELECT l_orderkey, l_linenumber, coalesce(list_position([4, 1, 6, 30, 2, 7], l_linenumber), 0) - 1 AS m0, coalesce(list_position([4, 1, 6, 30, 2, 7], (l_quantity % 10)::INT), 0) - 1 AS m1 FROM (SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem) WHERE l_linenumber IN (1, 2, 3, 7)")
 def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(table(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2, 3, 7)"))
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(list_position([2, 9, 3, 7, 8, 1], l_linenumber), 0) - 1 AS m0, coalesce(list_position([2, 9, 3, 7, 8, 1], (l_quantity % 10)::INT), 0) - 1 AS m1 FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, coalesce(list_position([4, 1, 6, 30, 2, 7], l_linenumber), 0) - 1 AS m0, coalesce(list_position([4, 1, 6, 30, 2, 7], (l_quantity % 10)::INT), 0) - 1 AS m1 FROM lineitem")
 def match_positions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of lineitem; a miss is -1."""
     return _matched(table(spark, sf_dir, "lineitem"))
 
 
 def _matched(rows: DataFrame) -> DataFrame:
-    m = A.match(F.array("l_linenumber", (F.col("l_quantity") % 10).cast("int")), F.array(*map(F.lit, (2, 9, 3, 7, 8, 1))))
+    m = A.match(F.array("l_linenumber", (F.col("l_quantity") % 10).cast("int")), F.array(*map(F.lit, (4, 1, 6, 30, 2, 7))))
     return rows.select("l_orderkey", "l_linenumber", m.alias("m")).select("l_orderkey", "l_linenumber", F.col("m")[0].alias("m0"), F.col("m")[1].alias("m1"))
 
 
@@ -355,6 +398,13 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval.overlap_join(a, b, 10).select("id", "site", "line")
 
 
+@query(f"WITH {_POINTS}, {_ALL_SITES} SELECT id, string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS lines FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN site_pos - 1 AND site_pos GROUP BY id")
+def interval_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every order the line numbers of all intervals that hold its date, without repeats."""
+    spans = _sites(spark, sf_dir, whole=True).select("chr", F.col("line").cast("string").alias("lines"), (F.col("site_pos") - 1).alias("start"), F.col("site_pos").alias("end"))
+    return interval.stab_payloads(_points(spark, sf_dir), spans, 7, "lines").select("id", F.array_join("lines", ",").alias("lines"))
+
+
 # the same over every row of lineitem; the windows are narrower, as the output grows with rows times window
 
 
@@ -445,6 +495,12 @@ def find_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.find_peaks(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", "event_id", "user_id", 0)
 
 
+@query()
+def find_peaks_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local maxima of every user's values at least 500 events apart, the highest first."""
+    return ordered.find_peaks(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", "event_id", "user_id", 500)
+
+
 @query("SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
 def top_k_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ordered.top_k(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", [F.desc("value"), "event_id"], 5)

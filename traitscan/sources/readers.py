@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -66,12 +67,44 @@ def categories(df: DataFrame, column: str) -> DataFrame:
     return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
 
 
-def read_tped(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, id, pos, tokens) of a transposed genotype file; the genetic distance is dropped."""
-    lines = text_lines(spark, path, ("#", "//")).withColumn("cells", F.split(F.trim("value"), "[ \t,\f]+"))
-    lines = lines.where(F.element_at("cells", 4).try_cast("int").isNotNull())  # a header has no number there
+def parse_tped(lines: DataFrame) -> DataFrame:
+    """(chrom, id, pos, tokens) of the lines (value) of a transposed genotype file; the genetic distance is dropped.
+
+    Chromosomes stay text, as X, Y and MT are no numbers.
+    """
+    cells = lines.withColumn("cells", F.split(F.trim("value"), "[ \t,\f]+"))
+    cells = cells.where(F.element_at("cells", 4).try_cast("int").isNotNull())  # a header has no number there
     at = lambda k: F.element_at("cells", k)
-    return lines.select(at(1).cast("int").alias("chrom"), at(2).alias("id"), at(4).cast("int").alias("pos"), F.slice("cells", F.lit(5), F.size("cells") - 4).alias("tokens"))
+    return cells.select(at(1).alias("chrom"), at(2).alias("id"), at(4).cast("int").alias("pos"), F.slice("cells", F.lit(5), F.size("cells") - 4).alias("tokens"))
+
+
+def is_archive(path: str) -> bool:
+    return path.lower().endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2"))
+
+
+def member_lines(spark: SparkSession, path: str, suffixes: Sequence[str], comments: Sequence[str] = ("#", "//")) -> DataFrame:
+    """The lines (value) of a plain file, or of an archive's members with one of the suffixes."""
+    if not is_archive(path):
+        return text_lines(spark, path, comments).select("value")
+    lines = read_tar(spark, path, suffixes)
+    for c in comments:
+        lines = lines.where(~F.col("value").startswith(c))
+    return lines.where(F.trim("value") != "").select("value")
+
+
+def read_tped(spark: SparkSession, path: str) -> DataFrame:
+    """parse_tped of a file, or of the .tped members of a tar archive."""
+    return parse_tped(member_lines(spark, path, (".tped",)))
+
+
+def read_plink(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(genotypes, family) of several files whose roles their suffixes tell: .tped, .tfam or .fam, archives of both."""
+    some = lambda ends: [p for p in paths if p.lower().endswith(ends) or is_archive(p)]
+    union = lambda read, ends: functools.reduce(DataFrame.unionByName, [read(spark, p) for p in some(ends)])
+    for ends in (".tped",), (".tfam", ".fam"):
+        if not some(ends):
+            raise ValueError(f"no {' or '.join(ends)} file among {', '.join(paths)}")
+    return union(read_tped, (".tped",)), union(read_fam, (".tfam", ".fam"))
 
 
 def tped_symbols(tped: DataFrame) -> DataFrame:
@@ -88,7 +121,7 @@ def tped_dosages(tped: DataFrame) -> DataFrame:
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
     """(family_id, subject_id, father_id, mother_id, sex); a subject named twice is an error."""
-    cells = text_lines(spark, path, ("#", "//")).withColumn("c", F.split(F.trim("value"), "[ \t,]+"))
+    cells = member_lines(spark, path, (".tfam", ".fam")).withColumn("c", F.split(F.trim("value"), "[ \t,]+"))
     at = lambda k: F.element_at("c", k)
     sex = F.when(at(5) == "1", "M").when(at(5) == "2", "F").otherwise("U")
     out = cells.where(at(5).try_cast("int").isNotNull()).select(at(1).alias("family_id"), at(2).alias("subject_id"), at(3).alias("father_id"), at(4).alias("mother_id"), sex.alias("sex"))
