@@ -230,8 +230,8 @@ def test_split_and_merge(spark, tmp_path):
 
 def test_whole_tables_take_every_row(spark):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
-    assert queries._sites(spark, DATA, whole=True).count() == queries.QUERIES["match_positions_all"](spark, DATA).count() == lines.count()
+    assert queries._sites(spark, DATA).count() == queries.QUERIES["match_positions"](spark, DATA).count() == lines.count()
     keys = lambda df, a, b: {tuple(r) for r in df.select(a, b).collect()}
     small = keys(lines.where("l_quantity < 49"), "l_orderkey", "l_linenumber")
-    for name in ("interval_stab_all", "cis_window_all", "interval_overlap_all"):
+    for name in ("interval_stab", "cis_window", "interval_overlap"):
         assert keys(queries.QUERIES[name](spark, DATA), "site", "line") & small

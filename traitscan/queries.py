@@ -333,18 +333,10 @@ def filter_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.filter_rows(table(spark, sf_dir, "orders"), A.equal_precedence(a, ("or", b), ("and", c))).select("o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(list_position([4, 1, 6, 30, 2, 7], l_linenumber), 0) - 1 AS m0, coalesce(list_position([4, 1, 6, 30, 2, 7], (l_quantity % 10)::INT), 0) - 1 AS m1 FROM (SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem) WHERE l_linenumber IN (1, 2, 3, 7)")
-def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(table(spark, sf_dir, "lineitem").where("l_linenumber in (1, 2, 3, 7)"))
-
-
 @query("SELECT l_orderkey, l_linenumber, coalesce(list_position([4, 1, 6, 30, 2, 7], l_linenumber), 0) - 1 AS m0, coalesce(list_position([4, 1, 6, 30, 2, 7], (l_quantity % 10)::INT), 0) - 1 AS m1 FROM lineitem")
-def match_positions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of lineitem; a miss is -1."""
-    return _matched(table(spark, sf_dir, "lineitem"))
-
-
-def _matched(rows: DataFrame) -> DataFrame:
+def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of two values in a list; a miss is -1."""
+    rows = table(spark, sf_dir, "lineitem")
     m = A.match(F.array("l_linenumber", (F.col("l_quantity") % 10).cast("int")), F.array(*map(F.lit, (4, 1, 6, 30, 2, 7))))
     return rows.select("l_orderkey", "l_linenumber", m.alias("m")).select("l_orderkey", "l_linenumber", F.col("m")[0].alias("m0"), F.col("m")[1].alias("m1"))
 
@@ -358,8 +350,7 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DAY = "date_diff('day', DATE '1970-01-01', {}::DATE)"
 _POINTS = f"p AS (SELECT o_orderkey AS id, o_custkey % 22 AS chr, {_DAY.format('o_orderdate')} AS pos FROM orders)"
-_SITES = f"s AS (SELECT l_orderkey AS site, l_linenumber AS line, l_partkey % 22 AS chr, {_DAY.format('l_shipdate')} AS site_pos FROM lineitem WHERE l_quantity >= 49)"
-_ALL_SITES = _SITES.replace(" WHERE l_quantity >= 49", "")
+_SITES = f"s AS (SELECT l_orderkey AS site, l_linenumber AS line, l_partkey % 22 AS chr, {_DAY.format('l_shipdate')} AS site_pos FROM lineitem)"
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,68 +358,39 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 22).alias("chr"), day.alias("pos"))
 
 
-def _sites(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Sites of the rows that the SQL of the query takes: of all, if whole."""
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.unix_date(F.to_date("l_shipdate")).cast("long")
-    rows = table(spark, sf_dir, "lineitem")
-    return (rows if whole else rows.where("l_quantity >= 49")).select(F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 22).alias("chr"), day.alias("site_pos"))
-
-
-@query(f"WITH {_POINTS}, {_SITES} SELECT id, site, line FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN site_pos - 3 AND site_pos + line")
-def interval_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points inside closed intervals on the same chromosome."""
-    spans = _sites(spark, sf_dir).select("chr", "site", "line", (F.col("site_pos") - 3).alias("start"), (F.col("site_pos") + F.col("line")).alias("end"))
-    return interval.stab_join(_points(spark, sf_dir), spans, 7).select("id", "site", "line")
-
-
-@query(f"WITH {_POINTS}, {_SITES} SELECT id, site, line, pos - site_pos AS distance FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN greatest(0, site_pos - 20) AND site_pos + 20")
-def cis_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interval.cis_window(_points(spark, sf_dir), _sites(spark, sf_dir), 20).select("id", "site", "line", "distance")
-
-
-@query(f"WITH {_POINTS}, {_SITES} SELECT id, count(site) FILTER (abs(pos - site_pos) > 300) AS n_long_cis FROM p LEFT JOIN s ON p.chr = s.chr GROUP BY ALL")
-def long_cis_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interval.long_cis_counts(_points(spark, sf_dir), _sites(spark, sf_dir), 300).select("id", "n_long_cis")
-
-
-@query(f"""WITH {_POINTS}, {_SITES} SELECT id, site, line FROM p JOIN s ON p.chr = s.chr AND pos <= site_pos + line AND site_pos <= pos + 5 WHERE id % 5 = 0""".replace("WHERE id % 5 = 0", ""))
-def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _points(spark, sf_dir).select("chr", "id", F.col("pos").alias("a_start"), (F.col("pos") + 5).alias("a_end"))
-    b = _sites(spark, sf_dir).select("chr", "site", "line", F.col("site_pos").alias("b_start"), (F.col("site_pos") + F.col("line")).alias("b_end"))
-    return interval.overlap_join(a, b, 10).select("id", "site", "line")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 22).alias("chr"), day.alias("site_pos"))
 
 
-@query(f"WITH {_POINTS}, {_ALL_SITES} SELECT id, string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS lines FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN site_pos - 1 AND site_pos GROUP BY id")
+@query(f"WITH {_POINTS}, {_SITES} SELECT id, string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS lines FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN site_pos - 1 AND site_pos GROUP BY id")
 def interval_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every order the line numbers of all intervals that hold its date, without repeats."""
-    spans = _sites(spark, sf_dir, whole=True).select("chr", F.col("line").cast("string").alias("lines"), (F.col("site_pos") - 1).alias("start"), F.col("site_pos").alias("end"))
+    spans = _sites(spark, sf_dir).select("chr", F.col("line").cast("string").alias("lines"), (F.col("site_pos") - 1).alias("start"), F.col("site_pos").alias("end"))
     return interval.stab_payloads(_points(spark, sf_dir), spans, 7, "lines").select("id", F.array_join("lines", ",").alias("lines"))
 
 
-# the same over every row of lineitem; the windows are narrower, as the output grows with rows times window
-
-
-@query(f"WITH {_POINTS}, {_ALL_SITES} SELECT id, site, line FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN site_pos - 1 AND site_pos + line % 3")
-def interval_stab_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_POINTS}, {_SITES} SELECT id, site, line FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN site_pos - 1 AND site_pos + line % 3")
+def interval_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points inside closed intervals of one to four days around every site."""
-    spans = _sites(spark, sf_dir, whole=True).select("chr", "site", "line", (F.col("site_pos") - 1).alias("start"), (F.col("site_pos") + F.col("line") % 3).alias("end"))
+    spans = _sites(spark, sf_dir).select("chr", "site", "line", (F.col("site_pos") - 1).alias("start"), (F.col("site_pos") + F.col("line") % 3).alias("end"))
     return interval.stab_join(_points(spark, sf_dir), spans, 7).select("id", "site", "line")
 
 
-@query(f"WITH {_POINTS}, {_ALL_SITES} SELECT id, site, line, pos - site_pos AS distance FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN greatest(0, site_pos - 1) AND site_pos + 1")
-def cis_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interval.cis_window(_points(spark, sf_dir), _sites(spark, sf_dir, whole=True), 1).select("id", "site", "line", "distance")
+@query(f"WITH {_POINTS}, {_SITES} SELECT id, site, line, pos - site_pos AS distance FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN greatest(0, site_pos - 1) AND site_pos + 1")
+def cis_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval.cis_window(_points(spark, sf_dir), _sites(spark, sf_dir), 1).select("id", "site", "line", "distance")
 
 
-@query(f"WITH {_POINTS}, {_ALL_SITES} SELECT id, count(site) FILTER (abs(pos - site_pos) > 300) AS n_long_cis FROM p LEFT JOIN s ON p.chr = s.chr GROUP BY ALL")
-def long_cis_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interval.long_cis_counts(_points(spark, sf_dir), _sites(spark, sf_dir, whole=True), 300).select("id", "n_long_cis")
+@query(f"WITH {_POINTS}, {_SITES} SELECT id, count(site) FILTER (abs(pos - site_pos) > 300) AS n_long_cis FROM p LEFT JOIN s ON p.chr = s.chr GROUP BY ALL")
+def long_cis_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval.long_cis_counts(_points(spark, sf_dir), _sites(spark, sf_dir), 300).select("id", "n_long_cis")
 
 
-@query(f"WITH {_POINTS}, {_ALL_SITES} SELECT id, site, line FROM p JOIN s ON p.chr = s.chr AND pos <= site_pos + line % 3 AND site_pos <= pos + 1")
-def interval_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {_POINTS}, {_SITES} SELECT id, site, line FROM p JOIN s ON p.chr = s.chr AND pos <= site_pos + line % 3 AND site_pos <= pos + 1")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _points(spark, sf_dir).select("chr", "id", F.col("pos").alias("a_start"), (F.col("pos") + 1).alias("a_end"))
-    b = _sites(spark, sf_dir, whole=True).select("chr", "site", "line", F.col("site_pos").alias("b_start"), (F.col("site_pos") + F.col("line") % 3).alias("b_end"))
+    b = _sites(spark, sf_dir).select("chr", "site", "line", F.col("site_pos").alias("b_start"), (F.col("site_pos") + F.col("line") % 3).alias("b_end"))
     return interval.overlap_join(a, b, 10).select("id", "site", "line")
 
 
