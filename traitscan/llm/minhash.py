@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +33,8 @@ from traitscan.llm.common import broadcast_if_small, connected_components, drop_
 BANDS, ROWS = 56, 7
 #: Shingles of one side of a task that compares documents across components.
 TASK_SHINGLES = 1_000_000
+#: List entries that such a task counts at once; about 40 bytes each.
+COUNT_ENTRIES = 1_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -215,7 +216,7 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]):  # noqa: ANN201
     cost = np.array([int((first[k + 1] - first[k]).sum()) for k in mine]) + len(y)
     begin = 0
     while begin < len(x):
-        end = begin + max(1, int(np.searchsorted(np.cumsum(cost[begin:]), 4_000_000, "right")))
+        end = begin + max(1, int(np.searchsorted(np.cumsum(cost[begin:]), COUNT_ENTRIES, "right")))
         k = np.concatenate(mine[begin:end])
         n = first[k + 1] - first[k]
         places = np.arange(n.sum()) + np.repeat(first[k] - np.cumsum(n) + n, n)
@@ -418,6 +419,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     if not again.limit(1).count():
         return out
 
+    import pandas as pd  # 37 MB of a worker, needed here only
+
     @F.pandas_udf("n long, f1 long, f2 long")
     def marks(texts: pd.Series) -> pd.DataFrame:
         sets = shingle_sets(texts.tolist(), width)
