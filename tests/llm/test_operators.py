@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 import corpus_pipeline
 from traitscan.llm import bpe, editcounts, embeddings, langid, linededup, minhash, packing, queries, search, sharding, urlfilter
-from traitscan.llm.common import connected_components
+from traitscan.llm.common import are_stars, connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "wort " * 60_000
@@ -418,6 +418,24 @@ def test_components_of_a_chain(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_graphs(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 60, (25 + 10 * seed, 2))]
+    parent = list(range(60))
+    for _ in range(60):  # labels fall until nothing changes
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = dict(tuple(r) for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert got == {v: parent[v] for p in pairs if p[0] != p[1] for v in p}
+
+
+def test_stars_need_no_round(spark):
+    stars = lambda pairs: are_stars(spark.createDataFrame(pairs, "u long, v long"))
+    assert stars([(5, 1), (6, 1), (7, 2)]) and stars([])
+    assert not stars([(5, 1), (5, 2)]) and not stars([(5, 3), (3, 1)])
+
+
 # ------------------------------------------------------------ 9
 
 
