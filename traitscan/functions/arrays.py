@@ -56,7 +56,9 @@ def powers(x: Column, n: int) -> Column:
 
 
 def running_sum(v: Column | str) -> Column:
-    return F.transform(v, lambda _, i: fsum(F.slice(v, F.lit(1), i + 1)))
+    """Sums of the elements up to each place; the sum is carried, not made anew."""
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(v, start, lambda a, x: F.struct((a.s + x).alias("s"), F.concat(a.out, F.array(a.s + x)).alias("out")), lambda a: a.out)
 
 
 def first_index(needle: Column | str, hay: Column | str) -> Column:

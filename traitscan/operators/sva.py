@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitscan.functions.stats import ln_inc_beta
@@ -55,31 +55,41 @@ def number_of_surrogates(df: DataFrame, design: np.ndarray, rounds: int = 20, le
     return int((p <= level).sum()), p
 
 
-def f_tests(df: DataFrame, alt: np.ndarray, null: np.ndarray) -> DataFrame:
-    """(id, values, p) of the nested linear models of every row."""
-    qa, q0 = orthonormal(alt), orthonormal(null)
-    d1, d2 = qa.shape[1] - q0.shape[1], len(alt) - qa.shape[1]
+def f_tests(df: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(id, values, one p per name) of the nested linear models (alternative, null) of every row, in one pass."""
+    bases = [(orthonormal(alt), orthonormal(null)) for alt, null in models.values()]
     id_type = df.schema["id"].dataType.simpleString()
 
+    def p_of(x: np.ndarray, qa: np.ndarray, q0: np.ndarray) -> np.ndarray:
+        d1, d2 = qa.shape[1] - q0.shape[1], len(qa) - qa.shape[1]
+        full = ((x - (x @ qa) @ qa.T) ** 2).sum(axis=1)
+        small = ((x - (x @ q0) @ q0.T) ** 2).sum(axis=1)
+        f = np.maximum((small - full) / d1, 0) / np.maximum(full / d2, 1e-300)
+        return np.exp(ln_inc_beta(d2 / (d2 + d1 * f), np.full(len(f), d2 / 2), np.full(len(f), d1 / 2)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix_of(b.column(1))
-            if not len(x):
-                continue
-            full = ((x - (x @ qa) @ qa.T) ** 2).sum(axis=1)
-            small = ((x - (x @ q0) @ q0.T) ** 2).sum(axis=1)
-            f = np.maximum((small - full) / d1, 0) / np.maximum(full / d2, 1e-300)
-            p = np.exp(ln_inc_beta(d2 / (d2 + d1 * f), np.full(len(f), d2 / 2), np.full(len(f), d1 / 2)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=["id", "values", "p"])
-
-    return complete_rows(df).select("id", "values").mapInArrow(run, f"id {id_type}, values array<double>, p double")
-
-
-def _local_fdr(p: DataFrame) -> np.ndarray:
-    """Local false discovery rate per bin of p, not falling with p."""
-    counts = np.zeros(BINS)
-    for r in p.groupBy(F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("b")).count().collect():  # BINS rows at most
-        counts[r.b] = r["count"]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p_of(x, *q)) for q in bases)], names=["id", "values", *models])
+
+    return complete_rows(df).select("id", "values").mapInArrow(run, f"id {id_type}, values array<double>, " + ", ".join(f"`{m}` double" for m in models))
+
+
+def _bin(p: str) -> Column:
+    return F.least(F.floor(F.col(p) * BINS), F.lit(BINS - 1))
+
+
+def _local_fdrs(tests: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """For each column of p-values its local false discovery rate per bin, not falling with p."""
+    counts = np.zeros((len(names), BINS))
+    binned = tests.select(F.posexplode(F.array(*map(_bin, names))).alias("k", "b"))
+    for r in binned.groupBy("k", "b").count().collect():  # BINS rows per name at most
+        counts[r.k, r.b] = r["count"]
+    return [_local_fdr(c) for c in counts]
+
+
+def _local_fdr(counts: np.ndarray) -> np.ndarray:
     density = counts / max(counts.sum(), 1) * BINS
     smooth = np.convolve(np.pad(density, 2, mode="edge"), np.ones(5) / 5, mode="valid")
     pi0 = min(1.0, counts[int(BINS * 0.8) :].sum() / max(counts.sum(), 1) / 0.2)
@@ -98,11 +108,10 @@ def surrogate_variables(df: DataFrame, alt: np.ndarray, null: np.ndarray | None
     _, vectors = np.linalg.eigh(gram_matrix(times(rows, _residual_map(orthonormal(alt))), n))
     sv = vectors[:, ::-1][:, :count]
     for _ in range(rounds):
-        both = f_tests(rows, np.hstack([alt, sv]), np.hstack([null, sv])).withColumnRenamed("p", "p_alt")
-        gamma = f_tests(rows, np.hstack([null, sv]), null)
-        lfdr_alt, lfdr_sv = _local_fdr(both.select(F.col("p_alt").alias("p"))), _local_fdr(gamma)
-        look = lambda table, c: F.element_at(F.array(*map(F.lit, map(float, table))), (F.least(F.floor(F.col(c) * BINS), F.lit(BINS - 1)) + 1).cast("int"))
-        weighted = gamma.join(both.select("id", "p_alt"), "id").withColumn("w", (1 - look(lfdr_sv, "p")) * look(lfdr_alt, "p_alt"))
+        tests = f_tests(rows, {"p_alt": (np.hstack([alt, sv]), np.hstack([null, sv])), "p_sv": (np.hstack([null, sv]), null)})
+        lfdr_alt, lfdr_sv = _local_fdrs(tests, ["p_alt", "p_sv"])
+        look = lambda table, c: F.element_at(F.array(*map(F.lit, map(float, table))), (_bin(c) + 1).cast("int"))
+        weighted = tests.withColumn("w", (1 - look(lfdr_sv, "p_sv")) * look(lfdr_alt, "p_alt"))
         centred = weighted.select("id", F.transform("values", lambda x: x * F.col("w")).alias("values"))
         _, vectors = np.linalg.eigh(gram_matrix(times(centred, np.eye(n) - 1.0 / n), n))
         sv = vectors[:, ::-1][:, :count]
