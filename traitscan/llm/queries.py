@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from traitscan.llm.editcounts import edited_counts, hashed_edits
 from traitscan.llm.embeddings import near_vectors
 from traitscan.llm.minhash import near_duplicates
 from traitscan.llm.packing import pack_documents
+from traitscan.llm.records import read_token_records, write_token_records
 from traitscan.llm.search import bm25_search, build_index
 from traitscan.llm.sharding import histogram_shards
+from traitscan.tables import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +114,13 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a record of token ids, written and read back."""
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    write_token_records(table(spark, sf_dir, "documents"), path, word_bpe_path(), end_id=2)
+    return read_token_records(spark, path).select(F.col("key").cast("long").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_search": op1_search,
     "op2_sharding": op2_sharding,
@@ -120,7 +131,9 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_embeddings": op10_embeddings,
     "op8_minhash": op8_minhash,
-    "op6_bpe": op6_bpe, "op7_packing": op7_packing}
+    "op6_bpe": op6_bpe, "op7_packing": op7_packing,
+    "op13_records": op13_records,
+}
 OP4_SQL = f"""
 WITH l AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents WHERE text IS NOT NULL),
 c AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL HAVING count(*) >= {BOILERPLATE_PAGES}),
