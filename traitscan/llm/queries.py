@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitscan.llm import langid, linededup, urlfilter
+from traitscan.llm.alignment import cross_token_links
 from traitscan.llm.bpe import encode_documents
 from traitscan.llm.editcounts import edited_counts, hashed_edits
 from traitscan.llm.embeddings import near_vectors
@@ -23,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_bpe_path() -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
+
+
+def word_bpe_path() -> str:
+    return tokenizer_path("word_bpe_49k.json")
 
 
 def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +119,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return cross_token_links(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a record of token ids, written and read back."""
     path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
@@ -132,6 +143,7 @@ QUERIES = {
     "op10_embeddings": op10_embeddings,
     "op8_minhash": op8_minhash,
     "op6_bpe": op6_bpe, "op7_packing": op7_packing,
+    "op12_alignment": op12_alignment,
     "op13_records": op13_records,
 }
 OP4_SQL = f"""
