@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from traitscan.llm.bpe import encode_documents
 from traitscan.llm.editcounts import edited_counts, hashed_edits
 from traitscan.llm.embeddings import near_vectors
 from traitscan.llm.minhash import near_duplicates
+from traitscan.llm.negatives import mine_hard_negatives
 from traitscan.llm.packing import pack_documents
 from traitscan.llm.records import read_token_records, write_token_records
 from traitscan.llm.search import bm25_search, build_index
@@ -119,6 +120,15 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every anchor of embeddings."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    component = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(256 * x))
+    rows = rows.select("vec_id", moved.alias("label"), F.transform(F.col("embedding").cast("array<double>"), component).alias("values"))
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0, id_col="vec_id", n_positives=5, n_negatives=10, low=30, high=90)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of two tokenizers in every document."""
     docs = table(spark, sf_dir, "documents")
@@ -143,6 +153,7 @@ QUERIES = {
     "op10_embeddings": op10_embeddings,
     "op8_minhash": op8_minhash,
     "op6_bpe": op6_bpe, "op7_packing": op7_packing,
+    "op11_negatives": op11_negatives,
     "op12_alignment": op12_alignment,
     "op13_records": op13_records,
 }
@@ -204,4 +215,14 @@ m AS (SELECT id, min(root) AS component_id FROM r GROUP BY ALL), k AS (SELECT a,
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON id = vec_id LEFT JOIN k ON a = vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_search": OP1_SQL, "op4_line_dedup": OP4_SQL, "op4_site_lines": OP4_SITE_SQL, "op5_url_filter": OP5_SQL, "op8_minhash": OP8_SQL, "op10_embeddings": OP10_SQL}
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT::DOUBLE) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, s.b AS n, p.s AS ps, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT a AS anchor_id, p AS positive_id, r::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_search": OP1_SQL, "op4_line_dedup": OP4_SQL, "op4_site_lines": OP4_SITE_SQL, "op5_url_filter": OP5_SQL, "op8_minhash": OP8_SQL, "op10_embeddings": OP10_SQL, "op11_negatives": OP11_SQL}
