@@ -17,6 +17,11 @@ def last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return best.select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
+def lookup_side(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """table, marked for a broadcast if a count shows that it is small."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def annotate(main: DataFrame, sections: dict[str, tuple[DataFrame, str, str]], rows: int = 500_000) -> DataFrame:
     """Left lookups of main rows in unique-key sections: {name: (table, its key, main's column)}.
 
@@ -26,8 +31,7 @@ def annotate(main: DataFrame, sections: dict[str, tuple[DataFrame, str, str]], r
     out, first = main.alias("Main"), []
     for name, (table, key, column) in sections.items():
         side = table.select(F.col(key).alias("_k"), *(F.col(c).alias(f"{name}.{c}") for c in table.columns if c != key))
-        small = side.limit(rows + 1).count() <= rows
-        out = out.join(F.broadcast(side) if small else side, F.col(column) == F.col("_k"), "left").drop("_k")
+        out = out.join(lookup_side(side, rows), F.col(column) == F.col("_k"), "left").drop("_k")
         first += [f"`{name}.{c}`" for c in table.columns if c != key]
     return out.select(*first, *main.columns)
 
@@ -60,6 +64,13 @@ def in_table(df: DataFrame, column: str, table: DataFrame, key: str, flag: str)
     return df.join(keys, F.col(column) == F.col("_k"), "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_k", "_hit")
 
 
+def in_file(spark: SparkSession, df: DataFrame, column: str, path: str, key: str | int = 0, flag: str = "listed", sep: str = ",", header: bool = True) -> DataFrame:
+    """in_table for one column of a delimited file, by its name or its place from 0; cells are trimmed."""
+    listed = spark.read.options(header=header, sep=sep, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
+    name = listed.columns[key] if isinstance(key, int) else key
+    return in_table(df, column, listed.select(F.col(f"`{name}`").alias("_listed")), "_listed", flag)
+
+
 def translate_ids(df: DataFrame, column: str, table: DataFrame, key: str, value: str, order: Sequence[str], to: str) -> DataFrame:
     """column replaced through a key-value table whose last duplicate wins; NULL on a miss."""
     pairs = last_per_key(table.select(key, value, *[c for c in order if c not in (key, value)]), key, order).select(F.col(key).alias("_k"), F.col(value).alias(to))

@@ -1,29 +1,45 @@
 """Point-in-interval joins on (chromosome, position), by bins instead of a range scan.
 
-Intervals are closed. An interval is placed in every bin it touches; a point lies
-in one bin, so no pair appears twice. Very long intervals are kept apart by
-`max_bins` and joined on the chromosome alone, so they never explode.
+Intervals are closed and of any length. Bins form levels of doubling width; an
+interval lies in the one to three bins it touches on the level whose bins are
+about as long as itself, and a point asks for its bin on every level that some
+interval uses. So no interval is copied to many bins, no join is on the chromosome
+alone, and as the bins of a level are not much longer than their intervals, most
+candidates are results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 1_000_000
 
 
-def stab_join(points: DataFrame, intervals: DataFrame, bin_width: int, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end", max_bins: int = 64) -> DataFrame:
-    """Inner join of points with the intervals that contain them; columns of both sides."""
-    bins = F.floor(F.col(end) / bin_width) - F.floor(F.col(start) / bin_width) + 1
-    whole = intervals.where(F.col(start) <= F.col(end))
+def _level(start: str, end: str, bin_width: float) -> Column:
+    """The level whose bins, bin_width * 2 ** level, are just longer than the interval."""
+    return F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(start) + 1) / bin_width))).cast("int")
+
+
+def _bin(pos: str | Column, level: Column, bin_width: float) -> Column:
+    return F.floor((F.col(pos) if isinstance(pos, str) else pos) / (F.lit(float(bin_width)) * F.pow(F.lit(2.0), level)))
+
+
+def stab_join(points: DataFrame, intervals: DataFrame, bin_width: float, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
+    """Inner join of points with the intervals that contain them; columns of both sides.
+
+    bin_width is the width of the finest bins. Intervals without a start or an
+    end, or that end before they start, hold nothing.
+    """
     some = [c for c in intervals.columns if c != chrom]
-    inside = F.col(pos).between(F.col(start), F.col(end))
-    short = whole.where(bins <= max_bins).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_width), F.floor(F.col(end) / bin_width))))
-    near = points.withColumn("_bin", F.floor(F.col(pos) / bin_width)).join(short, [chrom, "_bin"]).where(inside).drop("_bin")
-    far = points.join(whole.where(bins > max_bins), chrom).where(inside)
-    order = [*points.columns, *some]
-    return near.select(*order).union(far.select(*order))
+    level = F.col("_level")
+    dealt = intervals.where(F.col(start) <= F.col(end)).withColumn("_level", _level(start, end, bin_width))
+    used = [r[0] for r in dealt.select("_level").distinct().collect()]  # as many as doublings of the width, at most
+    dealt = dealt.withColumn("_bin", F.explode(F.sequence(_bin(start, level, bin_width), _bin(end, level, bin_width))))
+    asks = F.array(*(F.struct(F.lit(n).alias("_level"), _bin(pos, F.lit(n), bin_width).alias("_bin")) for n in sorted(used) or [0]))
+    asked = points.withColumn("_ask", F.explode(asks)).select(*points.columns, "_ask._level", "_ask._bin")
+    hits = asked.join(dealt, [chrom, "_level", "_bin"]).where(F.col(pos).between(F.col(start), F.col(end)))
+    return hits.select(*points.columns, *some)
 
 
 def cis_window(points: DataFrame, sites: DataFrame, window: int = WINDOW, chrom: str = "chr", pos: str = "pos", site: str = "site_pos") -> DataFrame:
@@ -33,15 +49,19 @@ def cis_window(points: DataFrame, sites: DataFrame, window: int = WINDOW, chrom:
     return out.withColumn("distance", F.col(pos) - F.col(site)).drop("_lo", "_hi")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, bin_width: int, chrom: str = "chr") -> DataFrame:
-    """Pairs of closed intervals (a_start, a_end) and (b_start, b_end) that share a position."""
-    deal = lambda df, s, e: df.where(F.col(s) <= F.col(e)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(s) / bin_width), F.floor(F.col(e) / bin_width))))
-    joined = deal(a, "a_start", "a_end").join(deal(b, "b_start", "b_end"), [chrom, "_bin"]).where("a_start <= b_end and b_start <= a_end")
-    # a pair is kept in the bin where the later of its starts lies
-    return joined.where(F.col("_bin") == F.floor(F.greatest("a_start", "b_start") / bin_width)).drop("_bin")
+def overlap_join(a: DataFrame, b: DataFrame, bin_width: float, chrom: str = "chr") -> DataFrame:
+    """Pairs of closed intervals (a_start, a_end) and (b_start, b_end) that share a position.
+
+    Two intervals overlap if one holds the later start of both.
+    """
+    a, b = a.where("a_start <= a_end"), b.where("b_start <= b_end")
+    order = [chrom, *(c for c in [*a.columns, *b.columns] if c != chrom)]
+    later_a = stab_join(a, b, bin_width, chrom, "a_start", "b_start", "b_end")
+    later_b = stab_join(b, a, bin_width, chrom, "b_start", "a_start", "a_end").where("b_start > a_start")
+    return later_a.select(*order).union(later_b.select(*order))
 
 
-def stab_payloads(points: DataFrame, intervals: DataFrame, bin_width: int, payload: str, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
+def stab_payloads(points: DataFrame, intervals: DataFrame, bin_width: float, payload: str, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
     """For every point inside an interval the union of the payloads of all intervals that hold it, sorted."""
     hits = stab_join(points, intervals.select(chrom, start, end, payload), bin_width, chrom, pos, start, end)
     return hits.groupBy(*points.columns).agg(F.sort_array(F.collect_set(payload)).alias(payload))

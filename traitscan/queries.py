@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from traitscan.functions import arrays as A
 from traitscan.operators import annotate, assoc, interval, matrix, ordered, profile, sva
 from traitscan.operators.fdr import log10_fdr
+from traitscan.plans import annotation
 
 DIM = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,6 +347,44 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", A.natural_key("c_name").alias("key"))
 
 
+ANNOTATION = """
+[Orders]
+file = orders
+file_format = parquet
+columns_kept = o_orderkey, o_custkey, o_orderstatus, o_totalprice
+columns_rename = Order, Customer, Status, Price
+Status = lower(Status)
+Old = if(Customer % 2 = 0, 'even', 'odd')
+
+[Parts]
+file = part
+file_format = parquet
+columns_kept = p_partkey, p_brand, p_size
+p_partkey = if(p_size > 40, null, p_partkey)
+
+[Unlinked]
+file = never_read
+
+[Main]
+input = lineitem
+output = nowhere
+file_format = parquet
+matching_rule = Orders.Order == Main.l_orderkey, Main.l_partkey == Parts.p_partkey
+Share = round(l_extendedprice / Orders.Price, 6)
+Main.l_returnflag = concat(l_returnflag, coalesce(Parts.p_brand, '-'))
+column_order = l_orderkey, Main.l_linenumber, Customer, Status, Old, p_brand, p_size, Share, l_returnflag
+new_header = order_id, line, customer, status, parity, brand, size, share, flag
+"""
+
+
+@query("""SELECT l_orderkey AS order_id, l_linenumber AS line, o_custkey AS customer, lower(o_orderstatus) AS status, CASE WHEN o_custkey % 2 = 0 THEN 'even' WHEN o_custkey IS NOT NULL THEN 'odd' END AS parity,
+p_brand AS brand, p_size AS size, round(l_extendedprice / o_totalprice, 6) AS share, l_returnflag || coalesce(p_brand, '-') AS flag
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) ON p_partkey = l_partkey""")
+def annotation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of an order annotated by a configuration with two linked sections."""
+    return annotation.annotated(annotation.parse_plan(ANNOTATION), lambda name, _: table(spark, sf_dir, name))
+
+
 # ---------------------------------------------------------------- intervals
 
 _DAY = "date_diff('day', DATE '1970-01-01', {}::DATE)"
@@ -394,6 +433,18 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval.overlap_join(a, b, 10).select("id", "site", "line")
 
 
+@query(f"""WITH {_POINTS}, {_SITES} SELECT p.id, count(*) AS n_spans, min(site_pos) AS first, sum(line) AS lines FROM p JOIN s ON p.chr = s.chr AND p.id % 100 = s.site % 100
+AND pos BETWEEN site_pos - CASE WHEN line = 1 THEN 900000000 ELSE 1 << line::INT END AND site_pos GROUP BY ALL""")
+def interval_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of four days to 900,000,000 that hold a point, one level of bins for each length."""
+    tag = lambda c: F.concat_ws("/", "chr", F.col(c) % 100)
+    reach = F.when(F.col("line") == 1, F.lit(900_000_000)).otherwise(F.expr("shiftleft(1L, line)"))
+    spans = _sites(spark, sf_dir).select(tag("site").alias("chr"), "line", "site_pos", (F.col("site_pos") - reach).alias("start"), F.col("site_pos").alias("end"))
+    points = _points(spark, sf_dir).select("id", tag("id").alias("chr"), "pos")
+    hits = interval.stab_join(points, spans, 4)
+    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("n_spans"), F.min("site_pos").alias("first"), F.sum("line").alias("lines"))
+
+
 # ---------------------------------------------------------------- order, ranks, rates
 
 _FDR = """WITH r AS (SELECT event_id AS id, -value / 50 AS lp, row_number() OVER (ORDER BY -value / 50, event_id) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
