@@ -495,6 +495,24 @@ def running_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ordered.running_product(rows, "f", ["user_id"], ["event_id"]).drop("f"), cum_prod=4)
 
 
+@query("""SELECT event_id, user_id, round(sum(value) OVER w, 4) AS cum_sum, round(value - lead(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS diff, max(value) OVER w AS cum_max,
+round(exp(sum(ln(1 + value / 10000)) OVER w), 4) AS cum_prod FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def accumulate_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, products, maxima and differences from the end of every series."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (1 + F.col("value") / 10000).alias("f"))
+    sums = ordered.accumulate(rows, "value", ["user_id"], ["event_id"], reverse=True)
+    out = ordered.running_product(sums, "f", ["user_id"], ["event_id"], reverse=True)
+    return rounded(out.select("event_id", "user_id", "cum_sum", "diff", "cum_max", "cum_prod"), cum_sum=4, diff=4, cum_prod=4)
+
+
+@query("""SELECT event_id, round(sum(value) OVER w, 3) AS cum_sum, round(value - lag(value) OVER (ORDER BY event_id), 4) AS diff, max(value) OVER w AS cum_max
+FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def accumulate_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, scanned in ranges of 1,000 rows with carries."""
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    return rounded(ordered.accumulate(rows, "value", [], ["event_id"], range_rows=1000).drop("value"), cum_sum=3, diff=4)
+
+
 @query("SELECT o_orderkey, o_custkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) - 1 AS run FROM orders")
 def duplicate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ordered.run_number(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderpriority", ["o_custkey"])
@@ -508,12 +526,26 @@ def find_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.find_peaks(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", "event_id", "user_id", 0)
 
 
-@query()
+_APART = """WITH w AS (SELECT user_id, event_id, value, lag(value) OVER v AS l, lead(value) OVER v AS a FROM events WINDOW v AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT user_id, list([event_id] ORDER BY value DESC, event_id) AS c FROM w WHERE (l IS NULL OR value > l) AND (a IS NULL OR value >= a) GROUP BY ALL),
+k AS (SELECT unnest(list_reduce(c, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y - x[1]) < {d})) = 0 THEN kept || x ELSE kept END)) AS event_id FROM c)
+SELECT user_id, event_id, value FROM events JOIN k USING (event_id)"""
+
+
+@query(_APART.format(d=500))
 def find_peaks_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local maxima of every user's values at least 500 events apart, the highest first."""
     return ordered.find_peaks(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", "event_id", "user_id", 500)
 
 
+@query(_APART.replace("PARTITION BY user_id ", "").replace("SELECT user_id, list(", "SELECT list(").format(d=7))
+def find_peaks_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local maxima of all events as one series, at least 7 events apart, in blocks of 500 candidates."""
+    events = table(spark, sf_dir, "events").select(F.lit(1).alias("all"), "event_id", "value")
+    peaks = ordered.find_peaks(events, "value", "event_id", "all", 7, block_rows=500)
+    return peaks.drop("all", "value").join(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "event_id")
+
+
 @query("SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
 def top_k_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ordered.top_k(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", [F.desc("value"), "event_id"], 5)

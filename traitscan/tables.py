@@ -40,6 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranges(df: DataFrame, order: list[str], range_rows: int = 0) -> DataFrame | None:
+    """df with _row, the place in the input, and _part, its range in the order (ties by _row), written; None for one range.
+
+    Rows are dealt to ranges of about range_rows and written, as a range exchange
+    that is planned twice may draw other bounds. Equal rows may lie in several
+    ranges.
+    """
+    parts = -(-df.count() // (range_rows or RANGE_ROWS))
+    if parts <= 1:
+        return None
+    keys = [*order, "_row"]
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    return written(rows.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def ranked(df: DataFrame, order: list[str], name: str = "row_no", range_rows: int = 0) -> DataFrame:
     """df with `name`, the place of each row in the order (from 0), and _part, its range.
 
