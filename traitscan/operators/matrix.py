@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitscan.functions import arrays as A
+from traitscan.operators import blocks
 from traitscan.operators.assoc import matrix_of
 
 
@@ -80,9 +81,9 @@ def times(df: DataFrame, right: np.ndarray, value: str = "values") -> DataFrame:
     return df.withColumn(value, F.col(value).cast("array<double>")).mapInArrow(run, schema)
 
 
-def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Product of two matrices in cells, by an equi-join on the inner index."""
-    return a.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("y")), "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+def multiply(a: DataFrame, b: DataFrame, size: int = blocks.SIZE) -> DataFrame:
+    """Product of two matrices in cells, tile by tile; i and j count from 0."""
+    return blocks.cells_of_tiles(blocks.product(blocks.tiles_of_cells(a, size), blocks.tiles_of_cells(b, size)), size)
 
 
 def transpose(cells: DataFrame) -> DataFrame:
@@ -120,7 +121,17 @@ def complete_samples(cells: DataFrame) -> DataFrame:
 
 
 def svd_rows(df: DataFrame, n: int, k: int, value: str = "values") -> tuple[np.ndarray, np.ndarray]:
-    """The k largest singular values and right vectors of a tall matrix, from its Gram matrix."""
-    values, vectors = np.linalg.eigh(gram_matrix(df, n, value))
-    order = np.argsort(-values)[:k]
-    return np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
+    """The k largest singular values and right vectors of a tall matrix, from the triangle of its QR factorisation.
+
+    The Gram matrix would square the condition number; the triangle keeps it.
+    """
+    _, values, vectors = np.linalg.svd(blocks.tall_r(df, n, value))
+    return values[:k], vectors[:k].T
+
+
+def orthonormal_rows(df: DataFrame, n: int, value: str = "values") -> DataFrame:
+    """Q of the QR factorisation: rows with orthonormal columns. A second pass mends what an ill-conditioned triangle loses."""
+    out = df
+    for _ in range(2):
+        out = times(out, np.linalg.inv(blocks.tall_r(out, n, value)), value)
+    return out

@@ -1,7 +1,7 @@
 """Surrogate variables of a tall matrix (features x samples), after Leek and Storey.
 
 All work over features is one pass per step: partial Gram matrices, partial
-histograms of F statistics, and permuted residuals. Only samples x samples
+counts of F statistics' probits, and permuted residuals. Only samples x samples
 matrices and bounded histograms reach the driver.
 """
 
@@ -11,16 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitscan.functions import density
 from traitscan.functions.stats import ln_inc_beta
 from traitscan.operators.assoc import complete_rows, matrix_of, orthonormal
 from traitscan.operators.matrix import gram_matrix, times
 
-BINS = 200
-
-
 def _residual_map(basis: np.ndarray) -> np.ndarray:
     return np.eye(len(basis)) - basis @ basis.T
 
@@ -56,7 +54,7 @@ def number_of_surrogates(df: DataFrame, design: np.ndarray, rounds: int = 20, le
 
 
 def f_tests(df: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(id, values, one p per name) of the nested linear models (alternative, null) of every row, in one pass."""
+    """(id, values, one probit of p per name) of the nested linear models (alternative, null) of every row, in one pass."""
     bases = [(orthonormal(alt), orthonormal(null)) for alt, null in models.values()]
     id_type = df.schema["id"].dataType.simpleString()
 
@@ -65,7 +63,7 @@ def f_tests(df: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) ->
         full = ((x - (x @ qa) @ qa.T) ** 2).sum(axis=1)
         small = ((x - (x @ q0) @ q0.T) ** 2).sum(axis=1)
         f = np.maximum((small - full) / d1, 0) / np.maximum(full / d2, 1e-300)
-        return np.exp(ln_inc_beta(d2 / (d2 + d1 * f), np.full(len(f), d2 / 2), np.full(len(f), d1 / 2)))
+        return density.normal_quantile(np.exp(ln_inc_beta(d2 / (d2 + d1 * f), np.full(len(f), d2 / 2), np.full(len(f), d1 / 2))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,24 +74,24 @@ def f_tests(df: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) ->
     return complete_rows(df).select("id", "values").mapInArrow(run, f"id {id_type}, values array<double>, " + ", ".join(f"`{m}` double" for m in models))
 
 
-def _bin(p: str) -> Column:
-    return F.least(F.floor(F.col(p) * BINS), F.lit(BINS - 1))
+def local_fdrs(tests: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """For each column of probits the table of its local false discovery rates."""
+    return [density.local_fdr(c, density.null_share(c)) for c in density.probit_counts(tests, names)]
 
 
-def _local_fdrs(tests: DataFrame, names: list[str]) -> list[np.ndarray]:
-    """For each column of p-values its local false discovery rate per bin, not falling with p."""
-    counts = np.zeros((len(names), BINS))
-    binned = tests.select(F.posexplode(F.array(*map(_bin, names))).alias("k", "b"))
-    for r in binned.groupBy("k", "b").count().collect():  # BINS rows per name at most
-        counts[r.k, r.b] = r["count"]
-    return [_local_fdr(c) for c in counts]
+def _weighted(tests: DataFrame, alt: np.ndarray, sv: np.ndarray) -> DataFrame:
+    """Rows times their chance to be moved by surrogates and not by the model."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix_of(b.column(1))
+            if len(x):
+                w = (1 - density.look_up(sv, b.column(3).to_numpy())) * density.look_up(alt, b.column(2).to_numpy())
+                x = x * w[:, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "values"])
 
-def _local_fdr(counts: np.ndarray) -> np.ndarray:
-    density = counts / max(counts.sum(), 1) * BINS
-    smooth = np.convolve(np.pad(density, 2, mode="edge"), np.ones(5) / 5, mode="valid")
-    pi0 = min(1.0, counts[int(BINS * 0.8) :].sum() / max(counts.sum(), 1) / 0.2)
-    return np.maximum.accumulate(np.clip(pi0 / np.maximum(smooth, 1e-12), 0, 1))
+    return tests.mapInArrow(run, f"id {tests.schema['id'].dataType.simpleString()}, values array<double>")
 
 
 def surrogate_variables(df: DataFrame, alt: np.ndarray, null: np.ndarray | None = None, count: int | None = None, rounds: int = 5, seed: int = 1) -> np.ndarray:
@@ -109,10 +107,7 @@ def surrogate_variables(df: DataFrame, alt: np.ndarray, null: np.ndarray | None
     sv = vectors[:, ::-1][:, :count]
     for _ in range(rounds):
         tests = f_tests(rows, {"p_alt": (np.hstack([alt, sv]), np.hstack([null, sv])), "p_sv": (np.hstack([null, sv]), null)})
-        lfdr_alt, lfdr_sv = _local_fdrs(tests, ["p_alt", "p_sv"])
-        look = lambda table, c: F.element_at(F.array(*map(F.lit, map(float, table))), (_bin(c) + 1).cast("int"))
-        weighted = tests.withColumn("w", (1 - look(lfdr_sv, "p_sv")) * look(lfdr_alt, "p_alt"))
-        centred = weighted.select("id", F.transform("values", lambda x: x * F.col("w")).alias("values"))
-        _, vectors = np.linalg.eigh(gram_matrix(times(centred, np.eye(n) - 1.0 / n), n))
+        weighted = _weighted(tests, *local_fdrs(tests, ["p_alt", "p_sv"]))
+        _, vectors = np.linalg.eigh(gram_matrix(times(weighted, np.eye(n) - 1.0 / n), n))
         sv = vectors[:, ::-1][:, :count]
     return sv * np.where(np.take_along_axis(sv, np.abs(sv).argmax(axis=0)[None], 0) < 0, -1, 1)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitscan.functions import arrays as A
-from traitscan.operators import annotate, assoc, interval, matrix, ordered, profile, sva
+from traitscan.operators import annotate, assoc, blocks, interval, matrix, ordered, profile, sva
 from traitscan.operators.fdr import log10_fdr
 from traitscan.plans import annotation
 
@@ -184,6 +184,51 @@ def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "k int, value double")
 
 
+_GRAM = f"{_CELLS}, g AS (SELECT x.i - 1 AS i, y.i - 1 AS j, sum(x.v * y.v) AS v FROM e x JOIN e y USING (vec_id) GROUP BY ALL)"
+
+
+@query(f"""WITH {_GRAM} SELECT 1 AS power, round((SELECT sum(v) FROM g WHERE i = j), 3) AS moment
+UNION ALL SELECT 2, round((SELECT sum(v * v) / 1000 FROM g), 3) UNION ALL SELECT 3, round((SELECT sum(x.v * y.v * z.v) / 1000000 FROM g x JOIN g y ON x.j = y.i JOIN g z ON y.j = z.i AND z.j = x.i), 3)""")
+def singular_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the second, fourth and sixth powers of the singular values: traces of powers of the Gram matrix."""
+    s = singular_values(spark, sf_dir).select(F.pow("value", F.lit(2)).alias("v"))
+    powers = s.select(F.posexplode(F.array(F.col("v"), F.col("v") ** 2 / 1000, F.col("v") ** 3 / 1e6)).alias("p", "v"))
+    return rounded(powers.groupBy((F.col("p") + 1).alias("power")).agg(F.sum("v").alias("moment")), moment=3)
+
+
+@query(f"WITH {_GRAM} SELECT i::BIGINT AS i, j::BIGINT AS j, round(v, 5) AS v FROM g")
+def qr_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R'R of the tree-reduced triangle of all vectors, which is their Gram matrix."""
+    r = blocks.tall_r(vectors(spark, sf_dir), DIM)
+    rows = spark.createDataFrame([(i, j, float(r[i, j])) for i in range(DIM) for j in range(i, DIM)], "i long, j long, v double")
+    return rounded(matrix.multiply(matrix.transpose(rows), rows, 40), v=5)
+
+
+@query("SELECT i, j, (i = j)::INT::DOUBLE AS v FROM (SELECT unnest(range(64)) AS i) JOIN (SELECT unnest(range(64)) AS j) ON true")
+def qr_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q'Q of the vectors' QR factorisation."""
+    q = matrix.orthonormal_rows(vectors(spark, sf_dir), DIM)
+    return matrix.gram(q, DIM).select("i", "j", (F.round("v", 8) + 0.0).alias("v"))
+
+
+@query(f"WITH {_CELLS}, l AS (SELECT label, i, sum(v) AS v FROM e JOIN embeddings USING (vec_id) GROUP BY ALL) SELECT vec_id AS i, label::BIGINT AS j, round(sum(e.v * l.v), 5) AS v FROM e JOIN l USING (i) GROUP BY ALL")
+def block_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X S' of all vectors and the sums S of their labels, in tiles of 50 cells."""
+    cells = matrix.to_long(vectors(spark, sf_dir))
+    sums = cells.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), "label"), "i").groupBy(F.col("label").alias("i"), "j").agg(F.sum("v").alias("v"))
+    return rounded(matrix.multiply(cells, matrix.transpose(sums), 50), v=5)
+
+
+@query(f"""WITH {_CELLS}, n AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM e x JOIN e y ON y.vec_id = x.vec_id + 1 GROUP BY ALL), d AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM e x JOIN e y USING (vec_id) GROUP BY ALL)
+SELECT (d.i - 1)::BIGINT AS i, (d.j - 1)::BIGINT AS j, round(2 * d.v - n.v - m.v, 4) AS v FROM d JOIN n ON n.i = d.i AND n.j = d.j JOIN n m ON m.i = d.j AND m.j = d.i""")
+def quadratic_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X' A X with A the second differences of neighbouring vectors."""
+    v = vectors(spark, sf_dir)
+    near = v.select(F.explode(F.array(*(F.struct((F.col("id") + a).alias("i"), (F.col("id") + b).alias("j"), F.lit(float(x)).alias("v")) for a, b, x in ((0, 0, 2), (0, 1, -1), (1, 0, -1))))).alias("c")).select("c.*")
+    near = near.join(v.select(F.col("id").alias("i")), "i").join(v.select(F.col("id").alias("j")), "j").select("i", "j", "v")
+    return rounded(blocks.cells_of_tiles(blocks.quadratic_form(blocks.tiles_of_cells(matrix.to_long(v), 96), blocks.tiles_of_cells(near, 96)), 96), v=4)
+
+
 @query(f"WITH {_CELLS} SELECT round(sum(v * v), 4) AS energy FROM e")
 def singular_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum of the squared singular values, which is that of all cells."""
@@ -205,14 +250,35 @@ def bind_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("id", A.fsum("values").alias("total")), total=6)
 
 
+def _hidden(i: int) -> int:
+    """A factor over the dimensions that no design has."""
+    return 1 if 7 * i % 11 < 5 else -1
+
+
+def _surrogates(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Surrogate variables of all vectors, to which rows of the labels below 5 have the hidden factor added; permutations find how many."""
+    moved = F.when(F.col("label") < 5, 0.1 * (F.col("vec_id") % 3 + 1)).otherwise(0.0)
+    hidden = F.array(*(F.lit(float(_hidden(i))) for i in range(DIM)))
+    values = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x + moved * F.get(hidden, i))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), values.alias("values"))
+    alt = assoc.design_matrix(DIM, factors={"g": [i % 4 for i in range(DIM)]})
+    return sva.surrogate_variables(rows, alt, count=None, rounds=5)
+
+
 @query()
 def surrogate_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surrogate variables of all vectors, adjusted for a factor of four levels; permutations find how many."""
-    alt = assoc.design_matrix(DIM, factors={"g": [i % 4 for i in range(DIM)]})
-    sv = sva.surrogate_variables(vectors(spark, sf_dir), alt, count=None, rounds=5)
+    """The surrogate variables of all vectors, adjusted for a factor of four levels."""
+    sv = _surrogates(spark, sf_dir)
     return spark.createDataFrame([(i, k, float(sv[i, k])) for i in range(DIM) for k in range(sv.shape[1])], "sample int, k int, value double")
 
 
+@query("SELECT 1 AS first, 1.0::DOUBLE AS length, true AS found")
+def surrogate_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first surrogate variable has length 1 and is the hidden factor, by a correlation above 0.9."""
+    first = surrogate_variables(spark, sf_dir).where("k = 0").withColumn("h", F.element_at(F.array(*(F.lit(_hidden(i)) for i in range(DIM))), F.col("sample") + 1))
+    return first.agg(F.lit(1).alias("first"), F.round(F.sum(F.col("value") ** 2), 6).alias("length"), (F.abs(F.corr("value", "h")) > 0.9).alias("found"))
+
+
 _D = "list_dot_product(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))"
 
 
