@@ -55,10 +55,18 @@ def powers(x: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.pow(x, k))
 
 
-def running_sum(v: Column | str) -> Column:
-    """Sums of the elements up to each place; the sum is carried, not made anew."""
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(v, start, lambda a, x: F.struct((a.s + x).alias("s"), F.concat(a.out, F.array(a.s + x)).alias("out")), lambda a: a.out)
+def running_sum(v: Column | str, block: int = 64) -> Column:
+    """Sums of the elements up to each place.
+
+    Elements are summed in blocks: within a block each place adds up its elements,
+    and the blocks' totals are carried over blocks of blocks the same way, so the
+    work per element is bounded by the block and the number of levels.
+    """
+    v = F.col(v) if isinstance(v, str) else v
+    within = lambda a: F.transform(a, lambda _, i: fsum(F.slice(a, F.lit(1), i + 1)))
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / block).cast("int") - 1), lambda k: F.slice(a, k * block + 1, F.lit(block)))
+    level = lambda a, carry: F.when(F.size(a) <= block, within(a)).otherwise(F.flatten(F.zip_with(cut(a), carry(F.transform(cut(a), fsum)), lambda x, total: F.transform(within(x), lambda s: s + total - fsum(x)))))
+    return level(v, lambda t: level(t, lambda u: level(u, within)))
 
 
 def first_index(needle: Column | str, hay: Column | str) -> Column:
@@ -135,3 +143,21 @@ def natural_key(c: Column | str, width: int = 20, ignore_case: bool = False) ->
     """A sort key that orders the numbers inside a text by value; letters by lower case if ignore_case."""
     parts = F.regexp_extract_all(F.lower(c) if ignore_case else c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p)), "")
+
+
+def natural_order(c: Column | str, collation: str = "UNICODE", width: int = 20) -> Column:
+    """natural_key whose text parts compare by a collation, as UNICODE_CI_AI: equal keys are ties of case and accents."""
+    return F.collate(natural_key(c, width), collation)
+
+
+def complement(x: Column | str) -> Column:
+    """All bits turned, as the operator ~."""
+    return F.bitwise_not(x)
+
+
+def shifted_bits(x: Column | str, by: Column | int, unsigned: bool = False) -> Column:
+    """x << by, or x >> -by for a negative `by` (>>> if unsigned); shifts count modulo the width, as the operators do."""
+    by = F.lit(by) if isinstance(by, int) else by
+    x = F.col(x) if isinstance(x, str) else x
+    call = lambda name, n: F.call_function(name, x, n.cast("int"))
+    return F.when(by >= 0, call("shiftleft", by)).otherwise(call("shiftrightunsigned" if unsigned else "shiftright", -by))

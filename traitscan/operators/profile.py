@@ -40,8 +40,24 @@ def recode_additive(markers: DataFrame, symbols: str = "symbols") -> DataFrame:
 
 
 def cis_trans_summary(pairs: DataFrame, value: str, below: float, marker: str = "marker", feature: str = "feature", flag: str = "is_cis") -> DataFrame:
-    """Pairs, distinct markers and distinct features below a threshold, by flag and overall."""
+    """Pairs, distinct markers and distinct features below a threshold, by flag and overall.
+
+    One pass for both classes and their union: every marker and feature carries
+    the set of its classes in the bits of one number, which tasks merge before
+    they shuffle, and its pairs are counted by class on the way.
+    """
     kept = pairs.where(F.col(value) < below)
-    sets = kept.groupingSets([[F.col(flag)], []], flag)
-    out = sets.agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct(marker).alias("n_markers"), F.countDistinct(feature).alias("n_features"), F.grouping(flag).alias("_all"))
-    return out.select(F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(flag).cast("string")).alias("class"), "n_pairs", "n_markers", "n_features")
+    bit = F.when(F.col(flag).isNull(), F.lit(1)).when(F.col(flag), F.lit(2)).otherwise(F.lit(4))
+    counts = [F.sum((bit == b).cast("long")).alias(f"_p{b}") for b in (1, 2, 4)]
+    sets = lambda c: kept.groupBy(F.col(c).alias("_key")).agg(F.bit_or(bit).alias("_bits"), *counts)
+    known = F.col("_key").isNotNull()
+
+    def totals(keys: DataFrame, name: str) -> DataFrame:
+        has = lambda b: F.count(F.when(known & (F.col("_bits").bitwiseAND(F.lit(b)) != 0), 1))
+        return keys.agg(*(has(b).alias(f"{name}{b}") for b in (1, 2, 4, 7)), *(F.sum(f"_p{b}").alias(f"{name}_p{b}") for b in (1, 2, 4)))
+
+    both = totals(sets(marker), "m").crossJoin(totals(sets(feature), "f"))  # of one row and one row
+    p = lambda b: F.coalesce(f"m_p{b}", F.lit(0))
+    row = lambda name, b, n: F.struct(F.lit(name).cast("string").alias("class"), n.alias("n_pairs"), F.col(f"m{b}").alias("n_markers"), F.col(f"f{b}").alias("n_features"))
+    rows = F.array(row(None, 1, p(1)), row("true", 2, p(2)), row("false", 4, p(4)), row("all", 7, p(1) + p(2) + p(4)))
+    return both.select(F.explode(rows).alias("r")).select("r.*").where("n_pairs > 0 or class = 'all'")

@@ -12,6 +12,7 @@ from traitscan.functions import arrays as A
 from traitscan.operators import annotate, assoc, blocks, interval, matrix, ordered, profile, sva
 from traitscan.operators.fdr import log10_fdr
 from traitscan.plans import annotation
+from traitscan.tables import ranked
 
 DIM = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,6 +353,17 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *(F.round(getattr(F, {"sign": "signum"}.get(f, f))(x).cast("double"), 6).alias(f"{f}_") for f in _MATH), *more)
 
 
+@query("""SELECT p_partkey, round(asin(p_size / 100.0::DOUBLE), 6) AS asin_, round(acos(p_size / 100.0::DOUBLE), 6) AS acos_, round(cosh(p_size / 10.0::DOUBLE), 5) AS cosh_, round(exp(p_size / 1000.0::DOUBLE) - 1, 8) AS expm1_,
+round(ln(1 + p_size / 1000.0::DOUBLE), 8) AS log1p_, floor(p_size / 4.0 + 0.5)::BIGINT AS round_, abs(p_size - 25) AS abs_, TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS parsed, p_brand || repeat('*', p_size % 3) AS padded FROM part""")
+def math_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rest of the filter language's functions, and text read as numbers."""
+    x = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(F.asin(x / 100.0), 6).alias("asin_"), F.round(F.acos(x / 100.0), 6).alias("acos_"), F.round(F.cosh(x / 10.0), 5).alias("cosh_"), F.round(F.expm1(x / 1000.0), 8).alias("expm1_"),
+        F.round(F.log1p(x / 1000.0), 8).alias("log1p_"), A.half_up(x / 4.0).alias("round_"), F.abs(x - 25).alias("abs_"), A.num(F.substr("p_brand", F.lit(7))).alias("parsed"), F.concat("p_brand", F.repeat(F.lit("*"), x % 3)).alias("padded"),
+    )
+
+
 @query("SELECT p_partkey, trim('  ' || p_name || ' ') AS trimmed, replace(p_type, 'E', '_') AS replaced, lower(p_brand) AS low, ends_with(p_type, 'L') AS ends FROM part")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part")
@@ -413,6 +425,23 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", A.natural_key("c_name").alias("key"))
 
 
+@query("""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS brand, p_size FROM part)
+SELECT min(p_partkey) AS first, count(*) AS n_parts, dense_rank() OVER (ORDER BY regexp_replace(lower(brand), '[0-9]+$', ''), regexp_extract(brand, '[0-9]+$')::BIGINT, p_size) AS place FROM n GROUP BY lower(brand), regexp_extract(brand, '[0-9]+$'), p_size, regexp_replace(lower(brand), '[0-9]+$', '')""")
+def natural_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by brand and size written in mixed case and with leading zeros, grouped and ordered naturally under a collation."""
+    case = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.lower("p_brand"))
+    name = F.concat(case, F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, "00").otherwise(""), F.col("p_size"))
+    key = A.natural_order(name, "UNICODE_CI_AI")
+    groups = table(spark, sf_dir, "part").groupBy(key.alias("k")).agg(F.min("p_partkey").alias("first"), F.count(F.lit(1)).alias("n_parts"))
+    return ranked(groups, ["k"], "place").select("first", "n_parts", (F.col("place") + 1).alias("place"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ~l_partkey AS turned, l_partkey << l_linenumber AS up, l_partkey >> 2 AS down, -l_partkey >> 3 AS down_negative FROM lineitem")
+def bit_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.complement(p).alias("turned"), A.shifted_bits(p, F.col("l_linenumber")).alias("up"), A.shifted_bits(p, -2).alias("down"), A.shifted_bits(-p, -3).alias("down_negative"))
+
+
 ANNOTATION = """
 [Orders]
 file = orders

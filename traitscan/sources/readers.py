@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import functools
-import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traitscan.sources.formats import registered
+
 MISSING = ["", "-", "."]
 
 
@@ -132,46 +131,16 @@ def read_fam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tar(spark: SparkSession, path: str, suffixes: Sequence[str] = (".tped", ".tfam")) -> DataFrame:
-    """(name, value): the lines of the wanted members of tar, tar.gz and tar.bz2 archives, streamed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import tarfile
-
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                with tarfile.open(fileobj=io.BytesIO(blob), mode="r:*") as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.lower().endswith(tuple(suffixes)):
-                            lines = []
-                            for line in tar.extractfile(m):
-                                lines.append(line.decode().rstrip("\r\n"))
-                                if len(lines) == 1000:
-                                    yield pa.RecordBatch.from_arrays([pa.array([m.name] * 1000), pa.array(lines)], names=["name", "value"])
-                                    lines = []
-                            yield pa.RecordBatch.from_arrays([pa.array([m.name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["name", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, value string")
-
-
-def read_binary_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(id, values) of the big-endian matrix file: 8 ints of shape, names, then doubles by row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                nrow, _, ncol, _, has_ids, has_cols, _, _ = struct.unpack_from(">8i", blob)
-                at, names = 32, []
-                for _ in range((nrow if has_ids else 0) + (ncol if has_cols else 0)):
-                    (size,) = struct.unpack_from(">i", blob, at)
-                    names.append(blob[at + 4 : at + 4 + size].decode())
-                    at += 4 + size
-                ids = names[:nrow] if has_ids else [str(i) for i in range(nrow)]
-                x = np.frombuffer(blob, ">f8", nrow * ncol, at).astype(float)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(ncol, 1)), pa.int32()), pa.array(x))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["id", "values"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id string, values array<double>")
+    """(name, value): the lines of the wanted members of tar, tar.gz and tar.bz2 archives of any size, streamed."""
+    return registered(spark).read.format("archive_lines").option("path", path).option("suffixes", ",".join(suffixes)).load()
+
+
+def read_binary_matrix(spark: SparkSession, path: str, rows_per_task: int = 0) -> DataFrame:
+    """(id, values) of big-endian matrix files of any size: 8 ints of shape, names, then doubles by row.
+
+    path is a file, a folder or a pattern; a task reads a range of rows.
+    """
+    return registered(spark).read.format("matrix_file").option("path", path).option("rows_per_task", rows_per_task).load()
 
 
 def annotation_table(spark: SparkSession, path: str, key: str, kept: Sequence[str] = (), rename: dict[str, str] | None = None, sep: str = ",", rules: dict[str, str] | None = None) -> DataFrame:
