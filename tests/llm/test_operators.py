@@ -569,6 +569,46 @@ def test_embeddings_against_all_pairs(spark, block_rows):
     assert embeddings.near_vectors(df.limit(0), 0.98).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clustered", "isotropic"])
+def test_cover_trees_count_their_distances(kind):
+    """Nets halve, radii cover; on clustered vectors fewer distances are computed than there are pairs."""
+    rng = np.random.default_rng(11)
+    n = 1500
+    centres = rng.normal(size=(40 if kind == "clustered" else n, 24))
+    x = centres[np.arange(n) % len(centres)] + rng.normal(size=(n, 24)) * 0.08
+    x[7::50] = x[3]  # a group of copies
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = embeddings.CoverTree(x)
+    assert sorted(tree.rows) == list(range(n))
+    for k in range(len(tree.center)):
+        rows = tree.rows[tree.start[k] : tree.end[k]]
+        far = np.sqrt(np.maximum(0, 2 - 2 * x[rows] @ x[tree.center[k]])).max()
+        assert tree.center[k] in rows and far <= tree.radius[k] + 1e-6
+        if tree.first[k] < tree.last[k]:
+            inner = np.concatenate([np.arange(tree.start[c], tree.end[c]) for c in range(tree.first[k], tree.last[k])])
+            assert inner.tolist() == list(range(tree.start[k], tree.end[k]))
+    ids, ones = np.arange(n), np.ones(n, np.int64)
+    packed = embeddings.CoverTree.unpack(tree.pack(), x)
+    da, db, edges = embeddings.block_links(packed, packed, ones, ones, ids, ids, 0.98)
+    hit = (x @ x.T >= 0.98) & ~np.eye(n, dtype=bool)
+    assert (da + db == hit.sum(axis=1)).all()
+    root = list(range(n))
+    find = lambda v: v if root[v] == v else find(root[v])
+    for u, v in [*edges, *zip(*np.nonzero(hit), strict=True)]:
+        root[find(u)] = find(v)
+    groups = len({find(v) for v in range(n)})
+    root = list(range(n))
+    for u, v in edges:
+        assert hit[u, v] or u != v
+        root[find(u)] = find(v)
+    assert len({find(v) for v in range(n)}) == groups
+    if kind == "clustered":
+        assert tree.counted + packed.counted < n * (n - 1) // 2
+    half = embeddings.CoverTree(x[:700]), embeddings.CoverTree(x[700:])
+    da, db, _ = embeddings.block_links(*half, ones[:700], ones[700:], ids[:700], ids[700:], 0.98)
+    assert (da == hit[:700, 700:].sum(axis=1)).all() and (db == hit[:700, 700:].sum(axis=0)).all()
+
+
 def test_query_op10(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding", "label").orderBy("vec_id").collect()]
     links, comp = slow_vectors(rows, 0.98)

@@ -3,101 +3,198 @@
 Vectors are scaled to unit length, so cosine >= c means distance <= sqrt(2 - 2c).
 Each label's vectors are dealt to the nearest of a bounded number of pivots, the
 tops of its cover tree; a cell's covering radius is measured over all its
-vectors, and cell pairs that the radii rule out are never compared. Large cells
-(one label or one group of copies may hold a third of all rows) are dealt to
-blocks of bounded size. A task gets one pair of blocks, builds a cover tree on
-each (nested nets with halving radii) and walks both together, pruning node
-pairs by their covering radii; what is left is compared exactly in double
-precision. A task returns one row per vector with its links there, and edges of
-a spanning forest instead of all pairs. Equal vectors are one node with a count.
+vectors, and cell pairs that the radii rule out never meet. Large cells (one label
+or one group of copies may hold a third of all rows) are dealt to blocks of bounded
+size. A block's cover tree is built once, by inserting its vectors level by level:
+nested nets with halving radii, where a vector is compared with the net of its
+node only, and every node keeps the radius that covers its vectors. The block is
+written as one row, with its tree. A task gets two blocks and walks both trees
+together, pruning node pairs by their covering radii; what is left is compared
+exactly in double precision. A task returns one row per vector with its links
+there, and edges of a spanning forest instead of all pairs. Equal vectors are one
+node with a count.
 
 Cases: null, zero or non-finite vectors and null labels link with nothing and
 are kept; vectors of different length never link; repeated and null ids are rows of
-their own (a component of null ids alone is null, and its rows are kept); an empty table gives no rows; extra columns are ignored.
+their own (a component of null ids alone is null, and its rows are kept); an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscan.llm.common import broadcast_if_small, connected_components, shared_table
+from traitscan.llm.common import broadcast_if_small, connected_components, drop_shared, shared_table
 
 BLOCK_ROWS = 2000
-#: Pivots of all labels together, at most; they are broadcast.
+#: Pivots of all labels together, about, at most; they are broadcast.
 MAX_PIVOTS = 4096
-#: Radius from which on a node's vectors are compared one by one.
+#: Radius from which on a node's vectors are compared one by one, and rows up to which they are.
 LEAF_RADIUS = 0.25
 LEAF_ROWS = 32
-
-
-class Node:
-    __slots__ = ("center", "children", "radius", "rows")
-
-    def __init__(self, center: int, rows: np.ndarray, radius: float, children: list[Node]):
-        self.center, self.rows, self.radius, self.children = center, rows, radius, children
+#: Vectors that are inserted at once.
+INSERT_ROWS = 256
+
+
+class CoverTree:
+    """Nested nets with halving radii over unit vectors, as arrays.
+
+    Node k has its centre's vector at row center[k], its vectors in rows
+    start[k]:end[k] (in the tree's order), its covering radius, and its children in
+    nodes first[k]:last[k] (none for a leaf). Node 0 is the root. `counted` is the
+    number of distances that were computed.
+    """
+
+    FIELDS = ("center", "start", "end", "radius", "first", "last")
+
+    def __init__(self, vectors: np.ndarray):
+        self.counted = 0
+        self.rows = np.arange(len(vectors))
+        self.vectors = vectors
+        nodes: list[list] = [[0, 0, len(vectors), 2.0, 0, 0]]
+        self._cover(nodes[0], vectors[:1], vectors)
+        levels = [2.0]
+        at = 0
+        while at < len(nodes):  # every pass inserts the vectors of one node into the next level's net
+            center, lo, hi, radius, _, _ = nodes[at]
+            level = levels[at]
+            while level > LEAF_RADIUS and level / 2 >= radius:
+                level /= 2
+            if hi - lo > LEAF_ROWS and level > LEAF_RADIUS:
+                mine = self.rows[lo:hi]
+                net, member, far = self.insert(vectors, mine, center, level / 2)
+                order = np.argsort(member, kind="stable")
+                self.rows[lo:hi] = mine[order]
+                ends = lo + np.cumsum(np.bincount(member, minlength=len(net)))
+                cover = np.zeros(len(net))
+                np.maximum.at(cover, member, far)
+                nodes[at][4:] = [len(nodes), len(nodes) + len(net)]
+                starts = np.concatenate([[lo], ends[:-1]])
+                nodes += [[c, s, e, r, 0, 0] for c, s, e, r in zip(net.tolist(), starts.tolist(), ends.tolist(), cover.tolist(), strict=True)]
+                levels += [level / 2] * len(net)
+            at += 1
+        table = list(zip(*nodes, strict=True))
+        self.center, self.start, self.end = (np.array(table[k], np.int64) for k in (0, 1, 2))
+        self.radius = np.array(table[3])
+        self.first, self.last = (np.array(table[k], np.int64) for k in (4, 5))
+
+    def _cover(self, node: list, center: np.ndarray, vectors: np.ndarray) -> None:
+        self.counted += len(vectors)
+        node[3] = float(distances(center, vectors).max(initial=0.0))
+
+    def insert(self, vectors: np.ndarray, mine: np.ndarray, center: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(net, net place of each row, its distance): rows farther than radius from the net so far join it."""
+        net = [center]
+        member, far = np.zeros(len(mine), np.int64), np.zeros(len(mine))
+        for lo in range(0, len(mine), INSERT_ROWS):
+            some = mine[lo : lo + INSERT_ROWS]
+            d = distances(vectors[some], vectors[net])
+            self.counted += d.size
+            near = d.argmin(axis=1)
+            best = d[np.arange(len(some)), near]
+            left = np.flatnonzero(best > radius)
+            if len(left):
+                among = distances(vectors[some[left]], vectors[some[left]])
+                self.counted += among.size
+                open_ = np.ones(len(left), bool)
+                for k in range(len(left)):
+                    if open_[k]:
+                        took = open_ & (among[k] <= radius)
+                        took[k] = True
+                        near[left[took]], best[left[took]] = len(net), among[k][took]
+                        best[left[k]] = 0.0
+                        net.append(int(some[left[k]]))
+                        open_ &= ~took
+            member[lo : lo + len(some)], far[lo : lo + len(some)] = near, best
+        return np.array(net), member, far
+
+    def pack(self) -> dict[str, np.ndarray]:
+        return {f"tree_{k}": getattr(self, k) for k in self.FIELDS} | {"tree_rows": self.rows}
+
+    @classmethod
+    def unpack(cls, columns: dict[str, np.ndarray], vectors: np.ndarray) -> CoverTree:
+        tree = cls.__new__(cls)
+        for k in cls.FIELDS:
+            setattr(tree, k, columns[f"tree_{k}"])
+        tree.rows, tree.vectors, tree.counted = columns["tree_rows"], vectors, 0
+        return tree
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
-
+    d = x @ y.T
+    d *= -2.0
+    d += 2.0
+    np.maximum(d, 0.0, out=d)
+    return np.sqrt(d, out=d)
 
-def cover_tree(vectors: np.ndarray) -> Node:
-    """Nested nets with halving radii; every node knows its own covering radius."""
-    d = distances(vectors, vectors)
 
-    def node(center: int, rows: np.ndarray, level: float) -> Node:
-        radius = float(d[center, rows].max())
-        while level > LEAF_RADIUS and level / 2 >= radius:
-            level /= 2
-        children: list[Node] = []
-        if len(rows) > LEAF_ROWS and level > LEAF_RADIUS:
-            left = np.concatenate([[center], rows[rows != center]])
-            while len(left):
-                near = d[left[0], left] <= level / 2
-                children.append(node(int(left[0]), left[near], level / 2))
-                left = left[~near]
-        return Node(center, rows, radius, children)
+def dual_traversal(a: CoverTree, b: CoverTree, reach: float, cosine: float):  # noqa: ANN201
+    """Pairs of leaves of a and b that may hold pairs within `reach`, as (rows, rows, whether they are pairs already).
 
-    return node(0, np.arange(len(vectors)), 2.0)
-
-
-def dual_traversal(x: np.ndarray, y: np.ndarray, reach: float):  # noqa: ANN201
-    """Pairs of row sets (leaves) of x and y that may hold pairs within `reach`."""
+    Leaves of one vector each are compared by the distance of their centres; they
+    come together, as pairs row by row. For a tree with itself each pair comes once.
+    """
     slack = reach + 1e-6  # distances near 0 carry rounding
-    top = cover_tree(x)
-    stack = [(top, top if y is x else cover_tree(y))]
+    same = a is b
+    stack = [(0, 0)]
+    own = lambda t, n: np.arange(t.first[n], t.last[n]) if t.first[n] < t.last[n] else np.array([n])
     while stack:
-        a, b = stack.pop()
-        left, right = a.children or [a], b.children or [b]
-        if not a.children and not b.children:
-            yield a.rows, b.rows
+        m, n = stack.pop()
+        if a.first[m] == a.last[m] and b.first[n] == b.last[n]:
+            yield a.rows[a.start[m] : a.end[m]], b.rows[b.start[n] : b.end[n]], False
             continue
-        d = distances(x[[n.center for n in left]], y[[n.center for n in right]])
-        bound = slack + np.array([n.radius for n in left])[:, None] + np.array([n.radius for n in right])
-        stack += [(left[i], right[j]) for i, j in zip(*np.nonzero(d <= bound), strict=True)]
-
-
-def block_links(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, ix: np.ndarray, iy: np.ndarray, cosine: float, same: bool):  # noqa: ANN201
-    """(links of each x, links of each y, edges (node, node)) of two blocks; same: x and y are one block."""
+        left, right = own(a, m), own(b, n)
+        alone_a, alone_b = (a.end - a.start)[left] == 1, (b.end - b.start)[right] == 1
+        half = same and m == n
+        for p, q, once in ((left[alone_a], right[alone_b], half), (left[~alone_a], right[~alone_b], half), (left[~alone_a], right[alone_b], False), (left[alone_a][: 0 if half else None], right[~alone_b], False)):
+            alone = len(p) and len(q) and a.end[p[0]] - a.start[p[0]] == 1 and b.end[q[0]] - b.start[q[0]] == 1
+            far = b.vectors[b.center[q]].T
+            for lo in range(0, len(p) if len(q) else 0, INSERT_ROWS):
+                some = p[lo : lo + INSERT_ROWS]
+                dots = a.vectors[a.center[some]] @ far
+                a.counted += dots.size
+                # single vectors link by their cosine; else by the cosine at the distance that the radii leave
+                i, k = np.nonzero(dots >= (cosine if alone else 1 - 1e-12 - np.minimum(slack + a.radius[some][:, None] + b.radius[q], 2.0) ** 2 / 2))
+                if once:
+                    keep = some[i] < q[k] if alone else some[i] <= q[k]
+                    i, k = i[keep], k[keep]
+                if alone:
+                    yield a.center[some[i]], b.center[q[k]], True
+                else:
+                    stack += zip(some[i].tolist(), q[k].tolist(), strict=True)
+
+
+def block_links(a: CoverTree, b: CoverTree, ca: np.ndarray, cb: np.ndarray, ia: np.ndarray, ib: np.ndarray, cosine: float):  # noqa: ANN201
+    """(links of each row of a, of b, edges (node, node)) of two blocks with counts and ids; a may be b."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    deg_x, deg_y, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), set()
-    for p, q in dual_traversal(x, y, reach):
+    x, y, same = a.vectors, b.vectors, a is b
+    deg_a, deg_b, edges = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), set()
+    for p, q, pairs in dual_traversal(a, b, reach, cosine):
+        if pairs:
+            np.add.at(deg_a, p, cb[q])
+            np.add.at(deg_b, q, ca[p])
+            edges.update(zip(ia[p].tolist(), ib[q].tolist(), strict=True))
+            continue
+        twice = same and p[0] == q[0]  # one leaf with itself
         for at in range(0, len(p), 1024):
             r = p[at : at + 1024]
             hit = x[r] @ y[q].T >= cosine
+            a.counted += hit.size
             if same:
-                hit &= ix[r][:, None] != iy[q]
+                hit &= ia[r][:, None] != ib[q]
             if not hit.any():
                 continue
-            deg_x[r] += hit @ cy[q]
-            deg_y[q] += cx[r] @ hit
+            deg_a[r] += hit @ cb[q]
+            if not twice:
+                deg_b[q] += ca[r] @ hit
             u, v = hit.any(axis=1), hit.any(axis=0)
-            hit, us, vs = hit[np.ix_(u, v)], ix[r][u], iy[q][v]
+            hit, us, vs = hit[np.ix_(u, v)], ia[r][u], ib[q][v]
             lab_u, lab_v = us.copy(), vs.copy()
             big = np.iinfo(np.int64).max
             while True:  # components of this small bipartite graph
@@ -108,7 +205,7 @@ def block_links(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, ix
                 lab_u, lab_v = new_u, new_v
             edges.update(zip(us.tolist(), lab_u.tolist(), strict=True))
             edges.update(zip(vs.tolist(), lab_v.tolist(), strict=True))
-    return deg_x, deg_y, [e for e in edges if e[0] != e[1]]
+    return deg_a, deg_b, [e for e in edges if e[0] != e[1]]
 
 
 def near_vectors(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -121,21 +218,20 @@ def near_vectors(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vect
     good = base.where("ok")
     reps = shared_table(good.groupBy("label", "v").agg(F.min(F.struct(F.col("id").isNull(), "id", "nid")).alias("m"), F.count(F.lit(1)).alias("c")).select("label", "v", F.size("v").alias("dim"), F.col("m.nid").alias("rep"), "c"), "reps")
 
-    # pivots: the first few of each label by hash, in proportion to its rows
-    counts = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(MAX_PIVOTS).collect()
-    total = sum(r.n for r in counts)
-    wanted = {(r.label, r.dim): max(1, min(-(-r.n // block_rows), r.n * MAX_PIVOTS // max(total, 1))) for r in counts}
-    many = {k: n for k, n in wanted.items() if n > 1}
-    tops: dict[tuple, list[np.ndarray]] = {}
-    hashed = Window.partitionBy("label", "dim").orderBy(F.xxhash64("rep"), "rep")
-    of = F.coalesce(*(F.when(F.col("label").eqNullSafe(F.lit(lab)) & (F.col("dim") == d), n) for (lab, d), n in many.items()), F.lit(0)) if many else F.lit(0)
-    # one pass for all labels; MAX_PIVOTS rows and one for each label that needs any
+    # pivots: of each label the vectors whose hash lies below a threshold, in proportion to its rows
+    counts = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = min(1.0 / block_rows, MAX_PIVOTS / max(total, 1))
+    large = counts.select("label", "dim")
+    drawn = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) < int(share * (1 << 40))).join(large, ["label", "dim"], "left_semi")
     picked: dict[tuple, list] = {}
-    for r in reps.withColumn("_n", of).where("_n > 0").withColumn("_r", F.row_number().over(hashed)).where("_r <= _n").select("label", "dim", "v").collect() if many else []:
+    for r in drawn.select("label", "dim", "v").collect():  # MAX_PIVOTS in the mean, at most
         picked.setdefault((r.label, r.dim), []).append(r.v)
+    tops: dict[tuple, np.ndarray] = {}
     for key, rows in picked.items():
         p = np.array(rows, np.float64)
-        tops[key] = p / np.linalg.norm(p / np.abs(p).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(p).max(axis=1, keepdims=True)
+        p /= np.abs(p).max(axis=1, keepdims=True)
+        tops[key] = p / np.linalg.norm(p, axis=1, keepdims=True)
 
     def unit(v: np.ndarray) -> np.ndarray:
         v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -177,43 +273,53 @@ def near_vectors(vectors: DataFrame, cosine: float, id_col: str = "vec_id", vect
         return pd.Series(out, dtype=bool)
 
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    one, two = (cells.select("label", "dim", F.col("cell").alias(f"c{s}"), F.col("radius").alias(f"r{s}"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"s{s}")) for s in "12")
-    pairs = one.join(two, ["label", "dim"]).where("c1 < c2 or c1 = c2 and s1 <= s2").where(~apart(F.col("label").cast("string"), "dim", "c1", "c2", F.col("r1") + F.col("r2") + reach))
-    pairs = shared_table(pairs.select("label", "dim", "c1", "s1", "c2", "s2"), "blockpairs")  # of blocks, not of rows
+    one, two = (cells.select("label", "dim", F.col("cell").alias(f"c{s}"), F.col("radius").alias(f"r{s}"), F.col("blocks").alias(f"n{s}")) for s in "12")
+    pairs = one.join(two, ["label", "dim"]).where("c1 <= c2").where(~apart(F.col("label").cast("string"), "dim", "c1", "c2", F.col("r1") + F.col("r2") + reach))  # of cells, not of rows
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = pairs.withColumn("s1", upto("n1")).withColumn("s2", upto("n2")).where("c1 < c2 or s1 <= s2").select("label", "dim", "c1", "s1", "c2", "s2")
+    pairs = shared_table(pairs, "blockpairs")  # of blocks
     placed = dealt.join(broadcast_if_small(cells.select("label", "dim", "cell", "blocks")), ["label", "dim", "cell"])
-    placed = placed.withColumn("s", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("label", "dim", "cell", "s", "rep", "c", "u")
-    key = ["label", "dim", "c1", "s1", "c2", "s2"]
-    small = broadcast_if_small(pairs)
-    left = placed.withColumnsRenamed({"cell": "c1", "s": "s1"}).join(small, ["label", "dim", "c1", "s1"]).select(*key, F.lit(1).alias("side"), "rep", "c", "u")
-    right = placed.withColumnsRenamed({"cell": "c2", "s": "s2"}).join(small, ["label", "dim", "c2", "s2"]).where("c1 <> c2 or s1 <> s2").select(*key, F.lit(2).alias("side"), "rep", "c", "u")
+    placed = placed.withColumn("s", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
-    def compare(t: pa.Table) -> pa.Table:
-        side, rep, c = (t.column(k).to_numpy() for k in ("side", "rep", "c"))
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
         u = np.stack([np.frombuffer(x, np.float64) for x in t.column("u").to_pylist()])
-        order = np.argsort(rep, kind="stable")
-        side, rep, c, u = side[order], rep[order], c[order], u[order]
-        p, q = side == 1, side == 2
-        same = not q.any() and t.column("c1")[0].as_py() == t.column("c2")[0].as_py() and t.column("s1")[0].as_py() == t.column("s2")[0].as_py()
-        if same:
-            dx, _, edges = block_links(u, u, c, c, rep, rep, cosine, True)
-            ids, deg = rep, dx
-        elif p.any() and q.any():
-            dx, dy, edges = block_links(u[p], u[q], c[p], c[q], rep[p], rep[q], cosine, False)
-            ids, deg = np.concatenate([rep[p], rep[q]]), np.concatenate([dx, dy])
-        else:
-            ids, deg, edges = rep[:0], c[:0], []
+        out = io.BytesIO()
+        np.savez(out, u=u, rep=t.column("rep").to_numpy(), c=t.column("c").to_numpy(), **CoverTree(u).pack())
+        return pa.table([*(t.column(k).slice(0, 1) for k in ("label", "dim", "cell", "s")), pa.array([out.getvalue()], pa.binary())], names=["label", "dim", "cell", "s", "data"])
+
+    blocks = placed.groupBy("label", "dim", "cell", "s").applyInArrow(pack, f"label {label_type}, dim int, cell long, s int, data binary")
+    blocks = shared_table(blocks, "blocks")
+    left = blocks.select("label", "dim", F.col("cell").alias("c1"), F.col("s").alias("s1"), "data").join(pairs, ["label", "dim", "c1", "s1"])
+    right = blocks.select("label", "dim", F.col("cell").alias("c2"), F.col("s").alias("s2"), "data").join(pairs.where("c1 <> c2 or s1 <> s2"), ["label", "dim", "c2", "s2"])
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    key = ["label", "dim", "c1", "s1", "c2", "s2"]
+
+    def opened(t: pa.Table):  # noqa: ANN202
+        with np.load(io.BytesIO(t.column("data")[0].as_py()), allow_pickle=False) as f:
+            got = {k: f[k] for k in f.files}
+        return CoverTree.unpack(got, got["u"]), got["c"], got["rep"]
+
+    def compare(t: pa.Table, o: pa.Table) -> pa.Table:
+        a, ca, ia = opened(t)
+        b, cb, ib = opened(o) if o.num_rows else (a, ca, ia)
+        da, db, edges = block_links(a, b, ca, cb, ia, ib, cosine)
+        ids, deg = (np.concatenate([ia, ib]), np.concatenate([da, db])) if o.num_rows else (ia, da + db)
         ids, deg = ids[deg > 0], deg[deg > 0]
-        a = np.concatenate([ids, np.array([e[0] for e in edges], np.int64)])
-        b = np.concatenate([ids, np.array([e[1] for e in edges], np.int64)])
-        n = np.concatenate([deg, np.zeros(len(edges), np.int64)])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        n = np.concatenate([deg, np.zeros(len(ends), np.int64)])
+        return pa.table({"a": pa.array(np.concatenate([ids, ends[:, 0]])), "b": pa.array(np.concatenate([ids, ends[:, 1]])), "n": pa.array(n)})
 
-    found = shared_table(left.union(right).groupBy(*key).applyInArrow(compare, "a long, b long, n long"), "links")
+    found = shared_table(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long, n long"), "links")
+    for gone in (dealt, pairs, blocks):
+        drop_shared(gone)
     degrees = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("deg"))
     roots = connected_components(found.where("a <> b"))
     info = reps.select("label", "v", "rep", "c").join(degrees, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     info = shared_table(info.where("c > 1 or root is not null").select("label", "v", F.coalesce("root", "rep").alias("root"), (F.coalesce("deg", F.lit(0)) + F.col("c") - 1).alias("n_links")), "info")
     rows = shared_table(good.select("nid", "id", "label", "v").join(info, ["label", "v"]).select("nid", "id", "root", "n_links"), "linked")
+    for gone in (reps, found, info):
+        drop_shared(gone)
     least = rows.groupBy("root").agg(F.min("id").alias("component_id"))
     done = rows.join(broadcast_if_small(least), "root").select("nid", "n_links", "component_id")
     out = base.select("nid", "id").join(done, "nid", "left")
