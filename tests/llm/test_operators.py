@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -211,6 +212,36 @@ def test_sharding(spark):
     assert sharding.histogram_shards(docs_of(spark, ["one"]), 6).first().slot == 0
     same = spark.createDataFrame([(7, "t")] * 50 + [(None, "t")], "doc_id long, text string")
     assert sharding.histogram_shards(same, 3).count() == 51
+    assert set(collections.Counter(r.shard for r in sharding.histogram_shards(same, 3).collect()).values()) <= {16, 17, 18}
+
+
+@pytest.mark.parametrize("per_bin", [0, 20])
+def test_sharding_of_repeated_rows(spark, per_bin):
+    """300 copies of one row and 30 others: a boundary goes through the copies, many tasks number them."""
+    rows = [(7, "t" * 20, k) for k in range(300)] + [(k, f"other {k}", k) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(4)
+    got = sharding.histogram_shards(docs, 3, rows_per_bin=per_bin).collect()
+    held, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        held[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert sorted((r.doc_id, r.text, r.extra) for r in got) == sorted(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(held) == 3 and max(held.values()) - min(held.values()) <= 2 * 28 + 0.02 * sum(held.values()) / 3
+
+
+def test_packing_of_null_and_repeated_ids(spark, tok):
+    docs = spark.createDataFrame([(None, "a b c d")] * 60 + [(3, "a b c d")] * 60 + [(None, None)] * 5, "doc_id long, text string").repartition(3).withColumn("_row", F.lit("clash"))
+    rows = packing.pack_documents(docs, queries.word_bpe_path(), window=16).collect()
+    assert len(rows) == 125 and sum(r.length for r in rows) == 120 * 5 + 5
+    windows = collections.defaultdict(list)
+    for r in rows:
+        windows[r.sequence_id].append((r.offset, r.offset + r.length))
+    for parts in windows.values():
+        parts.sort()
+        assert parts[0][0] == 0 and parts[-1][1] <= 16 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    pieces = packing.cut_documents(docs, queries.word_bpe_path(), 16, 2).withColumn("n", F.monotonically_increasing_id())
+    assert sorted(r.offset for r in packing.pack_pieces(pieces, 16, rows_per_bucket=5, row_col="n").collect()) == sorted(r.offset for r in rows)
 
 
 def test_query_op2(spark):
@@ -301,6 +332,43 @@ def test_url_filter_with_very_many_prefix_lengths(spark):
     assert {r.page_id: r.rule for r in urlfilter.judge(pages, listed).collect()} == {r.page_id: str(r.page_id) for r in pages.collect()}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_url_filter_exact_entries_and_long_urls(spark, monkeypatch, small):
+    """Canonical forms; a host of 16,000 labels and a path of 1,000,000 characters in seconds."""
+    if not small:
+        monkeypatch.setattr(urlfilter, "FILTER_KEYS", 0)
+    urls = ["http://www.A.net:443/x//", "https://a.net/x?q#f", "http://b.a.net/x", "http://a.net/x/y", "ftp://a.net:80/x/", "http://a.net:8080/x"]
+    urls += ["http://" + "a." * 16_000 + "listed.org/z", "http://h.net/" + "p/" * 500_000 + "?q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    schema = "verdict string, rule string, host string, path string, kind string"
+    entries = [("block", None, "a.net", "/x/", "exact"), ("block", "listed.org/z", "listed.org", "/z", "prefix"), ("block", None, "a." * 15_000 + "listed.org", "", "site")]
+    entries += [("block" if k % 2 else "allow", str(k), "h.net", "/" + "p/" * k, "prefix") for k in range(1, 2000, 7)]
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, spark.createDataFrame(entries, schema)).collect()}
+    assert [got[k][1] for k in range(6)] == ["block", "block", "allow", "allow", "block", "allow"]
+    assert got[6] == ("listed.org/z", "block") and got[7] == ("1996", "allow")
+    assert time.time() - began < 60
+
+
+def test_url_filter_false_hits_are_few(spark):
+    listed = [("block", None, f"h{k % 50}.net", f"/p/{k}", "exact") for k in range(5000)]
+    keys = urlfilter.keyed(spark.createDataFrame(listed, "verdict string, rule string, host string, path string, kind string"))
+    blocks = 5000 * urlfilter.BITS_PER_KEY // 256
+    held = np.zeros((blocks, urlfilter.WORDS), np.uint32)
+    for r in urlfilter.bloom_blocks(keys, blocks).collect():
+        held[r.block] = r[1:]
+    f = urlfilter.Filter(held, np.array([1], np.int64))
+    assert all(len(f.hits(h, p, (h, p))) == 1 for _, _, h, p, _ in listed[:500])
+    false = sum(len(f.hits(h, p, (h, p))) for h, p in ((f"h{k % 50}.net", f"/q/{k}") for k in range(5000)))
+    assert false < 0.01 * 5000 * 4  # of four keys a page or so
+
+
+def test_toxic_pages_are_listed(spark):
+    pages = spark.createDataFrame([("http://www.a.net/en/5?x",), ("http://b.net/de/6.html",), ("http://b.net/de/7",), ("http://b.net/x",), (None,)], "url string")
+    ids = spark.createDataFrame([(5,), (6,), (None,), (99,)], "doc_id long")
+    assert {(r.host, r.path, r.kind) for r in urlfilter.pages_of_documents(pages, ids).collect()} == {("a.net", "/en/5", "exact"), ("b.net", "/de/6.html", "exact")}
+
+
 def test_bloom_has_no_false_negatives():
     h = np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64)
     blocks = 5000 * urlfilter.BITS_PER_KEY // 256

@@ -81,10 +81,14 @@ BLOCKED_SITES = ["ads-track.example.com", "adult-x.example.net", "casino-win.exa
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict on every page's URL: the longest rule's, else whether its site is listed."""
+    """A verdict on every page's URL: the longest rule's, else whether its site or its canonical URL is listed.
+
+    The URLs of the list are those that serve a document labelled toxic.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     sites = urlfilter.site_table(spark, BLOCKED_SITES)
-    listed = urlfilter.rule_table(spark, URL_RULES).select(*sites.columns).union(sites)
+    toxic = urlfilter.pages_of_documents(pages, table(spark, sf_dir, "labels").where("toxic = 1"))
+    listed = urlfilter.rule_table(spark, URL_RULES).select(*sites.columns).union(sites).union(toxic.select(*sites.columns))
     return urlfilter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -176,9 +180,11 @@ q AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, rege
 rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
 r AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS pre FROM rules),
 f AS (SELECT page_id, arg_max(rule, length(h) * 10000 + length(pre)) AS rule, arg_max(verdict, length(h) * 10000 + length(pre)) AS verdict
-      FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL)
-SELECT q.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN regexp_matches(host, '(^|\.)(ads-track\.example\.com|adult-x\.example\.net|casino-win\.example\.com|cheap-pills\.example\.com|free-bets\.example\.com|spam-farm\.example\.com)$') THEN 'block' ELSE 'allow' END) AS verdict
-FROM q LEFT JOIN f USING (page_id)
+      FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL),
+t AS (SELECT DISTINCT regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') AS h, regexp_replace(path, '/+$', '') AS p FROM q
+      WHERE host <> '' AND TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT) IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT q.page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN t.h IS NOT NULL OR regexp_matches(host, '(^|\.)(ads-track\.example\.com|adult-x\.example\.net|casino-win\.example\.com|cheap-pills\.example\.com|free-bets\.example\.com|spam-farm\.example\.com)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN f USING (page_id) LEFT JOIN t ON t.h = regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') AND t.p = regexp_replace(path, '/+$', '')
 """
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+')"

@@ -2,22 +2,31 @@
 
 A listed entry is a canonical URL, host and path joined, with a kind: `prefix`
 entries fit their host and all its subdomains where the path starts with the
-entry's path, `exact` entries fit one host and path, `site` entries fit their host
-and all its subdomains at any path. Every page yields its candidate keys (host
-suffixes times the path lengths that the list knows, the exact URL, and host
-suffixes alone). A blocked Bloom filter of the listed keys passes possible hits;
-an exact hash join with the list removes the false ones. The longest prefix wins,
-first by host, then by path; a page that no prefix fits takes the verdict of its
-exact entry, else of the longest site entry.
+entry's path, `exact` entries fit the pages with their canonical form (host without
+a leading www. and the ports 80 and 443, path without slashes at its end; scheme,
+query and fragment do not count), `site` entries fit their host and all its
+subdomains at any path. The longest prefix wins, first by host, then by path; a
+page that no prefix fits takes the verdict of its exact entry, else of the longest
+site entry.
+
+Keys are 64-bit hashes of a host suffix and a path prefix. Both are hashed
+incrementally, so the hashes of all suffixes and prefixes of a URL cost one pass
+over it. A page asks a blocked Bloom filter for its host suffixes and its exact
+key, and for path prefixes (of listed lengths) only under suffixes that pass as
+hosts of prefix entries. Possible hits go into a hash join with the list, which
+compares the texts themselves, so a false hit or an equal hash changes nothing;
+pages without one are done and are not shuffled.
 
 The filter is built by Spark (one row per 256-bit block) and broadcast while the
-list is below a checked size; a longer list is joined by block instead.
+list is below a checked size; the keys of a longer list's pages meet the filter's
+blocks in a join instead.
 
 Cases: a null URL or one without :// has an empty host and path and no rule; a
 page that no entry fits is allowed; of entries that repeat a key, block wins;
 repeated pages are judged one by one; a rule without a slash fits every path of
-its host; other columns travel along, those named host, path, rule or verdict are
-replaced by the result's.
+its host; a URL of any length costs time in proportion to its length, a host of
+very many labels too; other columns travel along, those named host, path, rule or
+verdict are replaced by the result's.
 """
 
 from __future__ import annotations
@@ -35,8 +44,6 @@ WORDS = 8  # 32-bit words of a block
 #: Listed keys up to which the filter is broadcast: 4 MB at 16 bits a key.
 FILTER_KEYS = 2_000_000
 BITS_PER_KEY = 16
-#: Prefix lengths up to which candidates are made of the listed lengths only; beyond, of every length.
-PREFIX_LENGTHS = 4096
 _U = np.uint64
 _ODD = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)  # fixed values: the multipliers of split-block Bloom filters
 
@@ -65,12 +72,71 @@ def site_table(spark: SparkSession, hosts: list[str]) -> DataFrame:
     return made.select(F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"), "host", F.lit("").alias("path"), F.lit("site").alias("kind"))
 
 
+def canonical(host: F.Column, path: F.Column) -> tuple[F.Column, F.Column]:
+    """Host and path of a URL as exact entries compare them."""
+    return F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), r"^www\.", ""), F.regexp_replace(path, "/+$", "")
+
+
+# Kinds of keys: hosts of prefix entries, prefix entries, exact entries, sites.
+HOST, PREFIX, EXACT, SITE = 1, 2, 3, 4
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    if len(_POWERS[0]) < n:
+        _POWERS[0] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _BASE, np.uint64)]))
+    return _POWERS[0][:n]
+
+
+def prefix_hashes(text: str, backwards: bool = False) -> np.ndarray:
+    """The hashes of all prefixes (suffixes, if backwards) of a text by their length, from 0."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = codes[::-1] if backwards else codes
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + _U(1)) * _powers(len(codes)))])
+
+
+def mixed(kind: int, host: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Keys of a kind from hashes of hosts and paths."""
+    with np.errstate(over="ignore"):
+        h = host * _U(0xBF58476D1CE4E5B9) + path * _U(0x94D049BB133111EB) + _U(kind * _BASE & (1 << 64) - 1)
+        for shift in (30, 27):
+            h = (h ^ h >> _U(shift)) * _U(0xD6E8FEB86659FD93)
+    return h ^ h >> _U(31)
+
+
+def host_suffixes(host: str) -> np.ndarray:
+    """The hashes of the host and of all that follows one of its dots."""
+    h = prefix_hashes(host, backwards=True)
+    dots = np.flatnonzero(np.frombuffer(host.encode("utf-32-le", "surrogatepass"), "<u4")[::-1] == ord("."))
+    return h[np.append(dots, len(host))]
+
+
+def _whole(text: str, backwards: bool = False) -> np.ndarray:
+    return prefix_hashes(text, backwards)[-1:]
+
+
 def keyed(listed: DataFrame) -> DataFrame:
-    """One row per key: the key, its hash, the winning verdict and the rule."""
-    key = F.concat(F.substring("kind", 1, 1), F.lit(":"), "host", F.lit(" "), "path")
-    one = listed.select(key.alias("key"), "verdict", "rule", F.length("path").alias("plen"), F.length("host").alias("hlen"), "kind")
-    one = one.groupBy("key").agg(F.max_by(F.struct("verdict", "rule", "plen", "hlen", "kind"), F.struct("verdict", "rule")).alias("e"))
-    return one.select("key", "e.*").withColumn("h", F.xxhash64("key"))
+    """One row per entry and key: its hash h, the winning verdict and the rule; prefix entries have a host key too."""
+    host, path = canonical(F.col("host"), F.col("path"))
+    exact = F.col("kind") == "exact"
+    one = listed.select("kind", F.when(exact, host).otherwise(F.col("host")).alias("host"), F.when(exact, path).otherwise(F.col("path")).alias("path"), "verdict", "rule")
+    one = one.groupBy("kind", "host", "path").agg(F.max_by(F.struct("verdict", "rule"), F.struct("verdict", "rule")).alias("e")).select("kind", "host", "path", "e.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = {"exact": EXACT, "site": SITE, "prefix": PREFIX}
+        for b in batches:
+            at, kinds, hashes = [], [], []
+            for k, (kind, h, p) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                end, none = _whole(h, True), np.zeros(1, np.uint64)
+                for code, path in [(names[kind], none if kind == "site" else _whole(p)), *([(HOST, none)] if kind == "prefix" else [])]:
+                    at.append(k)
+                    kinds.append(code)
+                    hashes.append(mixed(code, end, path)[0])
+            taken = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(kinds, pa.int32()), *taken.columns[1:]], names=["h", "key", "k_host", "k_path", "verdict", "rule"])
+
+    return one.mapInArrow(run, "h long, key int, k_host string, k_path string, verdict string, rule string").withColumns({"plen": F.length("k_path"), "hlen": F.length("k_host")})
 
 
 def masks(h: np.ndarray) -> np.ndarray:
@@ -97,19 +163,83 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     return made.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
-def candidates(pages: DataFrame, lengths: list[int] | None, path_col: str = "path", host_col: str = "host") -> F.Column:
-    """The keys that could fit a page: host suffixes times known path lengths (all if None), the exact URL, host suffixes."""
-    labels = F.split(host_col, r"\.", -1)
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    if lengths is None:
-        fitting = F.sequence(F.lit(0), F.length(path_col))
-    else:
-        fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: F.length(path_col) >= k)
-    prefix = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda k: F.concat(F.lit("p:"), s, F.lit(" "), F.substring(F.col(path_col), F.lit(1), k)))))
-    exact = F.array(F.concat(F.lit("e:"), host_col, F.lit(" "), path_col))
-    site = F.transform(suffixes, lambda s: F.concat(F.lit("s:"), s, F.lit(" ")))
-    return F.when(F.col(host_col) == "", F.array().cast("array<string>")).otherwise(F.concat(prefix, exact, site))
+class Filter:
+    """The broadcast filter with the listed prefix lengths."""
+
+    def __init__(self, held: np.ndarray, lengths: np.ndarray):
+        self.held, self.lengths = held, lengths
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        bits = masks(h)
+        return (self.held[block_of(h, len(self.held))] & bits == bits).all(axis=1)
+
+    def hits(self, host: str, path: str, exact: tuple[str, str]) -> np.ndarray:
+        """The keys of a page that may be listed."""
+        if not host:
+            return np.zeros(0, np.uint64)
+        ends, none = host_suffixes(host), _U(0)
+        asked = np.concatenate([mixed(SITE, ends, none), mixed(EXACT, _whole(exact[0], True), _whole(exact[1]))])
+        found = [asked[self.passes(asked)]]
+        rest = ends[self.passes(mixed(HOST, ends, none))]
+        if len(rest):
+            starts = prefix_hashes(path)[self.lengths[self.lengths <= len(path)]]
+            for end in rest:
+                asked = mixed(PREFIX, end, starts)
+                found.append(asked[self.passes(asked)])
+        return np.concatenate(found)
+
+
+def _exploded(pages: DataFrame, keys: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
+    """(_row, _h): the possible keys of pages by a filter that stays distributed; prefixes come after their hosts are found."""
+
+    @F.pandas_udf("array<long>")
+    def first(host, c_host, c_path):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        out = []
+        for h, a, b in zip(host, c_host, c_path, strict=True):
+            ends = host_suffixes(h) if h else np.zeros(0, np.uint64)
+            own = [mixed(HOST, ends, _U(0)), mixed(SITE, ends, _U(0)), *([mixed(EXACT, _whole(a, True), _whole(b))] if h else [])]
+            out.append(np.concatenate(own).view(np.int64))
+        return pd.Series(out)
+
+    @F.pandas_udf("array<long>")
+    def second(k_host, path, lengths):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        out = []
+        for h, p, n in zip(k_host, path, lengths, strict=True):
+            starts = prefix_hashes(p)
+            n = np.asarray(n, np.int64)
+            out.append(mixed(PREFIX, _whole(h, True), starts[n[n < len(starts)]]).view(np.int64))
+        return pd.Series(out)
+
+    @F.pandas_udf("long")
+    def block(h):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(block_of(h.to_numpy().view(np.uint64), blocks))
+
+    @F.pandas_udf("boolean")
+    def fits(h, w):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        bits = masks(h.to_numpy().view(np.uint64))
+        words = np.stack([np.asarray(x, np.int64) for x in w]).astype(np.uint32) if len(w) else np.zeros((0, WORDS), np.uint32)
+        return pd.Series((words & bits == bits).all(axis=1))
+
+    words = bloom.select("block", F.array(*(f"w{i}" for i in range(WORDS))).alias("w"))
+
+    def possible(asked: DataFrame) -> DataFrame:
+        flat = asked.select("_h").distinct()
+        there = flat.withColumn("block", block("_h")).join(words, "block").where(fits("_h", "w")).select("_h")
+        return asked.join(there, "_h", "left_semi")
+
+    asked = shared_table(possible(pages.select("_row", F.explode(first("host", *canonical(F.col("host"), F.col("path")))).alias("_h"))), "asked")
+    lengths = keys.where(F.col("key") == PREFIX).groupBy("k_host").agg(F.collect_set("plen").alias("lengths"))
+    hosts = keys.where(F.col("key") == HOST).select(F.col("h").alias("_h"), "k_host").distinct().join(lengths, "k_host")
+    under = pages.select("_row", "path").join(asked.join(hosts, "_h").select("_row", "k_host", "lengths"), "_row")
+    return asked.union(possible(under.select("_row", F.explode(second("k_host", "path", "lengths")).alias("_h"))))
 
 
 def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFrame:
@@ -119,55 +249,55 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
     """
     keys = shared_table(keyed(listed), "listed")
     n = keys.count()
-    lengths = sorted(r.plen for r in keys.where("kind = 'prefix'").select("plen").distinct().limit(PREFIX_LENGTHS + 1).collect())
     blocks = max(1, -(-n * BITS_PER_KEY // (32 * WORDS)))
     bloom = bloom_blocks(keys, blocks)
-    parted = with_parts(pages, url_col).withColumn("_row", F.monotonically_increasing_id())
+    parted = with_parts(pages, url_col)
     own = parted.columns
-    cand = parted.withColumn("_keys", candidates(parted, lengths if len(lengths) <= PREFIX_LENGTHS else None))
+    here = canonical(F.col("host"), F.col("path"))
     if n <= FILTER_KEYS:
         held = np.zeros((blocks, WORDS), np.uint32)
         for r in bloom.collect():  # at most FILTER_KEYS / 16 rows
             held[r.block] = r[1:]
+        lengths = sorted(r.plen for r in keys.where(F.col("key") == PREFIX).select("plen").distinct().collect())  # fewer than keys
+        filter_ = Filter(held, np.array(lengths, np.int64))
 
-        @F.pandas_udf("array<boolean>")
-        def passes(hashes):  # noqa: ANN001, ANN202
+        @F.pandas_udf("array<long>")
+        def hits(host, path, c_host, c_path):  # noqa: ANN001, ANN202
             import pandas as pd
 
-            flat = np.concatenate([np.asarray(x, np.int64) for x in hashes] or [np.zeros(0, np.int64)]).view(np.uint64)
-            bits = masks(flat)
-            ok = (held[block_of(flat, blocks)] & bits == bits).all(axis=1)
-            ends = np.cumsum([len(x) for x in hashes])
-            return pd.Series(np.split(ok, ends[:-1]) if len(hashes) else [])
+            return pd.Series([filter_.hits(h, p, (a, b)).view(np.int64) for h, p, a, b in zip(host, path, c_host, c_path, strict=True)])
 
-        hits = cand.withColumn("_ok", passes(F.transform("_keys", lambda k: F.xxhash64(k))))
-        hits = hits.withColumn("_keys", F.transform(F.filter(F.arrays_zip("_keys", "_ok"), lambda x: x["_ok"]), lambda x: x["_keys"])).drop("_ok")
-        rows = hits.withColumn("_key", F.explode_outer("_keys")).drop("_keys")
+        asked = parted.withColumn("_hits", hits("host", "path", *here))
+        clear = asked.where(F.size("_hits") == 0).drop("_hits")
+        some = asked.where(F.size("_hits") > 0).withColumn("_row", F.monotonically_increasing_id())
+        rows = some.select(*own, "_row", F.explode("_hits").alias("_h"))
     else:
-        # a longer filter stays distributed: distinct candidate keys meet their block
-        flat = cand.select(F.explode("_keys").alias("key")).distinct().withColumn("h", F.xxhash64("key"))
-
-        @F.pandas_udf("long")
-        def block(h):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            return pd.Series(block_of(h.to_numpy().view(np.uint64), blocks))
-
-        @F.pandas_udf("boolean")
-        def fits(h, w):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            bits = masks(h.to_numpy().view(np.uint64))
-            words = np.stack([np.asarray(x, np.int64) for x in w]).astype(np.uint32) if len(w) else np.zeros((0, WORDS), np.uint32)
-            return pd.Series((words & bits == bits).all(axis=1))
-
-        words = bloom.select("block", F.array(*(f"w{i}" for i in range(WORDS))).alias("w"))
-        possible = flat.withColumn("block", block("h")).join(words, "block").where(fits("h", "w")).select("key")
-        keys = keys.join(possible, "key", "left_semi")
-        rows = cand.withColumn("_key", F.explode_outer("_keys")).drop("_keys")
-    small = n <= 100_000  # keys of some 100 bytes
-    exact = keys.select(F.col("key").alias("_key"), F.struct(F.array_position(F.array(*map(F.lit, ("site", "exact", "prefix"))), F.col("kind")), "hlen", "plen", "verdict", "rule").alias("_e"))
-    joined = rows.join(F.broadcast(exact) if small else exact, "_key", "left")
-    first = [F.first(c).alias(c) for c in own if c != "_row"]
-    best = joined.groupBy("_row").agg(*first, F.max("_e").alias("_e"))
-    return best.withColumn("rule", F.col("_e.rule")).withColumn("verdict", F.coalesce("_e.verdict", F.lit("allow"))).drop("_row", "_e")
+        some = shared_table(parted.withColumn("_row", F.monotonically_increasing_id()), "pages")
+        asked = _exploded(some, keys, bloom, blocks)
+        clear = some.join(asked.select("_row").distinct(), "_row", "left_anti").select(*own)
+        rows = some.join(asked, "_row").select(*own, "_row", "_h")
+    fits = (
+        F.when(F.col("_kind") == EXACT, (here[0] == F.col("_khost")) & (here[1] == F.col("_kpath")))
+        .when(F.col("_kind") == HOST, F.lit(False))
+        .otherwise(((F.col("host") == F.col("_khost")) | F.endswith("host", F.concat(F.lit("."), "_khost"))) & ((F.col("_kind") == SITE) | F.startswith("path", "_kpath")))
+    )
+    entry = F.struct(F.array_position(F.array(*map(F.lit, (SITE, EXACT, PREFIX))), F.col("_kind")), F.col("_hlen").alias("hlen"), F.col("_plen").alias("plen"), F.col("_verdict").alias("verdict"), F.col("_rule").alias("rule"))
+    listed_keys = keys.withColumnsRenamed({"h": "_h", "key": "_kind", "k_host": "_khost", "k_path": "_kpath", "verdict": "_verdict", "rule": "_rule", "hlen": "_hlen", "plen": "_plen"})
+    small = F.broadcast(listed_keys) if n <= 100_000 and keys.agg(F.coalesce(F.sum(F.col("hlen") + F.col("plen")), F.lit(0))).first()[0] <= 16 << 20 else listed_keys
+    named = [c for c in own if c in ("verdict", "rule")]
+    rows = rows.drop(*named).join(small, "_h", "left").withColumn("_e", F.when(fits, entry))
+    kept = [c for c in own if c not in named]
+    best = rows.groupBy("_row").agg(*(F.first(c).alias(c) for c in kept), F.max("_e").alias("_e"))
+    order = [*kept, "rule", "verdict"]
+    best = best.withColumn("rule", F.col("_e.rule")).withColumn("verdict", F.coalesce("_e.verdict", F.lit("allow")))
+    return best.select(*order).unionByName(clear.drop(*named).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")}).select(*order))
+
+
+def pages_of_documents(pages: DataFrame, doc_ids: DataFrame, url_col: str = "url", id_col: str = "doc_id") -> DataFrame:
+    """Blocked exact entries for the pages that serve one of the documents, by the number behind the language in their path."""
+    number = F.regexp_extract("path", "^/[a-z]+/([0-9]+)", 1).try_cast("long")
+    served = with_parts(pages.select(url_col), url_col).select("host", "path", number.alias("_id")).where("host <> ''")
+    ids = doc_ids.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
+    host, path = canonical(F.col("host"), F.col("path"))
+    found = served.join(ids, "_id", "left_semi").select(host.alias("host"), path.alias("path")).distinct()
+    return found.select(F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"), "host", "path", F.lit("exact").alias("kind"))
