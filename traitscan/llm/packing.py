@@ -9,8 +9,8 @@ piece number goes to which window and offset; Spark numbers the pieces of each
 length and looks their places up.
 
 Cases: a null or empty text still has its closing id; ties (equal lengths) are
-numbered by id and start; repeated rows each get a place of their own; an empty
-table gives no rows; extra columns are ignored.
+numbered by id and start; repeated rows, null and repeated ids each get a place of
+their own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,15 +125,16 @@ def cut_documents(docs: DataFrame, path: str, window: int, end_id: int, id_col:
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def pack_pieces(pieces: DataFrame, window: int, id_col: str = "doc_id", rows_per_bucket: int = 50_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, window: int, id_col: str = "doc_id", rows_per_bucket: int = 50_000, row_col: str | None = None) -> DataFrame:
     """Add sequence_id and offset to pieces that have a `length` of at most `window`.
 
     `pieces` should be a written table: it is read twice. Pieces of a length are
     numbered in hash buckets, so a length that a third of the corpus shares is
-    numbered by many tasks.
+    numbered by many tasks. row_col, a number of its own for every row of the
+    table (it is not returned), spreads pieces without ids or of one id too.
     """
     buckets = max(16, -(-pieces.count() // rows_per_bucket))
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64(id_col, "start"), F.lit(buckets)))
+    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64(*([row_col] if row_col else [id_col, "start"])), F.lit(buckets)))
     sizes = shared_table(keyed.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `window` rows
     runs = sorted(best_fit_plan(counts, window))
@@ -145,7 +146,7 @@ def pack_pieces(pieces: DataFrame, window: int, id_col: str = "doc_id", rows_per
     rank = F.row_number().over(Window.partitionBy("length", "_b").orderBy(id_col, "start")) - 1
     numbered = keyed.withColumn("_r", rank.cast("long")).join(base, ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("_base"))
 
-    kept = pieces.columns
+    kept = [c for c in pieces.columns if c != row_col]
     names = [*kept, "_r"]
     i_len, i_r = names.index("length"), names.index("_r")
 
@@ -157,10 +158,10 @@ def pack_pieces(pieces: DataFrame, window: int, id_col: str = "doc_id", rows_per
             cols = [seq[k] + j // per[k], offset[k] + j % per[k] * n]
             yield pa.RecordBatch.from_arrays([*b.columns[:i_r], *map(pa.array, cols)], names=[*kept, "sequence_id", "offset"])
 
-    return numbered.select(*names).mapInArrow(run, ddl(pieces) + ", sequence_id long, offset long")
+    return numbered.select(*names).mapInArrow(run, ddl(pieces.select(*kept)) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2) -> DataFrame:
     """Cut, then pack every document; one row per piece."""
-    pieces = shared_table(cut_documents(docs, path, window, end_id), "pieces")
-    return pack_pieces(pieces, window)
+    pieces = shared_table(cut_documents(docs, path, window, end_id).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return pack_pieces(pieces, window, row_col="_row")
