@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from traitscan import queries
+from traitscan.functions import arrays as A
 from traitscan.functions import stats
 from traitscan.operators import assoc, matrix, sva
 
@@ -23,6 +24,22 @@ def ols(x, y, c):
     return b[-1], b[-1] / math.sqrt(s2 * np.linalg.pinv(d.T @ d)[-1, -1]), df
 
 
+def scan_pairs_native(x, y, rsq0, n):
+    """The same pairs by higher-order functions only, a cross join of small inputs."""
+    joined = x.selectExpr("id AS x_id", "z AS zx", "sd AS x_sd").join(y.selectExpr("id AS y_id", "z AS zy", "sd AS y_sd"))
+    r = A.dot("zx", "zy") / (n - 1)
+    return joined.select("x_id", "y_id", r.alias("r"), "x_sd", "y_sd").where(F.col("r") * F.col("r") >= rsq0)
+
+
+def test_blocks_without_a_threshold_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(assoc, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(assoc, "BLOCK_PAIRS", 20)
+    rng = np.random.default_rng(8)
+    x, y = (assoc.prepare(frame(spark, rng.normal(size=(k, 12))), np.ones((12, 1)) / 12**0.5) for k in (17, 9))
+    pairs = assoc.scan_pairs(x, y, 0.0, 12)
+    assert pairs.count() == 17 * 9 and pairs.distinct().count() == 17 * 9
+
+
 @pytest.mark.parametrize("force_blocks", [False, True])
 def test_matches_least_squares(spark, monkeypatch, force_blocks):
     if force_blocks:
@@ -68,7 +85,7 @@ def test_native_scan_agrees(spark):
     q = assoc.orthonormal(np.ones((10, 1)))
     x, y = (assoc.prepare(frame(spark, rng.normal(size=(6, 10))), q) for _ in range(2))
     key = lambda df: sorted((r.x_id, r.y_id, round(r.r, 9)) for r in df.collect())
-    assert key(assoc.scan_pairs(x, y, 0.1, 10)) == key(assoc.scan_pairs_native(x, y, 0.1, 10))
+    assert key(assoc.scan_pairs(x, y, 0.1, 10)) == key(scan_pairs_native(x, y, 0.1, 10))
 
 
 def test_perfect_pair(spark):

@@ -7,6 +7,7 @@ only survivors ever become rows; p-values are computed for those alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from traitscan.functions.stats import log10_t_p, rsq_of_p
 #: Bytes of responses that are broadcast to every task; above it both sides are dealt to blocks.
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 16 << 20
+#: Pairs that one pair of blocks returns, at most, where no threshold keeps any back.
+BLOCK_PAIRS = 4_000_000
 
 
 def design_matrix(n: int, numeric: dict[str, list[float]] | None = None, factors: dict[str, list] | None = None, interactions: list[tuple[str, str]] = ()) -> np.ndarray:
@@ -126,6 +129,8 @@ def scan_pairs(x: DataFrame, y: DataFrame, rsq0: float, n: int) -> DataFrame:
         return x.mapInArrow(run, schema)
 
     per_block = max(1, BLOCK_BYTES // (8 * n))
+    if rsq0 <= 0:
+        per_block = min(per_block, math.isqrt(BLOCK_PAIRS))
     bx, by = max(1, -(-x.count() // per_block)), max(1, -(-rows // per_block))
     deal = lambda df, own, other, k, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(k))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
     left, right = deal(x, "bx", "by", bx, by), deal(y, "by", "bx", by, bx)
@@ -182,12 +187,3 @@ def top_k_per_feature(pairs: DataFrame, k: int, by: str = "x_id") -> DataFrame:
 
     w = Window.partitionBy(by).orderBy(F.desc("rsq"), "y_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def scan_pairs_native(x: DataFrame, y: DataFrame, rsq0: float, n: int) -> DataFrame:
-    """The same pairs by higher-order functions only; a check for small inputs."""
-    joined = x.selectExpr("id AS x_id", "z AS zx", "sd AS x_sd").join(y.selectExpr("id AS y_id", "z AS zy", "sd AS y_sd"))
-    r = A.dot("zx", "zy") / (n - 1)
-    return joined.select("x_id", "y_id", r.alias("r"), "x_sd", "y_sd").where(F.col("r") * F.col("r") >= rsq0)
-
-

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitscan.functions import arrays as A
+from traitscan.functions import density
+from traitscan.functions.stats import log10_f_p, normal_cdf
 from traitscan.operators import annotate, assoc, blocks, interval, matrix, ordered, profile, sva
 from traitscan.operators.fdr import log10_fdr
 from traitscan.plans import annotation
@@ -353,6 +355,13 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *(F.round(getattr(F, {"sign": "signum"}.get(f, f))(x).cast("double"), 6).alias(f"{f}_") for f in _MATH), *more)
 
 
+@query("SELECT p_partkey, round(p_size / 51.0::DOUBLE, 5) AS p, round(-p_size / 2.0::DOUBLE * log10(1 + 2 * (p_retailprice / 500) / p_size), 6) AS log10p FROM part")
+def tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal distribution of probits, and the upper tail of F with two degrees of freedom above."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", density.probit(F.col("p_size") / 51.0).alias("x"), log10_f_p(F.col("p_retailprice") / 500, F.lit(2.0), F.col("p_size").cast("double")).alias("log10p"))
+    return rounded(rows.select("p_partkey", normal_cdf(F.col("x")).alias("p"), "log10p"), p=5, log10p=6)
+
+
 @query("""SELECT p_partkey, round(asin(p_size / 100.0::DOUBLE), 6) AS asin_, round(acos(p_size / 100.0::DOUBLE), 6) AS acos_, round(cosh(p_size / 10.0::DOUBLE), 5) AS cosh_, round(exp(p_size / 1000.0::DOUBLE) - 1, 8) AS expm1_,
 round(ln(1 + p_size / 1000.0::DOUBLE), 8) AS log1p_, floor(p_size / 4.0 + 0.5)::BIGINT AS round_, abs(p_size - 25) AS abs_, TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS parsed, p_brand || repeat('*', p_size % 3) AS padded FROM part""")
 def math_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
