@@ -279,7 +279,8 @@ def links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = roots.groupBy("cluster", "own").agg(F.sum("rn").alias("pn"))
     totals = parts.groupBy("cluster").agg(F.sum("pn").alias("cn"))
     parts = parts.join(totals, "cluster").withColumn("blocks", F.ceil(F.col("pn") / TASK_SHINGLES).cast("int"))
-    placed = members.join(broadcast_if_small(shared_table(roots.join(parts, ["cluster", "own"]).select("r", "own", "blocks", "cn"), "roots")), "r")
+    placing = shared_table(roots.join(parts, ["cluster", "own"]).select("r", "own", "blocks", "cn"), "roots")
+    placed = members.join(broadcast_if_small(placing), "r")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).join(sets, "nid")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -296,14 +297,18 @@ def links_across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one, two = (blocks.select("cluster", F.col("own").alias(f"o{k}"), F.col("block").alias(f"b{k}")) for k in "12")
     same = (F.col("o1") == F.col("o2")) & (F.col("b1") == F.col("b2"))
     pairs = one.join(two, "cluster").where("(o1 < o2 or o1 = o2 and b1 <= b2) and (o1 <> o2 or o1 = -1)")  # of blocks, not of rows
-    pairs = broadcast_if_small(shared_table(pairs, "blockpairs"))
+    numbers = shared_table(pairs, "blockpairs")
+    pairs = broadcast_if_small(numbers)
     big = placed.where(F.col("cn") > TASK_SHINGLES).select("cluster", "own", "block", "r", "s")
     pick = lambda k: big.withColumnsRenamed({"own": f"o{k}", "block": f"b{k}"}).join(pairs, ["cluster", f"o{k}", f"b{k}"])
     cols = [F.col("cluster").alias("t"), "o1", "b1", "o2", "b2"]
     left = pick(1).select(*cols, F.when(same, 0).otherwise(1).alias("side"), "cluster", "r", "s")
     right = pick(2).where(~same).select(*cols, F.lit(2).alias("side"), "cluster", "r", "s")
     every = whole.union(left).union(right)
-    return shared_table(every.groupBy("t", "o1", "b1", "o2", "b2").applyInArrow(compare, "a long, b long, ra long, rb long"), "links")
+    links = shared_table(every.groupBy("t", "o1", "b1", "o2", "b2").applyInArrow(compare, "a long, b long, ra long, rb long"), "links")
+    for table in (members, placing, numbers):
+        drop_shared(table)
+    return links
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,7 +338,9 @@ def merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     if label is None:
         return shared_table(fresh, "label")
     moved = label.join(new.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left")
-    return shared_table(moved.select("nid", F.coalesce("to", "root").alias("root")).union(fresh), "label")
+    out = shared_table(moved.select("nid", F.coalesce("to", "root").alias("root")).union(fresh), "label")
+    drop_shared(label)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -367,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     sets = sets_of(ends, docs, sk, width, id_col, text_col)
     label = merged(None, confirm(pairs, sets, percent))
-    tried = pairs.select("a", "b")
+    tried, stale = pairs.select("a", "b"), [pairs]
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Bucket rows with their roots, of buckets that hold more than one root."""
@@ -389,10 +396,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             pairs = shared_table(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
             label = merged(label, confirm(pairs, sets, percent))
             tried = tried.union(pairs.select("a", "b"))
+            stale += [pairs, rest]
             rest = mixed(rest)
         if rest.limit(1).count():
             label = merged(label, links_across(rest, sets, percent))
         drop_shared(sets)
+    for table in [*stale, rest]:
+        drop_shared(table)
 
     joined = sk.select("nid", "id", "n", "f1", "f2").join(broadcast_if_small(copies), "nid", "left").withColumn("node", F.coalesce("rep", "nid"))
     joined = joined.join(broadcast_if_small(label.withColumnRenamed("nid", "node")), "node", "left").withColumn("root", F.coalesce("root", "node"))
