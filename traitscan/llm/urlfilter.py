@@ -31,7 +31,7 @@ verdict are replaced by the result's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ WORDS = 8  # 32-bit words of a block
 #: Listed keys up to which the filter is broadcast: 4 MB at 16 bits a key.
 FILTER_KEYS = 2_000_000
 BITS_PER_KEY = 16
+#: Hosts whose keys a worker keeps, and prefix keys that are asked for at once.
+KEPT_HOSTS, ASKED_AT_ONCE = 50_000, 1_000_000
 _U = np.uint64
 _ODD = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)  # fixed values: the multipliers of split-block Bloom filters
 
@@ -168,25 +170,72 @@ class Filter:
 
     def __init__(self, held: np.ndarray, lengths: np.ndarray):
         self.held, self.lengths = held, lengths
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.exact: dict[str, np.uint64] = {}
 
     def passes(self, h: np.ndarray) -> np.ndarray:
         bits = masks(h)
         return (self.held[block_of(h, len(self.held))] & bits == bits).all(axis=1)
 
-    def hits(self, host: str, path: str, exact: tuple[str, str]) -> np.ndarray:
-        """The keys of a page that may be listed."""
-        if not host:
-            return np.zeros(0, np.uint64)
-        ends, none = host_suffixes(host), _U(0)
-        asked = np.concatenate([mixed(SITE, ends, none), mixed(EXACT, _whole(exact[0], True), _whole(exact[1]))])
-        found = [asked[self.passes(asked)]]
-        rest = ends[self.passes(mixed(HOST, ends, none))]
-        if len(rest):
-            starts = prefix_hashes(path)[self.lengths[self.lengths <= len(path)]]
-            for end in rest:
-                asked = mixed(PREFIX, end, starts)
-                found.append(asked[self.passes(asked)])
-        return np.concatenate(found)
+    def of_host(self, host: str) -> tuple[np.ndarray, np.ndarray]:
+        """(possible site keys, hashes of the suffixes that may be hosts of prefix entries); hosts repeat, so they are kept."""
+        found = self.known.get(host)
+        if found is None:
+            ends = host_suffixes(host)
+            sites = mixed(SITE, ends, _U(0))
+            found = sites[self.passes(sites)], ends[self.passes(mixed(HOST, ends, _U(0)))]
+            if len(host) < 256:
+                if len(self.known) >= KEPT_HOSTS:
+                    self.known.clear()
+                self.known[host] = found
+        return found
+
+    def of_canonical(self, host: str) -> np.uint64:
+        found = self.exact.get(host)
+        if found is None:
+            found = _whole(host, True)[0]
+            if len(host) < 256:
+                if len(self.exact) >= KEPT_HOSTS:
+                    self.exact.clear()
+                self.exact[host] = found
+        return found
+
+    def hits(self, pages: Iterable[tuple[str, str, str, str]]) -> list[np.ndarray]:
+        """The keys of each page (host, path, canonical host and path) that may be listed."""
+        out: list[list] = []
+        e_host, e_path, e_of = [], [], []
+        p_host, p_path, p_of, held = [], [], [], 0
+
+        def ask() -> None:
+            for kind, hosts, paths, owners in ((EXACT, np.array(e_host, np.uint64), np.array(e_path, np.uint64), np.array(e_of, np.int64)), (PREFIX, *(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (p_host, p_path, p_of)))):
+                if len(hosts):
+                    asked = mixed(kind, hosts, paths)
+                    for k in np.flatnonzero(self.passes(asked)).tolist():
+                        out[int(owners[k])].append(asked[k])
+            for x in (e_host, e_path, e_of, p_host, p_path, p_of):
+                x.clear()
+
+        for n, (host, path, c_host, c_path) in enumerate(pages):
+            if not host:
+                out.append([])
+                continue
+            sites, rest = self.of_host(host)
+            out.append(list(sites))
+            starts = prefix_hashes(path)
+            e_host.append(self.of_canonical(c_host))
+            e_path.append(starts[len(c_path)])  # the canonical path is a prefix of the path
+            e_of.append(n)
+            if len(rest):
+                asked = starts[self.lengths[: np.searchsorted(self.lengths, len(path), "right")]]
+                p_host.append(np.repeat(rest, len(asked)))
+                p_path.append(np.tile(asked, len(rest)))
+                p_of.append(np.full(len(asked) * len(rest), n))
+                held += len(asked) * len(rest)
+                if held > ASKED_AT_ONCE:
+                    ask()
+                    held = 0
+        ask()
+        return [np.array(x, np.uint64) for x in out]
 
 
 def _exploded(pages: DataFrame, keys: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
@@ -265,7 +314,7 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
         def hits(host, path, c_host, c_path):  # noqa: ANN001, ANN202
             import pandas as pd
 
-            return pd.Series([filter_.hits(h, p, (a, b)).view(np.int64) for h, p, a, b in zip(host, path, c_host, c_path, strict=True)])
+            return pd.Series([x.view(np.int64) for x in filter_.hits(zip(host, path, c_host, c_path, strict=True))], dtype=object)
 
         asked = parted.withColumn("_hits", hits("host", "path", *here))
         clear = asked.where(F.size("_hits") == 0).drop("_hits")
