@@ -2,6 +2,7 @@ import io
 import math
 import tarfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,23 @@ def test_analysis_of_an_archive_with_alleles(spark, tmp_path):
             run("d.tped", key)
 
 
+def test_subjects_are_matched_by_name(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    ids = [f"s{i}" for i in range(12)]
+    x, y, age = rng.integers(0, 3, 12), rng.normal(size=12), rng.normal(size=12)
+    (tmp_path / "g.tped").write_text("1 rs1 0 100 " + " ".join(map(str, x)) + "\n")
+    (tmp_path / "g.tfam").write_text("".join(f"f {i} 0 0 1 -9\n" for i in ids))
+    runs = []
+    for order in (range(12), rng.permutation(12), rng.permutation(12)):
+        (tmp_path / "y.csv").write_text("gene," + ",".join(ids[k] for k in order) + "\ng1," + ",".join(f"{y[k]:.9f}" for k in order) + "\n")
+        (tmp_path / "c.csv").write_text("id,age\n" + "".join(f"{ids[k]},{age[k]:.9f}\n" for k in reversed(order)))
+        ini = "genotype_file=g.tped\nfamily_file=g.tfam\nexpression_file=y.csv\ncovariate_file=c.csv\ncovariate_fixed=age\nthreshold=none\n"
+        runs.append([(r.rsq, r.fx) for r in run_analysis(spark, AnalysisConfig.from_ini(ini, str(tmp_path))).collect()])
+    d = np.column_stack([np.ones(12), age, x])
+    assert runs[0][0][1] == pytest.approx(np.linalg.lstsq(d, y, rcond=None)[0][2], rel=1e-6)
+    assert all(r[0] == pytest.approx(runs[0][0]) for r in runs)
+
+
 def test_bound_matrices(spark):
     a = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, values array<double>")
     assert [r["values"] for r in matrix.bind_columns(a, a).orderBy("id").collect()] == [[1, 1], [2, 2]]

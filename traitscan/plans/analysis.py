@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traitscan.functions.arrays import permuted
 from traitscan.operators import assoc
 from traitscan.operators.profile import recode_additive
 from traitscan.sources import readers
@@ -81,6 +82,14 @@ def covariate_design(cov: DataFrame, fixed: tuple[str, ...], factors: tuple[str,
     return assoc.design_matrix(len(rows), {c: rows[c].tolist() for c in number}, {c: rows[c].tolist() for c in factor}, crossed)
 
 
+def by_subject(subjects: list[str], names: list[str]) -> list[int]:
+    """The places in names of the family file's subjects; none where they do not name the same samples, which are then matched by place."""
+    if len(set(names)) != len(names) or set(names) != set(subjects):
+        return []
+    place = {name: k for k, name in enumerate(names)}
+    return [place[s] for s in subjects]
+
+
 def tped_values(tped: DataFrame, samples: int | None) -> DataFrame:
     """(id, values): dosages as they are; two allele letters a sample as 0, 1, 2 minor alleles."""
     letters = F.size("tokens") == 2 * F.lit(samples or 0)
@@ -91,7 +100,12 @@ def tped_values(tped: DataFrame, samples: int | None) -> DataFrame:
 
 
 def run_analysis(spark: SparkSession, cfg: AnalysisConfig) -> DataFrame:
-    """The pair table in the layout asked for; written to output_file if there is one."""
+    """The pair table in the layout asked for; written to output_file if there is one.
+
+    Genotypes are in the order of the family file. Where the expression file's
+    header, or the first column of the covariates, names its subjects, these are
+    matched by name, else by place.
+    """
     if cfg.genotype_model != "additive":
         raise ConfigError(f"genotype model {cfg.genotype_model!r} is not supported")
     for name in ("genotype_file", "expression_file"):
@@ -106,16 +120,23 @@ def run_analysis(spark: SparkSession, cfg: AnalysisConfig) -> DataFrame:
         x = tped_values(readers.read_tped(spark, cfg.genotype_file), samples)
     else:
         x = readers.matrix_table(spark, cfg.genotype_file, cfg.genotype_file_header)
+    subjects: list[str] = []
     if cfg.family_file:
-        subjects = readers.read_fam(spark, cfg.family_file).count()
-        if subjects != samples:
-            raise ConfigError(f"{subjects} subjects in {cfg.family_file} for {samples} samples")
+        subjects = readers.subject_order(spark, cfg.family_file)
+        if len(subjects) != samples:
+            raise ConfigError(f"{len(subjects)} subjects in {cfg.family_file} for {samples} samples")
+        order = by_subject(subjects, readers.sample_names(spark, cfg.expression_file))
+        if order:
+            y = y.withColumn("values", permuted("values", F.array(*map(F.lit, order))))
     sizes = [df.agg(F.min(F.size("values")), F.max(F.size("values"))).first() for df in (x, y)]
     if len({v for s in sizes for v in s}) != 1 or sizes[0][0] is None:
         raise ConfigError(f"samples differ: genotypes {tuple(sizes[0])}, expressions {tuple(sizes[1])}")
     n, design = sizes[0][0], None
     if cfg.covariate_file:
-        design = covariate_design(readers.covariate_table(spark, cfg.covariate_file), cfg.covariate_fixed, cfg.covariate_factor)
+        covariates = readers.covariate_table(spark, cfg.covariate_file)
+        design = covariate_design(covariates, cfg.covariate_fixed, cfg.covariate_factor)
+        order = by_subject(subjects, [str(r[0]) for r in covariates.select(F.col(f"`{covariates.columns[0]}`")).collect()])  # one row per sample
+        design = design[order] if order else design
         if len(design) != n:
             raise ConfigError(f"{len(design)} rows of covariates for {n} samples")
     pairs = assoc.association(x, y, n, design, cfg.threshold, cfg.df_offset)

@@ -451,6 +451,13 @@ def bit_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.complement(p).alias("turned"), A.shifted_bits(p, F.col("l_linenumber")).alias("up"), A.shifted_bits(p, -2).alias("down"), A.shifted_bits(-p, -3).alias("down_negative"))
 
 
+@query("SELECT p_brand, string_agg(DISTINCT p_size::VARCHAR, '|' ORDER BY p_size::VARCHAR) AS sizes, count(DISTINCT p_type) AS n_types, count(*) AS n_parts FROM part GROUP BY ALL")
+def multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands with the set of their sizes, as annotation files list them."""
+    sizes = F.array_join(F.sort_array(F.collect_set(F.col("p_size").cast("string"))), "|")
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(sizes.alias("sizes"), F.size(F.collect_set("p_type")).cast("long").alias("n_types"), F.count(F.lit(1)).alias("n_parts"))
+
+
 ANNOTATION = """
 [Orders]
 file = orders

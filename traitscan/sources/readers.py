@@ -130,6 +130,12 @@ def read_fam(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def subject_order(spark: SparkSession, path: str) -> list[str]:
+    """The subjects of a family file in its order; one for each sample."""
+    rows = read_fam(spark, path).select("subject_id", F.monotonically_increasing_id().alias("at"))
+    return [r.subject_id for r in sorted(rows.collect(), key=lambda r: r["at"])]
+
+
 def read_tar(spark: SparkSession, path: str, suffixes: Sequence[str] = (".tped", ".tfam")) -> DataFrame:
     """(name, value): the lines of the wanted members of tar, tar.gz and tar.bz2 archives of any size, streamed."""
     return registered(spark).read.format("archive_lines").option("path", path).option("suffixes", ",".join(suffixes)).load()
