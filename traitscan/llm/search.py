@@ -42,6 +42,8 @@ from traitscan.llm.minhash import word_hashes
 K1, B = 1.2, 0.75
 #: Rows and postings of a shard, at most (a text of more postings is a shard of its own).
 SHARD_ROWS, SHARD_POSTINGS = 8192, 6_000_000
+#: Rows of a task that is kept for the sake of parallel work.
+LEAST_ROWS = 1024
 BLOCK = 16
 #: A term is common if more than this part of all documents hold it, else rare.
 COMMON_PART = 1 / 8
@@ -114,8 +116,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield shard()
 
     schema = f"ids array<{id_type}>, lengths binary, names binary, first binary, doc binary, tf binary, kind string, total long"
-    # tasks of less than a shard are joined, without a shuffle
-    shards = base.coalesce(max(1, -(-n // shard_rows))).mapInArrow(invert, schema)
+    # tasks of less than a shard are joined, without a shuffle, as long as none lies idle for it
+    tasks = max(-(-n // shard_rows), min(docs.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    shards = base.coalesce(max(1, tasks)).mapInArrow(invert, schema)
     index = shared_table(shards.withColumn("shard", F.monotonically_increasing_id()), "index")
     return index, n, (index.agg(F.sum("total")).first()[0] or 0) / max(n, 1)
 
