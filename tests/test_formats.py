@@ -30,6 +30,14 @@ def test_matrix_files_in_parts(spark, tmp_path, monkeypatch):
         readers.read_binary_matrix(spark, str(tmp_path / "c.bin")).collect()
 
 
+def test_relative_paths_and_uris(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    rows = spark.createDataFrame([("a", [1.0, 2.0])], "id string, values array<double>")
+    formats.write_matrix_files(rows, "m")
+    for path in ("m", f"file:{tmp_path}/m", f"file://{tmp_path}/m", f"{tmp_path}/m/"):
+        assert readers.read_binary_matrix(spark, path).collect() == [("a", [1.0, 2.0])]
+
+
 def test_matrix_round_trip(spark, tmp_path, monkeypatch):
     rows = spark.range(1000).select("id", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.when((F.col("id") + k) % 7 != 0, F.col("id") * k / 3)).alias("values")).repartition(4)
     path = str(tmp_path / "m")

@@ -171,7 +171,7 @@ def test_parents_and_peaks(spark):
     direct = ordered.find_peaks(df, "v", "i", "s", 0)
     assert sorted(r.i for r in direct.collect()) == [1, 3, 5, 7]
     assert "InPandas" not in direct._jdf.queryExecution().toString()
-    assert "_run" in ordered.find_peaks(df, "v", "i", "s", 3)._jdf.queryExecution().toString()
+    assert "peaks-" in ordered.find_peaks(df, "v", "i", "s", 3)._jdf.queryExecution().toString()  # the table of the last round
     prod = ordered.running_product(df.where("i in (1, 3, 4, 5)"), "v", ["s"], ["i"]).orderBy("i").collect()
     assert [round(r.cum_prod, 6) for r in prod] == [5, 20, 0, 0]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitscan.operators.assoc import matrix_of
-from traitscan.tables import written
+from traitscan.tables import discard, written
 
 #: Rows and columns of a tile; inner blocks and partial tiles that one task holds, at most.
 SIZE, INNER = 512, 16
@@ -172,6 +172,8 @@ def tall_r(df: DataFrame, n: int, value: str = "values") -> np.ndarray:
     rows = df.select(v.alias("v")).where(F.size("v") == n).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
     level = written(rows.mapInArrow(local, "r binary").select(F.spark_partition_id().cast("long").alias("g"), "r"), "triangles")
     while level.limit(2).count() > 1:
-        level = written(level.groupBy(F.floor(F.col("g") / FAN)).applyInArrow(stack, "g long, r binary"), "triangles")
+        below, level = level, written(level.groupBy(F.floor(F.col("g") / FAN)).applyInArrow(stack, "g long, r binary"), "triangles")
+        discard(below)
     last = level.first()
+    discard(level)
     return np.zeros((n, n)) if last is None else np.frombuffer(last.r, np.float64).reshape(n, n)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traitscan.tables import ranges, written
+from traitscan.tables import discard, ranges, written
 
 
 def _sum_of(*parts: Column) -> Column:
@@ -97,6 +97,7 @@ def find_peaks(df: DataFrame, value: str, position: str, by: str, separation: fl
     place = (F.col(position) - F.col("_from")) / F.col("_len")
     blocked = some.join(size, F.col(by).eqNullSafe(F.col("_by"))).select(by, position, value, "_row", F.floor(place).alias("_block"), (F.col("_len") * (place - F.floor(place))).alias("_in"), "_len")
     state = written(blocked.withColumn("_kept", F.lit(False)), "peaks")
+    discard(some)
     reach = separation * (1 + 1e-6)  # places are rounded
     own = F.array(F.lit(0), F.when(F.col("_in") < reach, -1), F.when(F.col("_len") - F.col("_in") < reach, 1))
 
@@ -123,7 +124,8 @@ def find_peaks(df: DataFrame, value: str, position: str, by: str, separation: fl
     while state.where("not _kept").limit(1).count():
         dealt = state.withColumn("_to", F.explode(F.filter(own, lambda x: x.isNotNull())))
         dealt = dealt.withColumn("_at", F.col("_block") + F.col("_to"))
-        state = written(dealt.groupBy(by, "_at").applyInPandas(lambda pdf: decide(pdf.drop(columns="_at")), schema), "peaks")
+        last, state = state, written(dealt.groupBy(by, "_at").applyInPandas(lambda pdf: decide(pdf.drop(columns="_at")), schema), "peaks")
+        discard(last)
     return state.select(by, position, value)
 
 

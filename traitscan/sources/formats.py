@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import os
 import struct
 import tarfile
 import uuid
@@ -32,9 +33,16 @@ CHUNK_BYTES = 16 << 20
 MANIFEST = "manifest.json"
 
 
+def absolute(path: str) -> str:
+    """A path that means the same to the driver and to tasks: relative ones start from the driver's folder."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return path if "://" in path else os.path.abspath(path)
+
+
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    found, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """The file system of an absolute path or URI, and the path in it."""
+    found, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     return found, place.rstrip("/")
 
 
@@ -327,4 +335,4 @@ def write_matrix_files(df: DataFrame, path: str, columns: Sequence[str] = ()) ->
     """(id, values) as a folder of complete matrix files; NULL cells are NaN."""
     rows = df.selectExpr("cast(id as string) as id", "transform(values, x -> coalesce(cast(x as double), double('NaN'))) as values")
     registered(df.sparkSession)
-    rows.write.format("matrix_file").mode("append").option("path", path).option("columns", ",".join(columns)).save()
+    rows.write.format("matrix_file").mode("append").option("path", absolute(path)).option("columns", ",".join(columns)).save()

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitscan.sources.formats import registered
+from traitscan.sources.formats import absolute, registered
 
 MISSING = ["", "-", "."]
 
@@ -138,7 +138,7 @@ def subject_order(spark: SparkSession, path: str) -> list[str]:
 
 def read_tar(spark: SparkSession, path: str, suffixes: Sequence[str] = (".tped", ".tfam")) -> DataFrame:
     """(name, value): the lines of the wanted members of tar, tar.gz and tar.bz2 archives of any size, streamed."""
-    return registered(spark).read.format("archive_lines").option("path", path).option("suffixes", ",".join(suffixes)).load()
+    return registered(spark).read.format("archive_lines").option("path", absolute(path)).option("suffixes", ",".join(suffixes)).load()
 
 
 def read_binary_matrix(spark: SparkSession, path: str, rows_per_task: int = 0) -> DataFrame:
@@ -146,7 +146,7 @@ def read_binary_matrix(spark: SparkSession, path: str, rows_per_task: int = 0) -
 
     path is a file, a folder or a pattern; a task reads a range of rows.
     """
-    return registered(spark).read.format("matrix_file").option("path", path).option("rows_per_task", rows_per_task).load()
+    return registered(spark).read.format("matrix_file").option("path", absolute(path)).option("rows_per_task", rows_per_task).load()
 
 
 def annotation_table(spark: SparkSession, path: str, key: str, kept: Sequence[str] = (), rename: dict[str, str] | None = None, sep: str = ",", rules: dict[str, str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitscan.operators.annotate import split_every
-from traitscan.sources.formats import matrix_header, registered
+from traitscan.sources.formats import absolute, matrix_header, registered
 from traitscan.tables import RANGE_ROWS
 
 HEADERS = {"x_id": "Rs_ID", "y_id": "ProbesetID", "rsq": "RSq", "fx": "Fx", "t": "T", "log10p": "log10P", "dir": "Dir"}  # fixed values: column names of the pair file
@@ -51,7 +51,7 @@ def _numbered(lines: DataFrame, folder: str, prefix: str, suffix: str, header: s
     tasks = max(1, -(-lines.count() // RANGE_ROWS))
     dealt = lines.repartitionByRange(tasks, "file_no").sortWithinPartitions("file_no", "row_no").select("file_no", "line")
     registered(lines.sparkSession)
-    dealt.write.format("numbered_files").mode("append").options(path=folder, prefix=prefix, suffix=suffix, header=header).save()
+    dealt.write.format("numbered_files").mode("append").options(path=absolute(folder), prefix=prefix, suffix=suffix, header=header).save()
 
 
 def write_matrix(df: DataFrame, path: str, sep: str = "\t") -> None:

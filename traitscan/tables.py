@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ranges(df: DataFrame, order: list[str], range_rows: int = 0) -> DataFrame | None:
     """df with _row, the place in the input, and _part, its range in the order (ties by _row), written; None for one range.
 
