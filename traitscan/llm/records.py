@@ -36,7 +36,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -44,6 +43,7 @@ from pyspark.sql.types import StructType
 
 from traitscan.llm.bpe import batches_of, word_bpe
 from traitscan.llm.common import small_batches
+from traitscan.sources.formats import absolute, open_path
 
 FORMAT = "token_records"
 #: Bytes of text that one file holds, about; less if tasks would lie idle.
@@ -176,11 +176,6 @@ def unframe(data: bytes, starts: np.ndarray, name: str) -> list[bytes]:
     return payloads
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    found, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return found, place.rstrip("/")
-
-
 @dataclass
 class Written(WriterCommitMessage):
     part: int
@@ -227,7 +222,7 @@ class RecordWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        files, place = _open(self.path)
+        files, place = open_path(self.path)
         files.create_dir(place, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
@@ -257,7 +252,7 @@ class RecordWriter(DataSourceArrowWriter):
         return Written(part, name, records, ids)
 
     def commit(self, messages: list[Any]) -> None:
-        files, place = _open(self.path)
+        files, place = open_path(self.path)
         files.create_dir(place, recursive=True)
         done, before = [], 0
         for m in sorted((m for m in messages if m is not None and m.records), key=lambda m: m.part):
@@ -267,7 +262,7 @@ class RecordWriter(DataSourceArrowWriter):
             f.write(json.dumps({"files": done, "ids": before}).encode())
 
     def abort(self, messages: list[Any]) -> None:
-        files, place = _open(self.path)
+        files, place = open_path(self.path)
         for m in messages:
             if m is not None and m.records:
                 for end in ("rec", "idx"):
@@ -280,7 +275,7 @@ class RecordReader(DataSourceReader):
         self.seed = int(options["shuffle_seed"]) if "shuffle_seed" in options else None
 
     def partitions(self) -> list[Slices]:
-        files, place = _open(self.path)
+        files, place = open_path(self.path)
         with files.open_input_stream(f"{place}/manifest.json") as f:
             found = json.loads(f.read())["files"]
         step = self.step if self.seed is None else max(1, self.step // 64)
@@ -292,7 +287,7 @@ class RecordReader(DataSourceReader):
         return [Slices([ranges[i] for i in order[t::tasks]], self.seed + t) for t in range(tasks)]
 
     def read(self, partition: Slices) -> Iterator[pa.RecordBatch]:
-        files, place = _open(self.path)
+        files, place = open_path(self.path)
         random = None if partition.seed is None else np.random.default_rng(partition.seed)
         for name, lo, hi, before in partition.ranges:
             with files.open_input_file(f"{place}/{name}.idx") as f:
@@ -342,11 +337,11 @@ def write_token_records(docs: DataFrame, path: str, vocabulary: str, end_id: int
 
     encoded = ranged.select(F.col("id").cast("string"), "text").mapInArrow(run, "key string, ids binary")
     spark.dataSource.register(TokenRecords)
-    encoded.write.format(FORMAT).mode("append").option("path", path).save()
+    encoded.write.format(FORMAT).mode("append").option("path", absolute(path)).save()
 
 
 def read_token_records(spark: SparkSession, path: str, shuffle_seed: int | None = None, records_per_task: int = 1 << 16) -> DataFrame:
     """(key, start, n_ids, ids) of all records; in file order, or shuffled by a seed."""
     spark.dataSource.register(TokenRecords)
-    reader = spark.read.format(FORMAT).option("path", path).option("records_per_task", records_per_task)
+    reader = spark.read.format(FORMAT).option("path", absolute(path)).option("records_per_task", records_per_task)
     return (reader if shuffle_seed is None else reader.option("shuffle_seed", shuffle_seed)).load()
