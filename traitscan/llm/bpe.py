@@ -6,7 +6,9 @@ and the ids are concatenated; the result equals encoding the whole word.
 
 Cases: a null or empty text has no ids and decodes to the empty string; the
 strings of the special tokens are recognised in the raw text, as the library
-does; very long texts are encoded window by window, cut at blanks, where no token
+does; texts of Latin letters are parted into words as Arrow columns and each distinct
+word is looked up once a batch, texts with other characters are normalised by the
+library and go chunk by chunk; very long texts are encoded window by window, cut at blanks, where no token
 can reach across (a text without any blank is one window, so memory grows with its
 longest run of that kind); repeated rows and extra columns are independent of each
 other.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from traitscan.llm.common import small_batches
 CACHE_WORDS = 300_000
 #: Characters that are encoded at once.
 WINDOW_CHARS = 1 << 20
+#: Characters from which on texts are parted into words in columns, not one by one.
+BULK_CHARS = 1 << 14
 
 # Characters up to U+017F that NFC leaves alone and that lower-case alike everywhere.
 _UNSAFE = re.compile("[^\t-\r\x20-\x7e\xa0-įı-ſ]")
@@ -41,6 +46,9 @@ _LETTERS = "a-zªµºÀ-ÖØ-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 _SIMPLE = re.compile(f"[{_LETTERS}]+")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+# The same for whole columns, in RE2's syntax: what is no run of letters gets blanks around it.
+_UNSAFE_RE2 = "[^\t-\r\\x20-\x7e\xa0-įı-ſ]"
+_SIGNS_RE2 = f"'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r ]+"
 
 
 def byte_letters() -> list[str]:
@@ -61,8 +69,9 @@ class WordBpe:
         model = config["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         vocab, merges = model["vocab"], [tuple(m) for m in model["merges"]]
-        self.last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None))
-        self.inner = Tokenizer(models.BPE(vocab, merges))
+        # no caches of their own: words that come here are new
+        self.last = Tokenizer(models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None, cache_capacity=0))
+        self.inner = Tokenizer(models.BPE(vocab, merges, cache_capacity=0))
         self.last.pre_tokenizer = self.inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         whole = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
@@ -72,7 +81,12 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token.encode()
         self.is_end = np.array([bool(self.suffix) and t.endswith(self.suffix.encode()) for t in self.tokens])
+        self.lengths = np.array([len(t.decode()) for t in self.tokens], np.int64)  # in byte letters, without a suffix
         self.letter = byte_letters()
+        # words can be encoded in columns if no byte is unknown and ends can be told
+        self.columns = bool(self.suffix) and all(c in vocab and c + self.suffix in vocab for c in self.letter)
+        self.codes = np.array([ord(c) for c in self.letter], "<u4")
+        self.codes[32] = 32  # parts words, which hold no blank
         byte = {c: b for b, c in enumerate(self.letter)}
         joined = bytearray(1 << 16)
         for token in vocab:
@@ -80,10 +94,11 @@ class WordBpe:
             for x, y in zip(body, body[1:], strict=False):
                 joined[x << 8 | y] = 1
         self.joined = bytes(joined)
+        self.parted = np.frombuffer(self.joined, np.uint8) == 0
         self.byte = byte
         after = {chr(x): "".join(chr(y) for y in range(97, 123) if not joined[x << 8 | y]) for x in range(97, 123)}
         self.cut = re.compile("|".join(f"{x}[{ys}]" for x, ys in after.items() if ys) or "(?!)")  # for words of a to z
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}  # the cache before it was last full
 
     def fragments(self, word: bytes) -> list[bytes]:
@@ -169,7 +184,8 @@ class WordBpe:
             at = cut
         yield text[at:]
 
-    def _plan(self, text: str | None) -> Iterator[list[str] | bytes]:
+    def _parts(self, text: str | None) -> Iterator[str | bytes]:
+        """Windows of a text between its special tokens, and the ids of these."""
         if not text:
             return
         parts = self.special_re.split(text) if self.special_re and any(s in text for s in self.special) else [text]
@@ -177,15 +193,18 @@ class WordBpe:
             if i % 2:
                 yield np.array([self.special[part]], "<u4").tobytes()
             elif part:
-                for w in self._windows(part):
-                    yield self._chunks(w)
+                yield from self._windows(part)
+
+    def _plan(self, text: str | None) -> Iterator[list[str] | bytes]:
+        for part in self._parts(text):
+            yield self._chunks(part) if isinstance(part, str) else part
 
     def _ids(self, lists: list[list[str]]) -> list[bytes]:
         """The joined ids of each list of chunks."""
         unknown = lambda: set().union(*(set(chunks).difference(self.cache) for chunks in lists))
         need = unknown()
         if len(self.cache) + len(need) > CACHE_WORDS:
-            self.old, self.cache = self.cache, {}
+            self.old, self.cache = self.cache, {"": b""}
             need = unknown()
         if need:
             self.cache.update((c, ids) for c in need if (ids := self.old.get(c)) is not None)
@@ -193,8 +212,110 @@ class WordBpe:
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in lists]
 
+    def _library_ids(self, tok, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids of a text of byte letters, in which blanks end fragments before `ends`."""
+        cuts = [0, *ends[4095:-1:4096].tolist(), len(text)]
+        ids = [tok.encode_batch_fast([text[x:y].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids for x, y in zip(cuts, cuts[1:], strict=False)]
+        return np.concatenate([np.array(x, "<u4") for x in ids])
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words, cut at the byte pairs that no token holds; in columns over all their bytes."""
+        if not words:
+            return []
+        raw = np.frombuffer((" ".join(words) + " ").encode(), np.uint8)
+        blank = raw == 32
+        first = np.empty(len(raw), bool)  # of a fragment; the blank belongs to the fragment before it
+        first[0] = True
+        first[1:] = (self.parted[raw[:-1].astype(np.uint16) << 8 | raw[1:]] & ~blank[:-1] | blank[:-1]) & ~blank[1:]
+        starts = np.flatnonzero(first)
+        last = blank[np.append(starts[1:], len(raw)) - 1]
+        in_last = np.repeat(last, np.diff(np.append(starts, len(raw))))
+        ids = self._library_ids(self.last, self.codes[raw[in_last]], np.flatnonzero(blank[in_last]) + 1)
+        is_end = self.is_end[ids]
+        word = np.cumsum(is_end) - is_end
+        if not last.all():
+            inner = ~last
+            size = np.diff(np.append(starts, len(raw)))[inner]
+            ends = np.cumsum(size + 1)
+            text = np.full(int(ends[-1]), 32, "<u4")
+            text[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = self.codes[raw[~in_last]]
+            heads = self._library_ids(self.inner, text, ends)
+            length = self.lengths[heads]
+            fragment = np.searchsorted(np.cumsum(size), np.cumsum(length) - length, "right")
+            both = np.concatenate([(np.cumsum(last) - last)[inner][fragment], word])
+            order = np.argsort(both, kind="stable")  # a word's inner fragments come first
+            ids, word = np.concatenate([heads, ids])[order], both[order]
+        ends = np.cumsum(np.bincount(word, minlength=len(words))) * 4
+        data, at = ids.tobytes(), ends.tolist()
+        return [data[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from the cache or learned."""
+        found = list(map(self.cache.get, words))
+        need = [w for w, x in zip(words, found, strict=True) if x is None]
+        if not need:
+            return found
+        if len(self.cache) + len(need) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {"": b""}
+            need, found = words, [None] * len(words)
+        kept = list(map(self.old.get, need))
+        learned = iter(self._word_ids([w for w, x in zip(need, kept, strict=True) if x is None]))
+        kept = [next(learned) if x is None else x for x in kept]
+        self.cache.update(zip(need, kept, strict=True))
+        rest = iter(kept)
+        return [next(rest) if x is None else x for x in found]
+
+    def _column_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: words of all texts as a column, each distinct word once."""
+        column = pa.array(texts, pa.string())
+        unsafe = np.flatnonzero(pc.match_substring_regex(column, _UNSAFE_RE2).to_numpy(zero_copy_only=False)).tolist()
+        if unsafe:
+            rest = set(range(len(texts))).difference(unsafe)
+            out = dict(zip(unsafe, self._ids([self._chunks(texts[i]) for i in unsafe]), strict=True))
+            out |= zip(sorted(rest), self._column_ids([texts[i] for i in sorted(rest)]) if rest else [], strict=True)
+            return [out[i] for i in range(len(texts))]
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(column), _SIGNS_RE2, r" \0 "))
+        coded = words.flatten().dictionary_encode()
+        ids = pa.array(self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[words.offsets.to_numpy()].tolist()
+        data = ids.buffers()[2]
+        return [data[x:y].to_pybytes() for x, y in zip(ends, ends[1:], strict=False)]
+
+    def _encode_columns(self, texts: list[str | None]) -> list[bytes]:
+        """As encode, some 2 * WINDOW_CHARS characters as one column."""
+        plans: list[list[bytes]] = [[] for _ in texts]
+        some: list[str] = []
+        places: list[tuple[int, int]] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            for (i, k), ids in zip(places, self._column_ids(some), strict=True):
+                plans[i][k] = ids
+            some.clear()
+            places.clear()
+            held = 0
+
+        for i, text in enumerate(texts):
+            for part in self._parts(text):
+                if isinstance(part, str) and len(part) > 64 * WINDOW_CHARS:  # one run without a blank, too long for Arrow's 32-bit offsets
+                    part = self._ids([self._chunks(part)])[0]
+                elif isinstance(part, str):
+                    some.append(part.replace("\xa0", " "))
+                    places.append((i, len(plans[i])))
+                    held += len(part)
+                    part = b""
+                plans[i].append(part)
+                if held >= 2 * WINDOW_CHARS:
+                    flush()
+        if some:
+            flush()
+        return [p[0] if len(p) == 1 else b"".join(p) for p in plans]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.columns and sum(len(t) for t in texts if t) >= BULK_CHARS:
+            return self._encode_columns(texts)
         plans: list[list[bytes]] = [[] for _ in texts]
         lists, places = [], []
         for i, text in enumerate(texts):
@@ -248,6 +369,20 @@ def batches_of(texts: list[str | None], chars: int = 1 << 19) -> Iterator[tuple[
         yield at, len(texts)
 
 
+def merged(batches: Iterator[pa.RecordBatch], size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts, the second column, hold `size` bytes: a word's look-up serves all of them."""
+    some: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        some.append(batch)
+        held += batch.column(1).nbytes
+        if held >= size:
+            yield pa.concat_batches(some)
+            some, held = [], 0
+    if some:
+        yield pa.concat_batches(some)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: str = "digest") -> DataFrame:
     """Encode and decode every whole text.
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from traitscan.llm.bpe import batches_of, word_bpe
+from traitscan.llm.bpe import batches_of, merged, word_bpe
 from traitscan.llm.common import small_batches
 from traitscan.sources.formats import absolute, open_path
 
@@ -329,9 +329,9 @@ def write_token_records(docs: DataFrame, path: str, vocabulary: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in merged(batches):
             texts = batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts):
+            for lo, hi in batches_of(texts, 1 << 21):
                 ids = [x + end for x in bpe.encode(texts[lo:hi])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary())], names=["key", "ids"])
 
