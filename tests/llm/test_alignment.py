@@ -107,3 +107,53 @@ def test_query(spark):
     assert len(got) == len(docs)
     for d, w in zip(docs, want, strict=True):
         assert tuple(got[d.doc_id][c] for c in COLS) == w
+
+
+class Counted:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.texts = tok, []
+
+    def encode_batch_fast(self, texts, **kw):
+        self.texts += texts
+        return self.tok.encode_batch_fast(texts, **kw)
+
+
+def columns(got):
+    return list(zip(got["n_a"].tolist(), got["n_b"].tolist(), got["n_groups"].tolist(), got["n_links"].tolist(), got["groups_sha256"], strict=True))
+
+
+def test_units_are_encoded_in_lanes_and_aligned_once(monkeypatch):
+    pair = alignment.Pair(A, B)
+    pair.a = Counted(pair.a)
+    texts = [" ".join(f"word{i}ing, é{i}" for i in range(k, k + 256)) for k in (0, 128, 256)]
+    want = [(w[0], w[1], w[2], w[3], w[6]) for w in brute(texts)]
+    assert columns(alignment.align_batch(pair, texts)) == want
+    assert len(pair.a.texts) == 512 // alignment.LANE_UNITS + 512  # units with other than ASCII characters alone
+    monkeypatch.setattr(alignment, "lockstep", None)
+    assert columns(alignment.align_batch(pair, texts[::-1])) == want[::-1]
+    assert len(pair.a.texts) == 512 // alignment.LANE_UNITS + 512
+
+
+def test_one_unit_of_a_lane_differs(monkeypatch):
+    pair = alignment.Pair(A, B)
+    pair.a = Counted(pair.a)
+    texts = ["some words here", "x <0x41> a\x01b c\x02 here", None, "\x7f d", "a\0b", "here are some"]
+    want = [(w[0], w[1], w[2], w[3], w[6]) for w in brute(texts)]
+    assert columns(alignment.align_batch(pair, texts)) == want
+    # B as a library that loses a sign: its unit counts as different, the others of its lane do not
+    pair.known = alignment.Known.none()
+    whole = pair._encode
+    monkeypatch.setattr(pair, "_encode", lambda lanes: (lambda a, b: (a, [y[:-1] if "lost" in lane else y for lane, y in zip(lanes, b, strict=True)]))(*whole(lanes)))
+    got = columns(alignment.align_batch(pair, [*texts, "some lost here", "lost"]))
+    assert got == [*want, (0, 0, 0, 0, ""), (0, 0, 0, 0, "")]
+
+
+def test_small_caches(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE_BYTES", 100)
+    pair = alignment.Pair(A, B)
+    for k in range(0, 60, 3):
+        texts = ["", f"one {k} two {k + 1}x three", "one two " * (k + 1) + "y" * 40 * k]
+        assert columns(alignment.align_batch(pair, texts)) == [(w[0], w[1], w[2], w[3], w[6]) for w in brute(texts)]
+        assert len(pair.known.names) < 20

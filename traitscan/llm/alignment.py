@@ -1,17 +1,19 @@
 """Operator 12: alignment of the tokens of two tokenizers by lockstep merging.
 
 Both tokenizers see a blank and the text; their tokens are byte ranges of it.
-Byte offsets where tokens of both end cut them into groups. One task holds a
-batch of documents; a state vector in numpy has, for every document, a pointer
-into its A tokens and one into its B tokens. Each step compares the ends that all
-pointers name: equal ends are a cut, which emits a group (its links are all its
-A-B pairs) and moves both pointers, else the pointer with the lesser end moves.
-Documents that are done leave the vector. Long documents enter as several lanes,
-parted where a token of both must end, so that no document holds the batch up.
-
-A blank after a character that is no white space starts a token in both
-vocabularies (tested when they are read; else a text is encoded whole), so units
-between such places are encoded once and kept.
+Byte offsets where tokens of both end cut them into groups. A blank after a
+character that is no white space starts a token in both vocabularies (tested when
+they are read; else a text is one unit), so every document of a batch is a row of
+units between such places, and no group reaches across them. Each distinct unit is
+encoded and aligned once and kept; documents are put together from their units in
+columns.
+
+The units of a batch that are not known yet enter as lanes, one behind the other.
+A state vector in numpy has, for every lane, a pointer into its A tokens and one
+into its B tokens. Each step compares the ends that all pointers name: equal ends
+are a cut, which emits a group (its links are all its A-B pairs) and moves both
+pointers, else the pointer with the lesser end moves. Lanes that are done leave the
+vector.
 
 Spark counts, for each pair of ids, the documents that hold it linked. Pairs in
 more than 1/HOT_PAIRS of all (document, pair) rows are fewer than HOT_PAIRS and are
@@ -21,29 +23,35 @@ Cases: texts that are null or empty, or whose joined A or B bytes are not a blan
 and the text, have no tokens and zeros; repeated and null ids are rows of their
 own and count as documents of their own; an empty table gives no rows; extra
 columns are ignored; ids of special tokens never occur, as their strings are plain
-text. Memory grows with the longest run without a blank and with a document's
+text. Memory grows with the longest run without a blank, with a text and with its
 distinct linked pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitscan.llm.bpe import batches_of, byte_letters
+from traitscan.llm.bpe import batches_of, byte_letters, merged
 from traitscan.llm.common import shared_table, small_batches
 
-#: Units whose ids a worker keeps, twice.
-CACHE_UNITS = 200_000
-#: Units of a lane.
+#: Units whose alignment a worker keeps, and the bytes of it.
+CACHE_UNITS, CACHE_BYTES = 200_000, 1 << 26
+#: Units of a lane, which are encoded as one text.
 LANE_UNITS = 64
+#: Units that are encoded and aligned at once.
+LEARN_UNITS = 8192
+#: Characters of the texts that are aligned at once.
+BATCH_CHARS = 1 << 20
 #: Pairs that are broadcast, at most.
 HOT_PAIRS = 200_000
 #: Links of a group from which on its ids are counted before they are paired.
@@ -54,8 +62,60 @@ _ODD = re.compile(r"\s ")
 _BLANK = re.compile(r"\S ")
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places in runs of the given starts and sizes, run after run."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+class Known:
+    """Aligned units, a row each: counts, the digest's text behind which a sign follows, linked pairs and how often."""
+
+    def __init__(self, names: list[str], counts: np.ndarray, bad: np.ndarray, text_at: np.ndarray, text: np.ndarray, pairs_at: np.ndarray, pairs: np.ndarray, times: np.ndarray, uses: np.ndarray):
+        self.names, self.counts, self.bad, self.uses = names, counts, bad, uses
+        self.text_at, self.text, self.pairs_at, self.pairs, self.times = text_at, text, pairs_at, pairs, times
+        self.rows = dict(zip(names, range(len(names)), strict=True))
+
+    @staticmethod
+    def none() -> Known:
+        zero = np.zeros(1, np.int64)
+        return Known([], np.zeros((0, 4), np.int64), np.zeros(0, bool), zero, np.zeros(0, np.uint8), zero, zero[:0], zero[:0], zero[:0])
+
+    def nbytes(self) -> int:
+        return self.text.nbytes + self.pairs.nbytes + self.times.nbytes
+
+    def only(self, rows: np.ndarray) -> Known:
+        """Some rows; their uses count half from now on."""
+        sizes = self.pairs_at[rows + 1] - self.pairs_at[rows]
+        places = _places(self.pairs_at[rows], sizes)
+        return Known([self.names[i] for i in rows.tolist()], self.counts[rows], self.bad[rows], *self.texts(rows), _offsets(sizes), self.pairs[places], self.times[places], self.uses[rows] // 2)
+
+    def texts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts of rows, one behind the other, and where they begin and end."""
+        if not len(rows):
+            return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        every = pa.Array.from_buffers(pa.large_binary(), len(self.names), [None, pa.py_buffer(self.text_at), pa.py_buffer(self.text)])
+        _, at, data = every.take(pa.array(rows)).buffers()
+        at = np.frombuffer(at, np.int64, len(rows) + 1)
+        return at, np.frombuffer(data or b"", np.uint8)[: at[-1]]
+
+    def add(self, more: list[Known]) -> None:
+        every = [self, *more]
+        for at, c in (("text_at", "text"), ("pairs_at", "pairs")):
+            before = _offsets(np.array([len(getattr(x, c)) for x in every]))
+            setattr(self, at, np.concatenate([self.text_at[:1], *(getattr(x, at)[1:] + n for x, n in zip(every, before[:-1], strict=True))]))
+        for c in ("counts", "bad", "text", "pairs", "times", "uses"):
+            setattr(self, c, np.concatenate([getattr(x, c) for x in every]))
+        for x in more:
+            self.rows.update(zip(x.names, range(len(self.names), len(self.names) + len(x.names)), strict=True))
+            self.names += x.names
+
+
 class Pair:
-    """The two tokenizers, with the ids of known units."""
+    """The two tokenizers, with the units known."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,71 +134,75 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        if max(len(self.len_a), len(self.len_b)) >= 10**7:
+            raise ValueError("vocabularies of 10,000,000 ids or more")
         lead = self.b.encode("\n")
         self.lead = len(lead)
         # a unit is encoded behind a line end, which must be a token of its own and part the text for certain
         parted = not any("\n" in p for p in pieces) and self.bytes_b[lead[-1]] == b"\n" and not any(p[i] != "▁" and p[i + 1] == "▁" for p in pieces for i in range(len(p) - 1))
         inside = any(_BLANK.search(t.decode("utf-8", "replace")) for t in self.bytes_a)
         self.parted = parted and not inside
-        self.ids_a: dict[str, bytes] = {}
-        self.ids_b: dict[str, bytes] = {}
-        self.bad: set[str] = set()
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def units(self, text: str) -> list[str]:
-        """The text behind a blank, parted where a token of both must begin."""
+        self.known = Known.none()
+
+    def units(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Units without the blank before each, the text of each, and the texts in this order.
+
+        The text behind a blank is parted where a token of both must begin.
+        """
+        odd = [i for i, t in enumerate(texts) if t and (not self.parted or _ODD.search(" " + t))]
+        rest = set(odd)
+        plain = [i for i, t in enumerate(texts) if t and i not in rest]
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        parts = [[u[1:] for u in _UNITS.split(" " + texts[i])] if self.parted else [texts[i]] for i in odd]
+        flat = pa.concat_arrays([split.flatten(), pa.array(itertools.chain.from_iterable(parts), pa.large_string())])
+        order = np.array(plain + odd, np.int64)
+        sizes = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(p) for p in parts], np.int64)])
+        return flat, np.repeat(order, sizes), order
+
+    def _encode(self, lanes: list[list[str]]) -> tuple[list[list[int]], list[list[int]]]:
+        texts = [" " + " ".join(lane) for lane in lanes]
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         if not self.parted:
-            return [" " + text]
-        whole = " " + text
-        if _ODD.search(whole):
-            return _UNITS.split(whole)
-        return [" " + u for u in text.split(" ")]
-
-    def _encode_b(self, units: list[str]) -> list[list[int]]:
-        if not self.parted:
-            return self.b.encode([u[1:] for u in units], num_threads=1)
-        return [ids[self.lead :] for ids in self.b.encode(["\n" + u for u in units], num_threads=1)]
-
-    def learn(self, wanted: set[str]) -> None:
-        need = wanted.difference(self.ids_a)
-        if len(self.ids_a) + len(need) > CACHE_UNITS:
-            self.old, self.ids_a, self.ids_b = (self.ids_a, self.ids_b), {}, {}
-            self.bad = set()
-            need = wanted
-        old_a, old_b = self.old
-        fresh = []
-        for u in need:
-            if u in old_a:
-                self.ids_a[u], self.ids_b[u] = old_a[u], old_b[u]
-                if not old_a[u]:
-                    self.bad.add(u)
-            else:
-                fresh.append(u)
-        for at in range(0, len(fresh), 2048):
-            some = fresh[at : at + 2048]
-            for u, a, b in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), self._encode_b(some), strict=True):
-                ids, raw = a.ids, u.encode()
-                if b"".join(map(self.bytes_a.__getitem__, ids)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-                    self.bad.add(u)
-                    ids, b = [], []
-                self.ids_a[u], self.ids_b[u] = np.array(ids, "<u4").tobytes(), np.array(b, "<u4").tobytes()
-
-    def lanes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A ids, B ids, the ends of each lane in both, and the document of each lane."""
-        parts = [self.units(t) if t else [] for t in texts]
-        self.learn(set().union(*parts))
-        get_a, get_b = self.ids_a.__getitem__, self.ids_b.__getitem__
-        a, b, owner = [], [], []
-        for i, units in enumerate(parts):
-            if self.bad and not self.bad.isdisjoint(units):
-                continue
-            for k in range(0, len(units), LANE_UNITS):
-                lane = units[k : k + LANE_UNITS]
-                a.append(b"".join(map(get_a, lane)))
-                b.append(b"".join(map(get_b, lane)))
-                owner.append(i)
-        ends = [np.cumsum([len(x) // 4 for x in side], dtype=np.int64) for side in (a, b)]
-        return np.frombuffer(b"".join(a), "<u4"), np.frombuffer(b"".join(b), "<u4"), ends[0], ends[1], np.array(owner, np.int64)
+            return a, self.b.encode([t[1:] for t in texts], num_threads=1)
+        return a, [ids[self.lead :] for ids in self.b.encode(["\n" + t for t in texts], num_threads=1)]
+
+    def _same(self, a: list[list[int]], b: list[list[int]], lanes: list[list[str]]) -> list[bool]:
+        """Whether the bytes of both sides are those of each lane."""
+        joined = lambda known, ids: b"".join(map(known.__getitem__, ids))
+        return [joined(self.bytes_a, x) == joined(self.bytes_b, y) == (" " + " ".join(lane)).encode() for x, y, lane in zip(a, b, lanes, strict=True)]
+
+    def _aligned(self, names: list[str]) -> Iterator[Known]:
+        """Rows of new units."""
+        plain = [u for u in names if self.parted and u.isascii() and u and not u[-1].isspace()]
+        rest = set(names).difference(plain)
+        lanes = [plain[k : k + LANE_UNITS] for k in range(0, len(plain), LANE_UNITS)] + [[u] for u in names if u in rest]
+        while lanes:
+            a, b = self._encode(lanes)
+            same = self._same(a, b, lanes)
+            yield align_lanes(self, *([x for x, s in zip(xs, same, strict=True) if s] for xs in (lanes, a, b)))
+            other = [lane for lane, s in zip(lanes, same, strict=True) if not s]
+            bad = [u for lane in other for u in lane if len(lane) == 1]
+            zeros = np.zeros(len(bad), np.int64)
+            yield Known(bad, np.zeros((len(bad), 4), np.int64), np.ones(len(bad), bool), _offsets(zeros), np.zeros(0, np.uint8), _offsets(zeros), zeros[:0], zeros[:0], zeros)
+            lanes = [[u] for lane in other for u in lane if len(lane) > 1]  # which of them differs
+
+    def look_up(self, names: list[str], uses: np.ndarray) -> np.ndarray:
+        """The rows of distinct units, known or learned."""
+        found = list(map(self.known.rows.get, names))
+        fresh = [u for u, i in zip(names, found, strict=True) if i is None]
+        if fresh:
+            full = self.known.nbytes() > CACHE_BYTES
+            if full or len(self.known.names) + len(fresh) > CACHE_UNITS:
+                keep = np.zeros(len(self.known.names), bool)
+                if not full:  # the half with the most uses
+                    keep[np.argsort(-self.known.uses, kind="stable")[: CACHE_UNITS // 2]] = True
+                keep[[i for i in found if i is not None]] = True
+                self.known = self.known.only(np.flatnonzero(keep))
+            self.known.add([more for k in range(0, len(fresh), LEARN_UNITS) for more in self._aligned(fresh[k : k + LEARN_UNITS])])
+            found = list(map(self.known.rows.__getitem__, names))
+        rows = np.array(found, np.int64)
+        self.known.uses[rows] += uses
+        return rows
 
 
 def lockstep(end_a: np.ndarray, end_b: np.ndarray, first_a: np.ndarray, last_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,23 +262,21 @@ def link_pairs(ids_a: np.ndarray, ids_b: np.ndarray, from_a: np.ndarray, to_a: n
     return keys // (size_a * size_b), keys // size_b % size_a, keys % size_b, counts
 
 
-def align_batch(pair: Pair, texts: list[str | None]) -> dict[str, np.ndarray | list]:
-    """Columns of the aligned table for a batch of texts."""
-    n = len(texts)
-    ids_a, ids_b, lane_a, lane_b, owner = pair.lanes(texts)
+def align_lanes(pair: Pair, lanes: list[list[str]], a: list[list[int]], b: list[list[int]]) -> Known:
+    """The units of lanes with their ids in both vocabularies, aligned in lockstep."""
+    names = list(itertools.chain.from_iterable(lanes))
+    ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a, b))
+    lane_a, lane_b = (_offsets(np.array([len(x) for x in side], np.int64)) for side in (a, b))
     end_a, end_b = np.cumsum(pair.len_a[ids_a]), np.cumsum(pair.len_b[ids_b])
+    to_a, to_b = lockstep(end_a, end_b, lane_a[:-1], lane_a[1:], lane_b[:-1])
     zero = np.zeros(1, np.int64)
-    to_a, to_b = lockstep(end_a, end_b, np.concatenate([zero, lane_a[:-1]]) if len(lane_a) else lane_a, lane_a, np.concatenate([zero, lane_b[:-1]]) if len(lane_b) else lane_b)
-    from_a, from_b = np.concatenate([zero, to_a[:-1]])[: len(to_a)], np.concatenate([zero, to_b[:-1]])[: len(to_b)]
-    doc = owner[np.searchsorted(lane_a, from_a, "right")] if len(to_a) else zero[:0]
+    from_a, from_b = (np.concatenate([zero, x[:-1]])[: len(x)] for x in (to_a, to_b))
+    unit_end = np.cumsum(np.array([(len(u) if u.isascii() else len(u.encode())) + 1 for u in names], np.int64))
+    unit = np.searchsorted(unit_end, end_a[to_a - 1])
     n_a, n_b = to_a - from_a, to_b - from_b
-    count = lambda w: np.bincount(doc, weights=w, minlength=n).astype(np.int64)
-    out = {"n_a": count(n_a), "n_b": count(n_b), "n_groups": np.bincount(doc, minlength=n).astype(np.int64), "n_links": count(n_a * n_b)}
 
-    # a1,a2|b1;a3|b2,b3: every id with the sign behind it, A ids of a group before its B ids
-    digits = np.zeros((len(ids_a) + len(ids_b), 8), np.uint8) if max(len(pair.len_a), len(pair.len_b)) < 10**7 else None
-    if digits is None:
-        raise ValueError("vocabularies of 10,000,000 ids or more")
+    # a1,a2|b1;a3|b2,b3; where every id has the sign behind it, A ids of a group before its B ids
+    digits = np.zeros((len(ids_a) + len(ids_b), 8), np.uint8)
     at_a = np.arange(len(ids_a)) + np.repeat(from_b, n_a)
     at_b = np.arange(len(ids_b)) + np.repeat(to_a, n_b)
     for at, ids, ends, sign in ((at_a, ids_a, to_a, b"|"), (at_b, ids_b, to_b, b";")):
@@ -222,15 +284,55 @@ def align_batch(pair: Pair, texts: list[str | None]) -> dict[str, np.ndarray | l
         d[:, -1] = ord(",")
         d[ends - 1, -1] = sign[0]
         digits[at, 8 - d.shape[1] :] = d
-    signs = digits.astype(bool).sum(axis=1)
-    last = np.cumsum(np.concatenate([zero, signs]))
-    text = digits[digits > 0].tobytes()
-    done = np.cumsum(out["n_a"] + out["n_b"])
-    hashes = []
-    for lo, hi in zip((done - out["n_a"] - out["n_b"]).tolist(), done.tolist(), strict=True):
-        hashes.append(hashlib.sha256(text[last[lo] : last[hi] - 1]).hexdigest() if hi > lo else "")
-    who, a, b, k = link_pairs(ids_a, ids_b, from_a, to_a, from_b, to_b, doc, len(pair.len_a), len(pair.len_b))
-    return out | {"groups_sha256": hashes, "pairs": np.searchsorted(who, np.arange(n + 1)), "a": a, "b": b, "k": k}
+    shown = digits != 0
+    last = np.searchsorted(unit, np.arange(len(names)), "right") - 1  # the last group of each unit
+    text_at = np.concatenate([zero, np.cumsum(shown.sum(axis=1))[(to_a + to_b)[last] - 1]]) if names else zero
+    at, n = _offsets(n_a * n_b), np.diff(last, prepend=-1)
+    per_unit = lambda cum: np.diff(cum[last], prepend=0)
+    counts = np.stack([per_unit(to_a), per_unit(to_b), n, per_unit(at[1:])], axis=1)
+    who, x, y, times = link_pairs(ids_a, ids_b, from_a, to_a, from_b, to_b, unit, len(pair.len_a), len(pair.len_b))
+    none = np.zeros(len(names), np.int64)
+    return Known(names, counts, none > 0, text_at, digits[shown], np.searchsorted(who, np.arange(len(names) + 1)), x * len(pair.len_b) + y, times, none)
+
+
+def align_batch(pair: Pair, texts: list[str | None]) -> dict[str, np.ndarray | list]:
+    """Columns of the aligned table for a batch of texts."""
+    flat, doc, order = pair.units(texts)
+    coded = flat.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    rows = pair.look_up(names, np.bincount(codes, minlength=len(names)))[codes]
+    known = pair.known
+    bad = known.bad[rows]
+    if bad.any():  # a document with a unit whose bytes differ has no tokens
+        good = np.ones(len(texts), bool)
+        good[doc[bad]] = False
+        rows, doc = rows[good[doc]], doc[good[doc]]
+    size = np.bincount(doc, minlength=len(texts))
+    to = np.cumsum(size[order])
+    ends = np.zeros(len(texts), np.int64)
+    ends[order] = to
+    starts = ends - size
+    sums = np.zeros((len(rows) + 1, 4), np.int64)
+    np.cumsum(known.counts[rows], axis=0, out=sums[1:])
+    out = dict(zip(("n_a", "n_b", "n_groups", "n_links"), (sums[ends] - sums[starts]).T, strict=True))
+
+    at, data = known.texts(rows)
+    hashes = [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(at[starts].tolist(), at[ends].tolist(), strict=True)]
+
+    held, often = np.unique(doc * len(known.names) + rows, return_counts=True)  # distinct units of each document
+    row, who = held % max(len(known.names), 1), held // max(len(known.names), 1)
+    n = known.pairs_at[row + 1] - known.pairs_at[row]
+    places = _places(known.pairs_at[row], n)
+    size_b = len(pair.len_b)
+    span = len(pair.len_a) * size_b
+    keys = known.pairs[places] + np.repeat(who * span, n)
+    by = np.argsort(keys)
+    keys = keys[by]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    k = np.add.reduceat((known.times[places] * np.repeat(often, n))[by], first) if len(first) else first
+    keys = keys[first]
+    return out | {"groups_sha256": hashes, "pairs": np.searchsorted(keys, np.arange(len(texts) + 1) * span), "a": keys % span // size_b, "b": keys % size_b, "k": k}
 
 
 _MADE: dict[tuple[str, str], Pair] = {}
@@ -246,9 +348,9 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "
         if (path_a, path_b) not in _MADE:
             _MADE[path_a, path_b] = Pair(path_a, path_b)
         pair = _MADE[path_a, path_b]
-        for batch in batches:
+        for batch in merged(batches, BATCH_CHARS):
             texts = batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, 1 << 20):
+            for lo, hi in batches_of(texts, BATCH_CHARS):
                 x = align_batch(pair, texts[lo:hi])
                 lists = [pa.ListArray.from_arrays(pa.array(x["pairs"], pa.int32()), pa.array(x[c], t)) for c, t in (("a", pa.int32()), ("b", pa.int32()), ("k", pa.int64()))]
                 counts = [pa.array(x[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
