@@ -313,15 +313,14 @@ def align_batch(pair: Pair, texts: list[str | None]) -> dict[str, np.ndarray | l
     ends = np.zeros(len(texts), np.int64)
     ends[order] = to
     starts = ends - size
-    sums = np.zeros((len(rows) + 1, 4), np.int64)
-    np.cumsum(known.counts[rows], axis=0, out=sums[1:])
-    out = dict(zip(("n_a", "n_b", "n_groups", "n_links"), (sums[ends] - sums[starts]).T, strict=True))
-
     at, data = known.texts(rows)
     hashes = [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(at[starts].tolist(), at[ends].tolist(), strict=True)]
 
     held, often = np.unique(doc * len(known.names) + rows, return_counts=True)  # distinct units of each document
     row, who = held % max(len(known.names), 1), held // max(len(known.names), 1)
+    sums = np.zeros((len(row) + 1, 4), np.int64)
+    np.cumsum(known.counts[row] * often[:, None], axis=0, out=sums[1:])
+    counts = np.diff(sums[np.searchsorted(who, np.arange(len(texts) + 1))], axis=0)
     n = known.pairs_at[row + 1] - known.pairs_at[row]
     places = _places(known.pairs_at[row], n)
     size_b = len(pair.len_b)
@@ -332,6 +331,7 @@ def align_batch(pair: Pair, texts: list[str | None]) -> dict[str, np.ndarray | l
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     k = np.add.reduceat((known.times[places] * np.repeat(often, n))[by], first) if len(first) else first
     keys = keys[first]
+    out = dict(zip(("n_a", "n_b", "n_groups", "n_links"), counts.T, strict=True))
     return out | {"groups_sha256": hashes, "pairs": np.searchsorted(keys, np.arange(len(texts) + 1) * span), "a": keys % span // size_b, "b": keys % size_b, "k": k}
 
 
