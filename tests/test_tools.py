@@ -52,6 +52,19 @@ def test_intervals(spark):
     assert sets == {p: sorted(n for q, n in got if q == p) for p, _ in got}
 
 
+def test_payloads_join_distinct_places_and_intervals(spark, monkeypatch):
+    joined, plain = [], interval.stab_join
+    monkeypatch.setattr(interval, "stab_join", lambda *a: joined.append(plain(*a)) or joined[-1])
+    points = spark.range(400).select(F.lit("1").alias("chr"), F.col("id"), (F.col("id") % 4).alias("pos"))
+    spans = spark.range(400).select(F.lit("1").alias("chr"), (F.col("id") % 3).cast("string").alias("p"), F.lit(0).alias("start"), F.lit(1).alias("end"))
+    got = {r.id: r.p for r in interval.stab_payloads(points, spans, 5, "p").collect()}
+    assert got == {k: ["0", "1", "2"] for k in range(400) if k % 4 < 2}
+    assert joined[0].count() == 2 * 3
+    two = spark.createDataFrame([("1", 7, 0), ("1", 7, 9), ("1", 7, 9), ("2", 8, 5)], "chr string, id long, pos long")
+    more = spans.union(spark.createDataFrame([("1", "x", 8, 9), ("2", None, 5, 5)], spans.schema))
+    assert {(r.id, tuple(r.p)) for r in interval.stab_payloads(two, more, 5, "p", by=["id"]).collect()} == {(7, ("0", "1", "2", "x")), (8, ())}
+
+
 def test_long_cis_keeps_repeated_points(spark):
     points = spark.createDataFrame([("1", 100), ("1", 100), ("9", 1), ("1", None)], "chr string, pos long")
     sites = spark.createDataFrame([("1", 100), ("1", 5000), ("1", 5000)], "chr string, site_pos long")

@@ -61,10 +61,17 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_width: float, chrom: str = "chr
     return later_a.select(*order).union(later_b.select(*order))
 
 
-def stab_payloads(points: DataFrame, intervals: DataFrame, bin_width: float, payload: str, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
-    """For every point inside an interval the union of the payloads of all intervals that hold it, sorted."""
-    hits = stab_join(points, intervals.select(chrom, start, end, payload), bin_width, chrom, pos, start, end)
-    return hits.groupBy(*points.columns).agg(F.sort_array(F.collect_set(payload)).alias(payload))
+def stab_payloads(points: DataFrame, intervals: DataFrame, bin_width: float, payload: str, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end", by: list[str] | None = None) -> DataFrame:
+    """For every point inside an interval the union of the payloads of all intervals that hold it, sorted.
+
+    Points that agree in the columns `by` (all columns if none are named) are one
+    point and get the union over their positions. Distinct places meet distinct
+    intervals, so repeated ones make no pairs.
+    """
+    spots, spans = points.select(chrom, pos).distinct(), intervals.select(chrom, start, end, payload).distinct()
+    sets = stab_join(spots, spans, bin_width, chrom, pos, start, end).groupBy(chrom, pos).agg(F.collect_set(payload).alias("_set"))
+    union = F.sort_array(F.array_distinct(F.flatten(F.collect_list("_set"))))
+    return points.join(sets, [chrom, pos]).groupBy(*(by or points.columns)).agg(union.alias(payload))
 
 
 def long_cis_counts(points: DataFrame, sites: DataFrame, window: int = WINDOW, chrom: str = "chr", pos: str = "pos", site: str = "site_pos") -> DataFrame:

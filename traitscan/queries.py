@@ -517,7 +517,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every order the line numbers of all intervals that hold its date, without repeats."""
     spans = _sites(spark, sf_dir).select("chr", F.col("line").cast("string").alias("lines"), (F.col("site_pos") - 1).alias("start"), F.col("site_pos").alias("end"))
-    return interval.stab_payloads(_points(spark, sf_dir), spans, 7, "lines").select("id", F.array_join("lines", ",").alias("lines"))
+    return interval.stab_payloads(_points(spark, sf_dir), spans, 7, "lines", by=["id"]).select("id", F.when(F.size("lines") > 0, F.array_join("lines", ",")).alias("lines"))
 
 
 @query(f"WITH {_POINTS}, {_SITES} SELECT id, site, line FROM p JOIN s ON p.chr = s.chr AND pos BETWEEN site_pos - 1 AND site_pos + line % 3")
