@@ -53,8 +53,8 @@ def test_intervals(spark):
 
 
 def test_payloads_join_distinct_places_and_intervals(spark, monkeypatch):
-    joined, plain = [], interval.stab_join
-    monkeypatch.setattr(interval, "stab_join", lambda *a: joined.append(plain(*a)) or joined[-1])
+    joined, plain = [], interval._stabs
+    monkeypatch.setattr(interval, "_stabs", lambda *a: joined.append(plain(*a)) or joined[-1])
     points = spark.range(400).select(F.lit("1").alias("chr"), F.col("id"), (F.col("id") % 4).alias("pos"))
     spans = spark.range(400).select(F.lit("1").alias("chr"), (F.col("id") % 3).cast("string").alias("p"), F.lit(0).alias("start"), F.lit(1).alias("end"))
     got = {r.id: r.p for r in interval.stab_payloads(points, spans, 5, "p").collect()}
@@ -65,6 +65,29 @@ def test_payloads_join_distinct_places_and_intervals(spark, monkeypatch):
     assert {(r.id, tuple(r.p)) for r in interval.stab_payloads(two, more, 5, "p", by=["id"]).collect()} == {(7, ("0", "1", "2", "x")), (8, ())}
 
 
+def joined_rows(df):
+    """Rows that the joins of the last stage of a collected frame made."""
+    todo, n = [df._jdf.queryExecution().executedPlan().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        n += node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+        todo += [node.plan()] if node.nodeName().startswith("ResultQueryStage") else [node.children().apply(k) for k in range(node.children().size())]
+    return n
+
+
+def test_places_and_intervals_are_joined_as_groups(spark, monkeypatch):
+    monkeypatch.setattr(interval, "GROUP_ROWS", 8, raising=False)
+    points = spark.createDataFrame([("1", k, 5) for k in range(8)] + [("1", 8, 90)] * 20 + [("1", 9, None), (None, 10, 5)], "chr string, id long, pos long")
+    sites = spark.createDataFrame([("1", 100 + k, 5) for k in range(30)] + [("1", 200, 91), ("1", 201, 95), ("1", 202, None), (None, 203, 5)], "chr string, site long, site_pos long")
+    spans = sites.select("chr", "site", (F.col("site_pos") - 2).alias("start"), (F.col("site_pos") + 2).alias("end"))
+    want = sorted([(k, 100 + n) for k in range(8) for n in range(30)] + [(8, 200)] * 20)
+    for out in (interval.stab_join(points, spans, 7), interval.cis_window(points, sites, 2)):
+        got = [(r.id, r.site) for r in out.collect()]
+        assert sorted(got) == want and joined_rows(out) == 4 + 3
+        assert sum(x[1] != y[1] for x, y in zip(got, got[1:])) == 30  # the rows of an interval come in one run
+    assert {(r.site, r.distance) for r in interval.cis_window(points, sites, 2).where("pos = 90").collect()} == {(200, -1)}
+
+
 def test_long_cis_keeps_repeated_points(spark):
     points = spark.createDataFrame([("1", 100), ("1", 100), ("9", 1), ("1", None)], "chr string, pos long")
     sites = spark.createDataFrame([("1", 100), ("1", 5000), ("1", 5000)], "chr string, site_pos long")
