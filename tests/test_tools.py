@@ -88,6 +88,17 @@ def test_places_and_intervals_are_joined_as_groups(spark, monkeypatch):
     assert {(r.site, r.distance) for r in interval.cis_window(points, sites, 2).where("pos = 90").collect()} == {(200, -1)}
 
 
+def test_overlaps_are_joined_as_groups(spark, monkeypatch):
+    monkeypatch.setattr(interval, "GROUP_ROWS", 8, raising=False)
+    a = spark.createDataFrame([("1", k, 5, 6) for k in range(8)] + [("1", 8, 90, 95)] * 2 + [("1", 9, 7, 5), (None, 10, 5, 6)], "chr string, id long, a_start long, a_end long")
+    b = spark.createDataFrame([("1", 100 + k, 6, 9) for k in range(30)] + [("1", 200, 80, 90), ("1", 201, 96, 97), ("1", 202, 6, None)], "chr string, site long, b_start long, b_end long")
+    pairs = interval.overlap_join(a, b, 7)
+    got = [(r.id, r.site) for r in pairs.collect()]
+    assert sorted(got) == sorted([(k, 100 + n) for k in range(8) for n in range(30)] + [(8, 200)] * 2)
+    assert joined_rows(pairs) == 4 + 1
+    assert sum(x[1] != y[1] for x, y in zip(got, got[1:])) == 30
+
+
 def test_long_cis_keeps_repeated_points(spark):
     points = spark.createDataFrame([("1", 100), ("1", 100), ("9", 1), ("1", None)], "chr string, pos long")
     sites = spark.createDataFrame([("1", 100), ("1", 5000), ("1", 5000)], "chr string, site_pos long")

@@ -91,9 +91,11 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_width: float, chrom: str = "chr
     """
     a, b = a.where("a_start <= a_end"), b.where("b_start <= b_end")
     order = [chrom, *(c for c in [*a.columns, *b.columns] if c != chrom)]
-    later_a = stab_join(a, b, bin_width, chrom, "a_start", "b_start", "b_end")
-    later_b = stab_join(b, a, bin_width, chrom, "b_start", "a_start", "a_end").where("b_start > a_start")
-    return later_a.select(*order).union(later_b.select(*order))
+    of_a, of_b = _levels(a, bin_width, "a_start", "a_end"), _levels(b, bin_width, "b_start", "b_end")
+    a, b = _grouped(a, [chrom, "a_start", "a_end"], "_a"), _grouped(b, [chrom, "b_start", "b_end"], "_b")
+    later_a = _stabs(a, b, bin_width, of_b, chrom, "a_start", "b_start", "b_end")
+    later_b = _stabs(b, a, bin_width, of_a, chrom, "b_start", "a_start", "a_end").where("b_start > a_start")
+    return _unfolded(later_a.unionByName(later_b), ["_b", "_a"], order)
 
 
 def stab_payloads(points: DataFrame, intervals: DataFrame, bin_width: float, payload: str, chrom: str = "chr", pos: str = "pos", start: str = "start", end: str = "end", by: list[str] | None = None) -> DataFrame:
