@@ -1,7 +1,9 @@
 import io
 import math
+import random
 import tarfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,29 @@ def test_overlaps_are_joined_as_groups(spark, monkeypatch):
     assert sum(x[1] != y[1] for x, y in zip(got, got[1:])) == 30
 
 
+@pytest.mark.parametrize("span", [0, 1, 6, 300])
+def test_totals_over_intervals(spark, span):
+    rng = random.Random(span)
+    points = [(str(k % 2), rng.randint(-span, span)) for k in range(60)] + [(None, 0), ("0", None)]
+    spans = [(str(k % 3), s, s + rng.choice([0, 1, 5, 40, 10**9]), k) for k in range(80) for s in [rng.randint(-span - 9, span + 9)]] + [("0", -(10**12), 10**12, None), ("0", 3, 2, 7), (None, 0, 0, 7), ("1", None, 0, 7)]
+    totals = {"n": ("sum", F.lit(1)), "least": ("min", F.col("v")), "most": ("max", F.col("v")), "all": ("sum", F.col("v"))}
+    got = interval.stab_totals(spark.createDataFrame(points, "chr string, pos long"), spark.createDataFrame(spans, "chr string, start long, end long, v long"), totals, ["chr"])
+    held = {(c, p): [v for d, s, e, v in spans if d == c and None not in (s, p) and s <= p <= e] for c, p in points if c}
+    some = {k: [x for x in v if x is not None] for k, v in held.items()}
+    assert sorted(map(tuple, got.collect())) == sorted((*k, len(v), min(some[k], default=None), max(some[k], default=None), sum(some[k]) if some[k] else None) for k, v in held.items() if v)
+
+
+def test_lengths_take_no_pairs_and_no_missing_keys(spark, tmp_path):
+    for name, key in (("orders", "o_custkey"), ("lineitem", "l_partkey")):
+        rows = spark.read.parquet(f"{DATA}/{name}.parquet")
+        rows.withColumn(key, F.when(F.col(key) % 2 == 0, F.col(key))).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = queries.QUERIES["interval_lengths"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(con.execute(queries.ORACLES["interval_lengths"]).fetchall())
+
+
 def test_long_cis_keeps_repeated_points(spark):
     points = spark.createDataFrame([("1", 100), ("1", 100), ("9", 1), ("1", None)], "chr string, pos long")
     sites = spark.createDataFrame([("1", 100), ("1", 5000), ("1", 5000)], "chr string, site_pos long")

@@ -111,6 +111,60 @@ def stab_payloads(points: DataFrame, intervals: DataFrame, bin_width: float, pay
     return points.join(sets, [chrom, pos]).groupBy(*(by or points.columns)).agg(union.alias(payload))
 
 
+def stab_totals(points: DataFrame, intervals: DataFrame, totals: dict[str, tuple[str, Column]], keys: list[str], pos: str = "pos", start: str = "start", end: str = "end") -> DataFrame:
+    """keys, pos and the totals over the intervals that hold the position, a row for each place inside an interval; positions are whole numbers.
+
+    totals: for each name "sum", "min" or "max" and its value from the columns of
+    an interval. No pair of a point and an interval is made: an interval is the
+    disjoint union of at most two dyadic bins a level, up to the span of the
+    points, totals are kept for bins, and a point adds up the bins that it lies
+    in, one a level. Bins narrower than a block of 2 ** cut positions are made
+    where the block's points are, after the one exchange of the rows; wider ones
+    are summed before they move. A place whose totals are all null has no row.
+    """
+    low, high = points.agg(F.min(pos), F.max(pos)).first()
+    low, high = (low, high) if low is not None else (0, 0)
+    top = max(2, int(high - low + 1).bit_length())  # no interval, cut to the points' span, fills a bin of this level
+    cut = 2 * top // 3
+    merged = [F.expr(f"{how}({name})").alias(name) for name, (how, _) in totals.items()]
+    place = lambda c: (c - F.lit(low)).cast("bigint")
+    held = intervals.dropna(subset=[*keys, start, end]).where((F.col(start) <= F.col(end)) & (F.col(start) <= high) & (F.col(end) >= low))
+    held = held.select(*keys, place(F.greatest(F.col(start), F.lit(low))).alias("_s"), (place(F.least(F.col(end), F.lit(high))) + 1).alias("_e"), *(v.alias(n) for n, (_, v) in totals.items()))
+
+    def cell(k: int, bin: Column) -> Column:
+        """One number for a bin and its level: twice the bin's middle."""
+        return F.shiftleft(bin * 2 + 1, k)
+
+    def bins(levels: range, left: Column, right: Column) -> Column:
+        """The interval's bins on these levels, those at its start if left and those at its end if right, or null."""
+        found = []
+        for k in levels:
+            first, last = F.shiftright(F.col("_s") + (2**k - 1), k), F.shiftright("_e", k)  # bins from first to before last lie inside
+            found += [F.when(left & (first < last) & (first.bitwiseAND(1) == 1), cell(k, first)), F.when(right & (first < last) & (last.bitwiseAND(1) == 1), cell(k, last - 1))]
+        return F.array(*found)
+
+    asks = lambda levels: F.array(*(cell(k, F.shiftright("_x", k)) for k in levels))
+    dealt = lambda df, found: df.withColumn("_cell", F.explode(found)).where("_cell is not null")
+    wide = dealt(held, bins(range(cut, top), F.lit(True), F.lit(True))).groupBy(*keys, "_cell").agg(*merged)
+
+    spots = points.dropna(subset=[*keys, pos]).select(*keys, place(F.col(pos)).alias("_x")).withColumn("_block", F.shiftright("_x", cut))
+    blocks = spots.select(*keys, "_block").distinct().withColumn("_x", F.shiftleft("_block", cut))
+    base = dealt(blocks, asks(range(cut, top))).join(wide, [*keys, "_cell"]).groupBy(*keys, "_block").agg(*merged)
+
+    inner = lambda c: F.when(F.col(c).bitwiseAND(2**cut - 1) != 0, F.shiftright(c, cut))  # noqa: E731  an end on a block's edge has no narrow bins
+    parts = held.withColumn("_block", F.explode(F.array_distinct(F.array(inner("_s"), inner("_e"))))).where("_block is not null")
+    rows = parts.unionByName(spots, allowMissingColumns=True).repartition(*keys, "_block")
+    mine = lambda c: F.shiftright(c, cut) == F.col("_block")
+    cells = dealt(rows, F.when(F.col("_x").isNull(), bins(range(cut), mine("_s"), mine("_e"))).otherwise(asks(range(cut)))).groupBy(*keys, "_block", "_cell", "_x").agg(*merged)
+    window = Window.partitionBy(*keys, "_block", "_cell")
+    told = cells.select(*keys, "_block", "_x", *(F.expr(f"{how}({n})").over(window).alias(n) for n, (how, _) in totals.items())).where("_x is not null")
+    narrow = told.groupBy(*keys, "_block", "_x").agg(*merged)
+    both = narrow.join(base.select(*keys, "_block", *(F.col(n).alias(f"_{n}") for n in totals)), [*keys, "_block"], "left")
+    add = {"sum": lambda x, y: F.coalesce(x + y, x, y), "min": F.least, "max": F.greatest}
+    out = both.select(*keys, (F.col("_x") + F.lit(low)).alias(pos), *(add[how](F.col(n), F.col(f"_{n}")).alias(n) for n, (how, _) in totals.items()))
+    return out.where(F.coalesce(*totals).isNotNull())
+
+
 def long_cis_counts(points: DataFrame, sites: DataFrame, window: int = WINDOW, chrom: str = "chr", pos: str = "pos", site: str = "site_pos") -> DataFrame:
     """For every point the number of sites on its chromosome farther away than `window`; positions are whole numbers.
 

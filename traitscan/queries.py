@@ -548,12 +548,12 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 AND pos BETWEEN site_pos - CASE WHEN line = 1 THEN 900000000 ELSE 1 << line::INT END AND site_pos GROUP BY ALL""")
 def interval_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of four days to 900,000,000 that hold a point, one level of bins for each length."""
-    tag = lambda c: F.concat_ws("/", "chr", F.col(c) % 100)
     reach = F.when(F.col("line") == 1, F.lit(900_000_000)).otherwise(F.expr("shiftleft(1L, line)"))
-    spans = _sites(spark, sf_dir).select(tag("site").alias("chr"), "line", "site_pos", (F.col("site_pos") - reach).alias("start"), F.col("site_pos").alias("end"))
-    points = _points(spark, sf_dir).select("id", tag("id").alias("chr"), "pos")
-    hits = interval.stab_join(points, spans, 4)
-    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("n_spans"), F.min("site_pos").alias("first"), F.sum("line").alias("lines"))
+    spans = _sites(spark, sf_dir).select("chr", (F.col("site") % 100).alias("tag"), "line", "site_pos", (F.col("site_pos") - reach).alias("start"), F.col("site_pos").alias("end"))
+    points = _points(spark, sf_dir).withColumn("tag", F.col("id") % 100)
+    totals = {"n_spans": ("sum", F.lit(1)), "first": ("min", F.col("site_pos")), "lines": ("sum", F.col("line"))}
+    hits = points.join(interval.stab_totals(points, spans, totals, ["chr", "tag"]), ["chr", "tag", "pos"])
+    return hits.groupBy("id").agg(F.sum("n_spans").alias("n_spans"), F.min("first").alias("first"), F.sum("lines").alias("lines"))
 
 
 # ---------------------------------------------------------------- order, ranks, rates
