@@ -153,7 +153,7 @@ def stab_totals(points: DataFrame, intervals: DataFrame, totals: dict[str, tuple
 
     inner = lambda c: F.when(F.col(c).bitwiseAND(2**cut - 1) != 0, F.shiftright(c, cut))  # noqa: E731  an end on a block's edge has no narrow bins
     parts = held.withColumn("_block", F.explode(F.array_distinct(F.array(inner("_s"), inner("_e"))))).where("_block is not null")
-    rows = parts.unionByName(spots, allowMissingColumns=True).repartition(*keys, "_block")
+    rows = parts.unionByName(spots, allowMissingColumns=True).repartition(*keys, "_block").groupBy(*keys, "_block", "_s", "_e", "_x").agg(*merged)  # equal ones once
     mine = lambda c: F.shiftright(c, cut) == F.col("_block")
     cells = dealt(rows, F.when(F.col("_x").isNull(), bins(range(cut), mine("_s"), mine("_e"))).otherwise(asks(range(cut)))).groupBy(*keys, "_block", "_cell", "_x").agg(*merged)
     window = Window.partitionBy(*keys, "_block", "_cell")
